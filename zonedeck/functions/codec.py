@@ -132,33 +132,45 @@ def _slice(rec: Column, at, width: int) -> Column:
     return F.substring(rec, at + 1, F.lit(width))
 
 
-def _decode_at(rec: Column, item: Field, at, strip: str) -> Column:
-    if item.kind != "group":
-        return decode_item(_slice(rec, at, item.item_width), item, strip)
-    return F.struct(*[
-        _decode_any(rec, child, at + start, strip).alias(child.name) for child, start in place(item.children)
-    ])
+def _raise(item: Field, raw: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"bad {item.name}: "), F.hex(raw)))
+
+
+def _decode_at(rec: Column, item: Field, at, strip: str, checked: bool) -> Column:
+    if item.kind == "group":
+        return F.struct(*[
+            _decode_any(rec, child, at + start, strip, checked).alias(child.name)
+            for child, start in place(item.children)
+        ])
+    raw = _slice(rec, at, item.item_width)
+    value = decode_item(raw, item, strip)
+    return F.coalesce(value, _raise(item, raw)) if checked and item.kind != "text" else value
 
 
-def _decode_any(rec: Column, item: Field, at, strip: str, counts: dict[str, Column] | None = None) -> Column:
+def _decode_any(rec: Column, item: Field, at, strip: str, checked: bool,
+                counts: dict[str, Column] | None = None) -> Column:
     if not item.occurs:
-        return _decode_at(rec, item, at, strip)
+        return _decode_at(rec, item, at, strip, checked)
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(item.occurs - 1)),
-        lambda i: _decode_at(rec, item, i * item.item_width + at, strip),
+        lambda i: _decode_at(rec, item, i * item.item_width + at, strip, checked),
     )
-    if item.depending_on and counts and item.depending_on in counts:
-        wanted = counts[item.depending_on]
-        inside = wanted.between(0, item.occurs)
-        cells = F.when(inside, F.slice(cells, F.lit(1), F.when(inside, wanted).otherwise(0).cast("int")))
-    return cells
+    if not item.depending_on or not counts or item.depending_on not in counts:
+        return cells
+    wanted = counts[item.depending_on]
+    used = F.slice(cells, F.lit(1), F.when(wanted.between(0, item.occurs), wanted).cast("int"))
+    return F.coalesce(used, _raise(item, rec)) if checked else used
 
 
-def decode_columns(rec: Column, layout: Layout, strip: str = "both") -> dict[str, Column]:
-    """Field name to decoded column, overlays included."""
+def decode_columns(rec: Column, layout: Layout, strip: str = "both", checked: bool = False) -> dict[str, Column]:
+    """Field name to decoded column, overlays included.
+
+    With ``checked`` each number raises when its own bytes are damaged, inside the expression that
+    decodes it: a column nobody reads is still pruned.  Otherwise damage gives NULL.
+    """
     columns: dict[str, Column] = {}
     for item, at in layout.placed():
-        columns[item.name] = _decode_any(rec, item, at, strip, columns)
+        columns[item.name] = _decode_any(rec, item, at, strip, checked and not item.redefines, columns)
     return columns
 
 
@@ -195,19 +207,6 @@ def reject_reason(rec: Column, layout: Layout, columns: dict[str, Column]) -> Co
     return reason
 
 
-def checked_columns(rec: Column, layout: Layout, columns: dict[str, Column]) -> dict[str, Column]:
-    """Fail-fast form: each column raises when its own bytes are damaged, so pruning stays possible."""
-    out = {}
-    for item in layout.fields:
-        test = _bad(columns[item.name], item)
-        value = columns[item.name]
-        if test is not None:
-            message = F.concat(F.lit(f"bad {item.name} in record "), F.hex(rec))
-            value = F.when(test, F.raise_error(message)).otherwise(value)
-        out[item.name] = value
-    return out
-
-
 # ---------------------------------------------------------------- encoding
 
 def _unscaled(value: Column, item: Field, rounding: str) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,9 @@ from pyspark.sql import types as T
 from zonedeck.functions import patterns as P
 from zonedeck.operators.programs import tags
 
+# Workers get this module with the task, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Vectors up to this many bytes (as doubles) go to every task as one matrix; more are split into blocks.
 MATRIX_BYTES = 32 << 20
 MAX_PIVOTS = 256

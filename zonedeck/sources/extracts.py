@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonedeck.functions import codec
 from zonedeck.layout import Layout
@@ -32,13 +33,24 @@ def read_records(spark: SparkSession, path: str, reclen: int, mode: str = "failf
 
 def decode_records(records: DataFrame, layout: Layout, strip: str = "both", checked: bool = True) -> DataFrame:
     """Typed columns beside whatever else ``records`` carries; unread columns are never decoded."""
-    columns = codec.decode_columns(F.col("rec"), layout, strip)
-    shown = codec.checked_columns(F.col("rec"), layout, columns) if checked else columns
+    shown = codec.decode_columns(F.col("rec"), layout, strip, checked)
     flags = codec.condition_columns(layout, shown)
     kept = [F.col(c) for c in records.columns if c != "rec"]
     return records.select(*kept, *[c.alias(n) for n, c in {**shown, **flags}.items()])
 
 
+def explode_occurs(df: DataFrame, name: str, position: str = "entry") -> DataFrame:
+    """One row per repeat of an OCCURS item, numbered from 1, its parts as columns.
+
+    The outer form keeps Spark from decoding the array a second time just to test that it is not empty.
+    """
+    kept = [c for c in df.columns if c != name]
+    item = df.schema[name].dataType.elementType
+    rows = df.select(*kept, F.posexplode_outer(name).alias("_at", "_item")).where(F.col("_at").isNotNull())
+    parts = [F.col("_item.*")] if isinstance(item, T.StructType) else [F.col("_item").alias(name)]
+    return rows.select(*kept, (F.col("_at") + 1).alias(position), *parts)
+
+
 def split_records(records: DataFrame, layout: Layout, strip: str = "both") -> Loaded:
     """Decodable records as typed columns, and the rest with the reason they were set aside."""
     columns = codec.decode_columns(F.col("rec"), layout, strip)
@@ -88,11 +100,15 @@ def encode_fixed(df: DataFrame, layout: Layout, mode: str = "failfast", rounding
     return df.withColumn("rec", rec)
 
 
-def write_fixed(df: DataFrame, layout: Layout, path: str, rounding: str = "half_up") -> None:
-    """Write typed rows as record files, one file per task."""
-    fixedbin.register(df.sparkSession)
-    (encode_fixed(df, layout, "failfast", rounding).select("rec")
-     .write.format("fixedbin").option("path", path).option("reclen", layout.width).mode("append").save())
+def write_records(records: DataFrame, reclen: int, path: str, mode: str = "append") -> None:
+    """Write ready-made ``rec`` bytes, one file per task."""
+    fixedbin.register(records.sparkSession)
+    records.select("rec").write.format("fixedbin").option("path", path).option("reclen", reclen).mode(mode).save()
+
+
+def write_fixed(df: DataFrame, layout: Layout, path: str, rounding: str = "half_up", mode: str = "append") -> None:
+    """Write typed rows as record files."""
+    write_records(encode_fixed(df, layout, "failfast", rounding), layout.width, path, mode)
 
 
 def convert_extract(spark: SparkSession, path: str, layout: Layout, out: str, fmt: str = "csv") -> int:

@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+import sys
 import uuid
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -31,6 +33,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+# Workers get this module with the task, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BATCH_BYTES = 8 << 20
 SPLIT_BYTES = 128 << 20
 STAGING = "_temporary"
