@@ -32,7 +32,7 @@ def date_of_yyyymmdd(number: Column) -> Column:
 
 
 def abstime(ts: Column) -> Column:
-    return F.unix_millis(ts) + MILLIS_1900
+    return F.unix_millis(ts.cast("timestamp")) + MILLIS_1900
 
 
 def time_of_abstime(millis: Column) -> Column:

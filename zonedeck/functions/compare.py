@@ -23,27 +23,30 @@ def label_text(text: Column, strip_plus: bool = False) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+def _exact(token: Column) -> Column:
+    """The token's value, NULL where it has more digits than fit."""
+    point = F.instr(token, ".")
+    return F.when((point == 0) | (F.length(token) - point <= 18), token.try_cast(TOKEN))
+
+
 def token_pairs(expected: Column, actual: Column) -> Column:
-    """Tokens side by side with their difference; NULL where a token is too long to compare exactly."""
+    """Two token lists side by side with the difference; NULL where a token is too long to compare exactly."""
 
     def pair(e, a):
-        exact = lambda t: F.when(F.length(F.regexp_extract(t, r"\.(\d+)", 1)) <= 18, t.try_cast(TOKEN))
-        gap = F.abs(F.try_subtract(exact(e), exact(a)))
-        return F.struct(e.alias("expected"), a.alias("actual"),
-                        F.when(e == a, F.lit(0).cast(gap_type)).otherwise(gap.cast(gap_type)).alias("diff"))
+        gap = F.when(e == a, F.lit(0).cast(TOKEN)).otherwise(F.abs(F.try_subtract(_exact(e), _exact(a))).cast(TOKEN))
+        return F.struct(e.alias("expected"), a.alias("actual"), gap.alias("diff"))
 
-    gap_type = TOKEN
-    return F.zip_with(numeric_tokens(expected), numeric_tokens(actual), pair)
+    return F.zip_with(expected, actual, pair)
 
 
-def verdict(expected: Column, actual: Column, pairs: Column, tolerance: Column, strip_plus: bool = False) -> Column:
-    """First rule that fails: counts, comparability, values (difference above the tolerance), labels."""
-    counts = F.size(numeric_tokens(expected)) != F.size(numeric_tokens(actual))
+def verdict(expected: Column, actual: Column, expected_tokens: Column, actual_tokens: Column, pairs: Column,
+            tolerance: Column, strip_plus: bool = False) -> Column:
+    """First rule that fails: counts, values (difference above the tolerance), comparability, labels."""
     return (
         F.when(expected.isNull() | actual.isNull(), "skipped")
-        .when(counts, "count_mismatch")
+        .when(F.size(expected_tokens) != F.size(actual_tokens), "count_mismatch")
         .when(F.exists(pairs, lambda p: p["diff"] > tolerance), "value_mismatch")
         .when(F.exists(pairs, lambda p: p["diff"].isNull()), "not_comparable")
-        .when(label_text(expected, strip_plus) != label_text(actual, strip_plus), "label_mismatch")
+        .when((expected != actual) & (label_text(expected, strip_plus) != label_text(actual, strip_plus)), "label_mismatch")
         .otherwise("pass")
     )

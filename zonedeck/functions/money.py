@@ -27,7 +27,7 @@ def store(value: Column, digits: int, scale: int, rounding: str = "half_up") ->
 def _power(base: Column, exponent: Column, kind: str, bits: int) -> Column:
     """Square-and-multiply over the exponent's bits; the state is (result, square)."""
     start = F.struct(F.lit(1).cast(kind).alias("acc"), base.try_cast(kind).alias("square"))
-    masks = F.array(*[F.lit(1 << i) for i in range(bits)])
+    masks = F.slice(F.array(*[F.lit(1 << i) for i in range(bits)]), F.lit(1), F.length(F.bin(exponent)))
     state = F.aggregate(
         masks, start,
         lambda s, mask: F.struct(
@@ -48,5 +48,5 @@ def whole_power(base: Column, exponent: Column, bits: int = 14) -> Column:
     exponent = exponent.cast("int")
     inside = exponent.between(0, (1 << bits) - 1)
     fine, wide = _power(base, exponent, FINE, bits), _power(base, exponent, WIDE, bits)
-    both = "decimal(38,27)"
+    both = "decimal(37,27)"
     return F.when(inside, F.coalesce(fine.cast(both), wide.cast(both)))

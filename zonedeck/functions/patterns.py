@@ -1,42 +1,43 @@
 """Patterns that decide what a source program contains.
 
-Java reads ``\\w``, ``\\d``, ``\\s`` and ``\\b`` as ASCII here; ``(?d)`` makes only a newline end a line.
+``(?U)`` makes words, blanks and word borders follow Unicode, on every Java version; ``(?d)`` makes
+only a newline end a line.
 """
 
 # Command blocks, storage clauses, dataset hints and level-01 records.
-COMMAND_BLOCK = r"(?is)EXEC\s+CICS\b.*?END-EXEC"
-PACKED_USAGE = r"(?i)\bCOMP-3\b|\bPACKED-DECIMAL\b"
-BINARY_USAGE = r"(?i)\bCOMP\b|\bCOMP-4\b|\bBINARY\b"
-DATASET_HINT = r"(?is)EBCDIC|VSAM|KSDS|ESDS|RRDS|FD\s+\w+.*?RECORDING\s+MODE"
-RECORD = r"(?dms)^[ \t]*01\s+\w+.*?(?=^[ \t]*01\s+|\z)"
+COMMAND_BLOCK = r"(?isU)EXEC\s+CICS\b.*?END-EXEC"
+PACKED_USAGE = r"(?iU)\bCOMP-3\b|\bPACKED-DECIMAL\b"
+BINARY_USAGE = r"(?iU)\bCOMP\b|\bCOMP-4\b|\bBINARY\b"
+DATASET_HINT = r"(?isU)EBCDIC|VSAM|KSDS|ESDS|RRDS|FD\s+\w+.*?RECORDING\s+MODE"
+RECORD = r"(?dmsU)^[ \t]*01\s+\w+.*?(?=^[ \t]*01\s+|\z)"
 
 # Keyword rules, in the order they are tried, and the tag every program gets.
 ALWAYS_TAG = "decimal_precision"
 KEYWORD_RULES = [
-    (r"(?i)\bPIC\b|\bPICTURE\b", "pic_clause"),
-    (r"(?i)\bCOMP\b|\bCOMP-3\b|\bBINARY\b|\bPACKED", "pic_comp"),
-    (r"(?i)\bCOMPUTE\b", "compute"),
-    (r"(?i)\bADD\b|\bSUBTRACT\b|\bMULTIPLY\b|\bDIVIDE\b", "add_subtract_multiply_divide"),
-    (r"(?i)\bPERFORM\b", "perform"),
-    (r"(?i)\bIF\b|\bELSE\b|\bEVALUATE\b", "if_evaluate"),
-    (r"(?i)\bMOVE\b", "move"),
-    (r"(?i)\bOCCURS\b", "occurs"),
-    (r"(?i)\bREDEFINES\b", "redefines"),
-    (r"(?i)\bCOPY\b", "copy_books"),
-    (r"(?i)\bREAD\b|\bWRITE\b|\bOPEN\b|\bCLOSE\b|\bFD\b|\bSELECT\b", "read_write"),
-    (r"(?i)\bCALL\b|\bLINKAGE\b", "call_linkage"),
-    (r"(?i)\bDISPLAY\b|\bACCEPT\b", "display_accept"),
-    (r"(?i)\bSTRING\b|\bUNSTRING\b", "string_unstring"),
-    (r"(?i)\bINSPECT\b", "inspect"),
-    (r"(?i)\bFUNCTION\b", "intrinsic_functions"),
-    (r"(?i)\bWORKING-STORAGE\b", "working_storage"),
-    (r"(?i)\bPROCEDURE DIVISION\b", "procedure_div"),
-    (r"(?i)\bSTOP RUN\b|\bGOBACK\b", "stop_run_goback"),
-    (r"(?i)\bDATE\b|\bTIME\b", "date_handling"),
-    (r"(?i)\bROUNDED\b|\bON SIZE ERROR\b", "decimal_precision"),
-    (r"(?i)\bSIGN\b|\bLEADING\b|\bTRAILING\b", "sign_handling"),
-    (r"(?i)\b(interest|loan|amort|annuity)\b", "interest_calculation"),
-    (r"(?i)\b(payroll|gross.pay|net.pay|tax.rate)\b", "payroll_patterns"),
+    (r"(?iU)\bPIC\b|\bPICTURE\b", "pic_clause"),
+    (r"(?iU)\bCOMP\b|\bCOMP-3\b|\bBINARY\b|\bPACKED", "pic_comp"),
+    (r"(?iU)\bCOMPUTE\b", "compute"),
+    (r"(?iU)\bADD\b|\bSUBTRACT\b|\bMULTIPLY\b|\bDIVIDE\b", "add_subtract_multiply_divide"),
+    (r"(?iU)\bPERFORM\b", "perform"),
+    (r"(?iU)\bIF\b|\bELSE\b|\bEVALUATE\b", "if_evaluate"),
+    (r"(?iU)\bMOVE\b", "move"),
+    (r"(?iU)\bOCCURS\b", "occurs"),
+    (r"(?iU)\bREDEFINES\b", "redefines"),
+    (r"(?iU)\bCOPY\b", "copy_books"),
+    (r"(?iU)\bREAD\b|\bWRITE\b|\bOPEN\b|\bCLOSE\b|\bFD\b|\bSELECT\b", "read_write"),
+    (r"(?iU)\bCALL\b|\bLINKAGE\b", "call_linkage"),
+    (r"(?iU)\bDISPLAY\b|\bACCEPT\b", "display_accept"),
+    (r"(?iU)\bSTRING\b|\bUNSTRING\b", "string_unstring"),
+    (r"(?iU)\bINSPECT\b", "inspect"),
+    (r"(?iU)\bFUNCTION\b", "intrinsic_functions"),
+    (r"(?iU)\bWORKING-STORAGE\b", "working_storage"),
+    (r"(?iU)\bPROCEDURE DIVISION\b", "procedure_div"),
+    (r"(?iU)\bSTOP RUN\b|\bGOBACK\b", "stop_run_goback"),
+    (r"(?iU)\bDATE\b|\bTIME\b", "date_handling"),
+    (r"(?iU)\bROUNDED\b|\bON SIZE ERROR\b", "decimal_precision"),
+    (r"(?iU)\bSIGN\b|\bLEADING\b|\bTRAILING\b", "sign_handling"),
+    (r"(?iU)\b(interest|loan|amort|annuity)\b", "interest_calculation"),
+    (r"(?iU)\b(payroll|gross.pay|net.pay|tax.rate)\b", "payroll_patterns"),
 ]
 
 # Commands by category.

@@ -83,9 +83,10 @@ _STATEMENT = re.compile(r"^\s*(\d\d)\s+([\w-]+)(.*?)\.\s*$", re.M | re.S)
 _PICTURE = re.compile(r"\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)", re.I)
 
 
-def _count(symbol: str, picture: str) -> int:
-    """How often a picture symbol stands, with ``9(5)`` counting five."""
-    return sum(int(n) if n else 1 for n in re.findall(re.escape(symbol) + r"(?:\((\d+)\))?", picture))
+def _count(symbols: str, picture: str) -> int:
+    """How many positions the given picture symbols take; ``X(9)`` takes nine and holds no 9."""
+    found = re.findall(r"([A-Z9])(?:\((\d+)\))?", picture)
+    return sum(int(n) if n else 1 for symbol, n in found if symbol in symbols)
 
 
 def _item(name: str, clauses: str) -> Field:
@@ -101,8 +102,8 @@ def _item(name: str, clauses: str) -> Field:
     if not found:
         return Field(name, "group", **shape)
     picture = found.group(1).upper()
-    if "9" not in picture:
-        return Field(name, "text", length=_count("X", picture) + _count("A", picture), **shape)
+    if not _count("9", picture) or _count("XA", picture):
+        return Field(name, "text", length=_count("XA9", picture), **shape)
     whole, _, part = picture.partition("V")
     scale = _count("9", part)
     number = {"digits": _count("9", whole) + scale, "scale": scale, "signed": picture.startswith("S")}

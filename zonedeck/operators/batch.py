@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonedeck.functions import clock, text
+from zonedeck.functions.guard import keep_complete
 from zonedeck.functions.money import FINE, store, whole_power
 
 
@@ -58,11 +60,8 @@ def post_amounts(df: DataFrame, price: str, quantity: str, discount: str, roundi
         "unit_price": quotient,
         "unit_remainder": remainder.try_cast(f"decimal({digits},{scale + 2})"),
     }
-    done = df.withColumns(results)
-    size_error = F.lit(False)
-    for name in results:
-        size_error = size_error | F.col(name).isNull()
-    return Posted(done.where(~size_error), done.where(size_error).select(*df.columns))
+    size_error = reduce(lambda a, b: a | b, [c.isNull() for c in results.values()])
+    return Posted(keep_complete(df, results, df.columns), df.where(size_error))
 
 
 def compound_interest(principal: Column, annual_rate: Column, per_year: Column, years: Column,

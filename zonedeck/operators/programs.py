@@ -138,10 +138,12 @@ def segment_summary(corpus: DataFrame, key: str = "path", text: str = "text") ->
 _STATEMENT = r"(?dms)^[ \t]*\d\d\s+[\w-]+.*?\.[ \t]*$"
 
 
-def _symbols(picture: Column, symbol: str) -> Column:
-    """How many positions a picture symbol stands for."""
-    counts = F.regexp_extract_all(picture, F.lit(symbol + r"(?:\((\d+)\))?"), F.lit(1))
-    return F.aggregate(counts, F.lit(0), lambda n, c: n + F.when(c == "", 1).otherwise(F.try_to_number(c, F.lit("99999")).cast("int")))
+def _symbols(picture: Column, symbols: str) -> Column:
+    """How many positions the picture symbols of a class take; ``X(9)`` takes nine and holds no 9."""
+    found = F.regexp_extract_all(picture, F.lit(r"[A-Z9](?:\(\d+\))?"), F.lit(0))
+    fitting = F.filter(found, lambda s: s.rlike(f"^[{symbols}]"))
+    size = lambda s: F.coalesce(F.regexp_extract(s, r"\((\d+)\)", 1).try_cast("int"), F.lit(1))
+    return F.aggregate(fitting, F.lit(0), lambda n, s: n + size(s))
 
 
 def _parsed(statement: Column) -> Column:
@@ -164,7 +166,7 @@ def _parsed(statement: Column) -> Column:
 
 def _item_width(item: Column) -> Column:
     digits = _symbols(item["pic"], "9")
-    display = digits + _symbols(item["pic"], "X") + _symbols(item["pic"], "A") + item["sign_byte"]
+    display = _symbols(item["pic"], "9XA") + item["sign_byte"]
     return (F.when(item["usage"] == "group", 0)
             .when(item["usage"] == "packed", F.floor(digits / 2).cast("int") + 1)
             .when(item["usage"] == "binary", F.when(digits <= 4, 2).when(digits <= 9, 4).otherwise(8))

@@ -16,15 +16,17 @@ def check_equivalence(pairs: DataFrame, expected: str = "expected", actual: str
     """
     limit = F.lit(tolerance).cast(TOKEN)
     e, a = F.col(expected), F.col(actual)
-    compared = pairs.withColumn("_pairs", token_pairs(e, a))
+    # Each list is built in a projection of its own, so that what reads it does not extract it again.
+    compared = (pairs.withColumn("_e_tokens", numeric_tokens(e)).withColumn("_a_tokens", numeric_tokens(a))
+                .withColumn("_pairs", token_pairs(F.col("_e_tokens"), F.col("_a_tokens"))))
     located = F.transform(F.col("_pairs"), lambda p, i: F.struct(
         (i + 1).alias("token"), p["expected"].alias("expected"), p["actual"].alias("actual"), p["diff"].alias("diff")))
-    judged = verdict(e, a, F.col("_pairs"), limit, strip_plus)
+    judged = verdict(e, a, F.col("_e_tokens"), F.col("_a_tokens"), F.col("_pairs"), limit, strip_plus)
     return (compared.withColumn("verdict", judged)
-            .withColumn("tokens", F.size(numeric_tokens(e)))
+            .withColumn("tokens", F.size("_e_tokens"))
             .withColumn("diffs", F.when(F.col("verdict") == "value_mismatch",
                                         F.filter(located, lambda d: d["diff"] > limit)))
-            .drop("_pairs"))
+            .drop("_pairs", "_e_tokens", "_a_tokens"))
 
 
 def diff_rows(checked: DataFrame, keys: list[str]) -> DataFrame:

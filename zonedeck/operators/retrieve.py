@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonedeck.functions import patterns as P
+from zonedeck.operators.lookup import lookup_join
 from zonedeck.operators.programs import tags
 
 # Workers get this module with the task, so the package need not be installed on them.
@@ -57,8 +58,8 @@ def _closest(queries, vectors, k):
     """Column numbers and distances of the k nearest rows; ``vectors`` must be in id order for ties."""
     import numpy as np
 
-    distance = np.round(1.0 - queries @ vectors.T, TIE_DECIMALS)
-    order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+    distance = 1.0 - queries @ vectors.T
+    order = np.argsort(np.round(distance, TIE_DECIMALS), axis=1, kind="stable")[:, :k]
     return order, np.take_along_axis(distance, order, axis=1)
 
 
@@ -181,7 +182,7 @@ def _large_side(queries: DataFrame, vectors: DataFrame, query_id: str, vector: s
     asked = (_cells_to_search(queries.select(query_id, vector), vector, pivots, radius, counts, min(k, total))
              .withColumn("_salt", F.pmod(F.xxhash64(query_id), F.lit(salts)).cast("int"))
              .withColumn("_cell", F.explode("_cells"))
-             .withColumn("_block", F.explode(F.sequence(F.lit(0), block_of(F.col("_cell")) - 1)).cast("bigint"))
+             .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), (block_of(F.col("_cell")) - 1).cast("bigint"))))
              .select(F.col(query_id).alias("_qid"), F.col(vector).alias("_vec"), "_cell", "_block", "_salt"))
 
     def search(key, left, right):
@@ -204,7 +205,7 @@ def _large_side(queries: DataFrame, vectors: DataFrame, query_id: str, vector: s
     place = ["_cell", "_block", "_salt"]
     found = asked.groupBy(*place).cogroup(kept.groupBy(*place)).applyInArrow(search, out)
     ranked = found.withColumn("_rank", F.row_number().over(
-        Window.partitionBy("_qid").orderBy("_distance", "_vid"))).where(F.col("_rank") <= k)
+        Window.partitionBy("_qid").orderBy(F.round("_distance", TIE_DECIMALS), "_vid"))).where(F.col("_rank") <= k)
     gathered = ranked.groupBy("_qid").agg(
         F.array_sort(F.collect_list(F.struct("_rank", "_vid", "_distance"))).alias("_n"))
     return (queries.join(gathered, queries[query_id] == gathered["_qid"], "left").drop("_qid")
@@ -253,6 +254,17 @@ def retrieve(queries: DataFrame, chunks: DataFrame, rules: list[tuple[str, str]]
             .drop("_seen", "neighbours"))
 
 
+def attach_notes(retrieved: DataFrame, chunks: DataFrame, query_id: str = "query_id", vec_id: str = "id",
+                 note: str = "text") -> DataFrame:
+    """Add ``notes``, the texts of ``chunk_ids`` in the same order.  A note every query asks for is salted."""
+    asked = retrieved.select(query_id, F.posexplode("chunk_ids").alias("_at", "_cid"))
+    texts = chunks.select(F.col(vec_id).cast("string").alias("_cid"), F.col(note).alias("_note"))
+    found = lookup_join(asked, texts, ["_cid"])
+    gathered = found.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("_at", "_note"))).alias("_n"))
+    return (retrieved.join(gathered, query_id, "left")
+            .withColumn("notes", F.coalesce(F.col("_n._note"), F.array().cast("array<string>"))).drop("_n"))
+
+
 def top_k_chunks(candidates: DataFrame, query_id: str, stage: str, rank: str, chunk_id: str, k: int) -> DataFrame:
     """The table form of the same merge: candidates by (stage, rank), each note once, first k per query.
 

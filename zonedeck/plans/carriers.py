@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from zonedeck.layout import Layout
+from zonedeck.session import spread
 
 
 class Carrier:
@@ -16,7 +17,8 @@ class Carrier:
         self.table, self.columns = table, columns
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, self.table).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
+        rows = spread(table(spark, sf_dir, self.table))
+        return rows.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
 
     @property
     def sql(self) -> str:
@@ -202,6 +204,15 @@ _PROGRAM = text_of(
 )
 PROGRAMS = Carrier("orders", path="CAST(o_orderkey AS BIGINT)", text=_PROGRAM)
 
+STORED_PROGRAMS = Carrier("supplier", path="CAST(s_suppkey AS BIGINT)", text=text_of(
+    _line("       IDENTIFICATION DIVISION."),
+    _line("       PROGRAM-ID. SUP", "=CAST(s_suppkey AS STRING)", "."),
+    _line("       PROCEDURE DIVISION."),
+    _when("s_nationkey % 2 = 0", "           DISPLAY 'EVEN'."),
+    _line("           DISPLAY '", "=s_name", "'."),
+    "           STOP RUN.",
+))
+
 COPYBOOKS = Carrier("part", path="CAST(p_partkey AS BIGINT)", text=text_of(
     _line("       01 PART-RECORD."),
     "=" + text_of("          05 PART-ID        PIC X(", "=CAST(4 + p_partkey % 6 AS STRING)", ").", NL),

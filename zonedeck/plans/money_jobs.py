@@ -10,6 +10,7 @@ from zonedeck.operators import reconcile as R
 from zonedeck.plans import carriers as C
 from zonedeck.plans.records import recoded
 from zonedeck.plans.registry import query
+from zonedeck.session import spread
 
 _NUM = r"-?\d+(?:\.\d+)?"
 
@@ -21,11 +22,11 @@ def _label(column):
 def _verdict(pairs):
     gap = "abs(CAST(z[1] AS DECIMAL(28,10)) - CAST(z[2] AS DECIMAL(28,10))) > 0.0001"
     return f"""
-    (SELECT *, CASE WHEN len(et) <> len(at) THEN 'count_mismatch'
-                    WHEN len(list_filter(list_zip(et, at), lambda z: {gap})) > 0 THEN 'value_mismatch'
+    (SELECT *, CASE WHEN len(exp_n) <> len(act_n) THEN 'count_mismatch'
+                    WHEN len(list_filter(list_zip(exp_n, act_n), lambda z: {gap})) > 0 THEN 'value_mismatch'
                     WHEN {_label('expected')} <> {_label('actual')} THEN 'label_mismatch' ELSE 'pass' END AS verdict,
-            CASE WHEN len(et) = len(at) THEN list_filter(list_zip(et, at, range(1, len(et) + 1)), lambda z: {gap}) ELSE [] END AS gaps
-     FROM (SELECT *, regexp_extract_all(expected, '{_NUM}') AS et, regexp_extract_all(actual, '{_NUM}') AS at FROM {pairs}))"""
+            CASE WHEN len(exp_n) = len(act_n) THEN list_filter(list_zip(exp_n, act_n, range(1, len(exp_n) + 1)), lambda z: {gap}) ELSE [] END AS gaps
+     FROM (SELECT *, regexp_extract_all(expected, '{_NUM}') AS exp_n, regexp_extract_all(actual, '{_NUM}') AS act_n FROM {pairs}))"""
 
 
 _PAIRS = _verdict(C.REPORT_PAIRS.sql)
@@ -36,7 +37,7 @@ def checked(spark, sf_dir):
 
 
 @query("check_equivalence", f"""
-    SELECT l_orderkey, l_partkey, verdict, CAST(len(et) AS INTEGER) AS tokens, CAST(len(gaps) AS INTEGER) AS differing FROM {_PAIRS}""")
+    SELECT l_orderkey, l_partkey, verdict, CAST(len(exp_n) AS INTEGER) AS tokens, CAST(len(gaps) AS INTEGER) AS differing FROM {_PAIRS}""")
 def check_equivalence(spark, sf_dir):
     return checked(spark, sf_dir).select("l_orderkey", "l_partkey", "verdict", "tokens",
                                          F.coalesce(F.size("diffs"), F.lit(0)).alias("differing"))
@@ -62,7 +63,7 @@ def reconcile(spark, sf_dir):
 
 
 def lines(spark, sf_dir):
-    return C.table(spark, sf_dir, "lineitem").select(
+    return spread(C.table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", F.col("l_extendedprice").cast("decimal(11,2)").alias("price"),
         F.col("l_quantity").cast("decimal(7,2)").alias("quantity"), F.col("l_discount").cast("decimal(4,2)").alias("discount"))
 
@@ -120,7 +121,7 @@ _LOANS = """(SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(11,2)) AS amount,
 
 
 def loans(spark, sf_dir):
-    orders = C.table(spark, sf_dir, "orders")
+    orders = spread(C.table(spark, sf_dir, "orders"))
     return orders.selectExpr(
         "o_orderkey", "CAST(o_totalprice AS DECIMAL(11,2)) AS amount",
         "CAST(1 + (o_custkey % 40) * CAST(0.25 AS DECIMAL(3,2)) AS DECIMAL(5,2)) AS rate",
@@ -204,7 +205,7 @@ def cleanse_text(spark, sf_dir):
     SELECT event_id, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS yyyymmdd,
            CAST((year(ts) * 10000 + month(ts) * 100 + day(ts)) % 1000000 AS INTEGER) AS yymmdd,
            CAST(CAST(ts AS DATE) - DATE '1600-12-31' AS INTEGER) AS day_number,
-           epoch_ms(ts) + 2208988800000 AS abstime, CAST(ts AS DATE) AS day_back, CAST(ts AS DATE) AS date_back,
+           epoch_us(ts) // 1000 + 2208988800000 AS abstime, CAST(ts AS DATE) AS day_back, CAST(ts AS DATE) AS date_back,
            strftime(ts, '%H:%M:%S') AS clock_time FROM events""")
 def calendar(spark, sf_dir):
     return B.calendar(C.table(spark, sf_dir, "events").select("event_id", "ts"), "ts").drop("ts")

@@ -57,3 +57,19 @@ def broadcast_bound(spark: SparkSession) -> int:
         if raw.endswith(unit):
             return max(0, int(raw[: -len(unit)]) * factor)
     return max(0, int(raw))
+
+
+#: Below this size a table is not worth spreading.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core before costly per-row work.
+
+    Only a table stored in fewer splits than the session has cores is touched, such as one small
+    file with a single row group; a scan of many splits stays as it is, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
