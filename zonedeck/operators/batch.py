@@ -60,8 +60,9 @@ def post_amounts(df: DataFrame, price: str, quantity: str, discount: str, roundi
         "unit_price": quotient,
         "unit_remainder": remainder.try_cast(f"decimal({digits},{scale + 2})"),
     }
-    size_error = reduce(lambda a, b: a | b, [c.isNull() for c in results.values()])
-    return Posted(keep_complete(df, results, df.columns), df.where(size_error))
+    fits = reduce(lambda a, b: a & b, [F.col(f"_v.{n}").isNotNull() for n in results])
+    rejects = keep_complete(df, results, df.columns, ~fits).select(*df.columns)
+    return Posted(keep_complete(df, results, df.columns, fits), rejects)
 
 
 def compound_interest(principal: Column, annual_rate: Column, per_year: Column, years: Column,

@@ -6,6 +6,8 @@ size of the corpus.  ``key`` names the program's identifying column.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -32,29 +34,63 @@ def detect_constructs(corpus: DataFrame, text: str = "text") -> DataFrame:
     return corpus.withColumns({"cics": t.rlike(P.COMMAND_BLOCK), "vsam": needs_record_work(t)})
 
 
-def tags(text: Column, rules: list[tuple[str, str]], always: str | None = None) -> Column:
-    """Tags of all matching rules in rule order, each once, after the tag that is always given."""
+def _needles(pattern: str) -> list[str] | None:
+    """Upper-case words one of which any match must contain; NULL where the pattern is not that simple."""
+    body = re.fullmatch(r"\(\?iU?\)((?:\\b|[A-Za-z0-9 |().-])+)", pattern)
+    if not body:
+        return None
+    starts = [re.match(r"[A-Za-z0-9 -]*", part)[0] for part in re.sub(r"\\b|[()]", "", body[1]).split("|")]
+    return None if "" in starts else [s.upper() for s in starts]
+
+
+def _tag_list(text: Column, plain: Column, rules: list[tuple[str, str]], always: str | None) -> Column:
     first = [F.lit(always)] if always else []
-    found = [F.when(text.rlike(pattern), F.lit(tag)) for pattern, tag in rules]
-    return F.array_distinct(F.array_compact(F.array(*first, *found)))
+    found = []
+    for pattern, tag in rules:
+        if tag == always:
+            continue
+        hit = text.rlike(pattern)
+        words = _needles(pattern)
+        if words:
+            there = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in words])
+            hit = F.coalesce(there, F.lit(True)) & hit
+        found.append(F.when(hit, F.lit(tag)))
+    # Drops NULLs and repeats in one generated expression; array_compact would leave code generation.
+    return F.array_except(F.array(*first, *found), F.array(F.lit(None).cast("string")))
 
 
 def tag_rules(docs: DataFrame, rules: list[tuple[str, str]] | DataFrame = P.KEYWORD_RULES,
               always: str | None = P.ALWAYS_TAG, text: str = "text") -> DataFrame:
-    """Add ``tags``.  A rule table ``(ord, pattern, tag)`` is read into the plan, up to ``MAX_RULES`` rules."""
+    """Add ``tags``: those of all matching rules in rule order, each once, after the one always given.
+
+    A rule table ``(ord, pattern, tag)`` is read into the plan, up to ``MAX_RULES`` rules.  Where a rule
+    needs a certain word and the text is plain ASCII, a substring search decides first whether its
+    pattern is worth trying.
+    """
     if isinstance(rules, DataFrame):
         rows = rules.orderBy("ord").limit(MAX_RULES + 1).collect()
         if len(rows) > MAX_RULES:
             raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
         rules = [(r.pattern, r.tag) for r in rows]
-    return docs.withColumn("tags", tags(F.col(text), rules, always))
+    t = F.col(text)
+    plain = F.when(F.length(t) == F.octet_length(t), F.upper(t))
+    return (docs.withColumn("_plain", plain)
+            .withColumn("tags", _tag_list(t, F.col("_plain"), rules, always)).drop("_plain"))
+
+
+def _unfold(df: DataFrame, key: str, found: Column) -> DataFrame:
+    """``(key, pos, original)``, positions from 1.
+
+    The plain form of the generator makes Spark test beforehand that the list is not empty, which
+    here would mean finding everything twice.
+    """
+    return (df.select(key, F.posexplode_outer(found).alias("_at", "original")).where(F.col("_at").isNotNull())
+            .select(key, (F.col("_at") + 1).alias("pos"), "original"))
 
 
 def extract_blocks(corpus: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """``(key, pos, original)`` for every command block, positions from 1."""
-    return (corpus.where(F.col(text).rlike(P.COMMAND_BLOCK))
-            .select(key, F.posexplode(_blocks(F.col(text))).alias("at", "original"))
-            .select(key, (F.col("at") + 1).alias("pos"), "original"))
+    """``(key, pos, original)`` for every command block."""
+    return _unfold(corpus, key, _blocks(F.col(text)))
 
 
 def _records(text: Column, strict: bool) -> Column:
@@ -72,9 +108,7 @@ def extract_records(corpus: DataFrame, key: str = "path", text: str = "text", st
     Without ``strict`` the last record of a program runs to the end of its text, as in the reference;
     with it a record ends at the next division or section header.
     """
-    return (corpus.where(needs_record_work(F.col(text)))
-            .select(key, F.posexplode(_records(F.col(text), strict)).alias("at", "original"))
-            .select(key, (F.col("at") + 1).alias("pos"), "original"))
+    return _unfold(corpus, key, F.when(needs_record_work(F.col(text)), _records(F.col(text), strict)))
 
 
 def stub(original: Column, translated: Column) -> Column:
@@ -177,31 +211,44 @@ _OUT = "array<struct<record:string,level:int,name:string,pic:string,usage:string
 _OPEN = "array<struct<level:int,times:int,start:int,resume:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _place(state: Column, item: Column) -> Column:
     """Next state after one statement: open groups, byte position, fields placed so far."""
-    level, width = item["level"], item["width"]
-    top = level.isin(1, 77)
-    closing = F.filter(state["open"], lambda g: g["level"] >= level)
-    at = F.aggregate(F.reverse(closing), state["at"], lambda p, g: F.when(g["resume"] >= 0, g["resume"])
-                     .otherwise(g["start"] + (p - g["start"]) * g["times"]))
-    at = F.when(top, 0).otherwise(at)
-    record = F.when(top, item["name"]).otherwise(state["record"])
-    target = F.filter(state["out"], lambda o: (o["record"] == record) & (o["name"] == item["redefines"]))
-    overlay = item["redefines"] != ""
-    start = F.when(overlay, F.coalesce(F.try_element_at(target, F.lit(-1))["offset"], at)).otherwise(at)
-    group = item["usage"] == "group"
+    top = item["level"].isin(1, 77)
+    closing = F.filter(state["open"], lambda g: g["level"] >= item["level"])
+    closed = F.aggregate(F.reverse(closing), state["at"], lambda p, g: F.when(g["resume"] >= 0, g["resume"])
+                         .otherwise(g["start"] + (p - g["start"]) * g["times"]))
+    here = F.struct(F.when(top, 0).otherwise(closed).alias("at"),
+                    F.when(top, item["name"]).otherwise(state["record"]).alias("record"))
+    return _let(here, lambda h: _let(_start(state, item, h), lambda start: _placed(state, item, h, start, top)))
+
+
+def _start(state: Column, item: Column, here: Column) -> Column:
+    """Where an item begins: at its target when it is an overlay."""
+    target = F.filter(state["out"], lambda o: (o["record"] == here["record"]) & (o["name"] == item["redefines"]))
+    found = F.try_element_at(F.when(item["redefines"] != "", target), F.lit(-1))["offset"]
+    return F.coalesce(found, here["at"])
+
+
+def _placed(state: Column, item: Column, here: Column, start: Column, top: Column) -> Column:
+    level, at, group, overlay = item["level"], here["at"], item["usage"] == "group", item["redefines"] != ""
+    width = item["width"] * item["occurs"]
     opened = F.array(F.struct(level.alias("level"), item["occurs"].alias("times"), start.alias("start"),
                               F.when(overlay, at).otherwise(-1).alias("resume"))).cast(_OPEN)
-    placed = F.array(F.struct(
-        record.alias("record"), level.alias("level"), item["name"].alias("name"), item["pic"].alias("pic"),
+    row = F.array(F.struct(
+        here["record"].alias("record"), level.alias("level"), item["name"].alias("name"), item["pic"].alias("pic"),
         item["usage"].alias("usage"), item["occurs"].alias("occurs"), item["redefines"].alias("redefines"),
-        start.alias("offset"), F.when(~group, width * item["occurs"]).cast("int").alias("width"))).cast(_OUT)
+        start.alias("offset"), F.when(~group, width).cast("int").alias("width"))).cast(_OUT)
     still = F.filter(state["open"], lambda g: (g["level"] < level) & ~top)
     return F.struct(
-        record.alias("record"),
-        F.when(group, start).when(overlay, at).otherwise(at + width * item["occurs"]).cast("int").alias("at"),
+        here["record"].alias("record"),
+        F.when(group, start).when(overlay, at).otherwise(at + width).cast("int").alias("at"),
         F.when(group, F.concat(still, opened)).otherwise(still).alias("open"),
-        F.concat(state["out"], placed).alias("out"),
+        F.concat(state["out"], row).alias("out"),
     )
 
 
@@ -221,4 +268,5 @@ def layout_census(corpus: DataFrame, key: str = "path", text: str = "text") -> D
                      F.array().cast(_OUT).alias("out"))
     placed = F.aggregate(F.col("_items"), empty, _place)["out"]
     return (corpus.select(key, sized.alias("_items"))
-            .select(key, F.posexplode(placed).alias("line", "f")).select(key, "line", "f.*"))
+            .select(key, F.posexplode_outer(placed).alias("line", "f")).where(F.col("line").isNotNull())
+            .select(key, "line", "f.*"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from zonedeck.functions import patterns as P
 from zonedeck.operators.lookup import lookup_join
-from zonedeck.operators.programs import tags
+from zonedeck.operators.programs import tag_rules
 
 # Workers get this module with the task, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -244,7 +244,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, rules: list[tuple[str, str]]
     first, in rule order; the others follow by distance.
     """
     most = k + len({tag for _, tag in rules} | ({always} if always else set()))
-    tagged = queries.withColumn("tags", tags(F.col(text), rules, always))
+    tagged = tag_rules(queries, rules, always, text)
     lists = nearest_lists(tagged, chunks, most, query_id, **names)
     seen = F.transform(F.slice("neighbours", F.lit(1), F.size("tags") + k), lambda n: n["id"].cast("string"))
     promoted = F.filter("tags", lambda t: F.array_contains(F.col("_seen"), t))

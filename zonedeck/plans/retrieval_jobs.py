@@ -125,7 +125,7 @@ def top_k_chunks(spark, sf_dir):
     """The merge from a table of candidates, where promoted notes are offered by both stages."""
     chunks, queries = notes_and_queries(spark, sf_dir)
     rules = [(p, t) for p, _, t in NOTE_RULES]
-    tagged = queries.withColumn("tags", R.tags(F.col("text"), rules, ALWAYS))
+    tagged = R.tag_rules(queries, rules, ALWAYS)
     near = R.nearest_lists(tagged, chunks, K + len({t for _, t in rules}))
     rows = (near.select("query_id", "tags", F.inline("neighbours"))
             .where(F.col("rank") <= F.size("tags") + K)

@@ -41,11 +41,12 @@ def append_log(spark, sf_dir):
            count(*) FILTER (event_type = 'error') AS error_count
     FROM events GROUP BY 1""")
 def control_totals_stream(spark, sf_dir):
-    """All windows, the open one included."""
+    """All windows, the open one and late rows included."""
     out, checkpoint = shared_dir(spark, "totals"), shared_dir(spark, "totals-state")
     records = arriving(spark, sf_dir).select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(11,2)").alias("amount"),
         F.when(F.col("event_type") == "error", "E").otherwise("A").alias("status"))
-    feeds.control_totals_stream(records, "ts", "status", "amount", out, checkpoint,
-                                output_mode="complete").awaitTermination()
-    return spark.read.parquet(out).select(F.to_date("window_start").alias("day"), "record_count", "total_amount", "error_count")
+    feeds.control_totals_partials(records, "ts", "status", "amount", out, checkpoint).awaitTermination()
+    return feeds.read_totals(spark, out).select(
+        F.to_date("window_start").alias("day"), "record_count",
+        F.col("total_amount").cast("decimal(21,2)").alias("total_amount"), "error_count")

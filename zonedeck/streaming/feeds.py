@@ -42,8 +42,9 @@ def control_totals_stream(records: DataFrame, ts: str, status: str, amount: str,
                           available_now: bool = True) -> StreamingQuery:
     """Running control totals.
 
-    ``append`` writes a window once, when the watermark has passed it, and state stays bounded.
-    ``complete`` rewrites all windows with every batch, for totals that include the open window.
+    ``append`` writes a window once, when the watermark has passed it; state stays bounded, and rows
+    later than the watermark are dropped by Spark.  ``complete`` rewrites all windows with every batch.
+    Where late rows must count, use ``control_totals_partials``.
     """
     totals = windowed_totals(records, ts, status, amount, window, late)
     writer = totals.writeStream.option("checkpointLocation", checkpoint).outputMode(output_mode)
@@ -52,3 +53,25 @@ def control_totals_stream(records: DataFrame, ts: str, status: str, amount: str,
     else:
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def control_totals_partials(records: DataFrame, ts: str, status: str, amount: str, out: str, checkpoint: str,
+                            window: str = "1 day", available_now: bool = True) -> StreamingQuery:
+    """Running control totals that never leave a row out, however late it comes, and hold no state.
+
+    Each batch is totalled by itself into a folder named after it, so a repeated batch replaces its own
+    output.  ``read_totals`` adds the batches up.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        windowed_totals(batch, ts, status, amount, window).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Totals per window over all batches written so far."""
+    return (spark.read.parquet(out).groupBy("window_start", "window_end")
+            .agg(F.sum("record_count").alias("record_count"), F.sum("total_amount").alias("total_amount"),
+                 F.sum("error_count").alias("error_count")))
