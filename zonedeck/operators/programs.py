@@ -180,19 +180,23 @@ def _symbols(picture: Column, symbols: str) -> Column:
     return F.aggregate(fitting, F.lit(0), lambda n, s: n + size(s))
 
 
-def _parsed(statement: Column) -> Column:
-    part = lambda pattern, group=1: F.regexp_extract(statement, pattern, group)
-    clauses = F.regexp_extract(statement, r"(?dms)^[ \t]*\d\d\s+[\w-]+(.*)\.[ \t]*$", 1)
-    picture = F.upper(F.regexp_extract(clauses, r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)", 1))
+def _split_statement(statement: Column) -> Column:
+    clauses = F.regexp_extract(statement, r"(?ds)^\s*\d\d\s+[\w-]+(.*)\.[ \t]*$", 1)
+    return F.struct(F.regexp_extract(statement, r"^\s*(\d\d)", 1).cast("int").alias("level"),
+                    F.regexp_extract(statement, r"^\s*\d\d\s+([\w-]+)", 1).alias("name"),
+                    clauses.alias("clauses"),
+                    F.upper(F.regexp_extract(clauses, r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)", 1)).alias("pic"))
+
+
+def _parsed(head: Column) -> Column:
+    clauses = head["clauses"]
     occurs = F.regexp_extract(clauses, r"(?i)\bOCCURS\s+(?:\d+\s+TO\s+)?(\d+)", 1)
     usage = (F.when(clauses.rlike(P.PACKED_USAGE), "packed").when(clauses.rlike(P.BINARY_USAGE), "binary")
              .otherwise("display"))
     return F.struct(
-        part(r"^\s*(\d\d)").cast("int").alias("level"),
-        part(r"^\s*\d\d\s+([\w-]+)").alias("name"),
-        picture.alias("pic"),
-        F.when(picture == "", "group").otherwise(usage).alias("usage"),
-        F.when(occurs == "", 1).otherwise(occurs.try_cast("int")).alias("occurs"),
+        head["level"].alias("level"), head["name"].alias("name"), head["pic"].alias("pic"),
+        F.when(head["pic"] == "", "group").otherwise(usage).alias("usage"),
+        F.coalesce(occurs.try_cast("int"), F.lit(1)).alias("occurs"),
         F.regexp_extract(clauses, r"(?i)\bREDEFINES\s+([\w-]+)", 1).alias("redefines"),
         clauses.rlike(r"(?i)\b(LEADING|TRAILING)\s+SEPARATE").cast("int").alias("sign_byte"),
     )
@@ -260,7 +264,9 @@ def layout_census(corpus: DataFrame, key: str = "path", text: str = "text") -> D
     renames are left out.  A program is worked through inside its own row.
     """
     statements = F.regexp_extract_all(F.col(text), F.lit(_STATEMENT), F.lit(0))
-    items = F.filter(F.transform(statements, _parsed), lambda i: ~i["level"].isin(66, 88))
+    # One stage per step: a later stage reads fields of an earlier one and never finds them again.
+    heads = F.filter(F.transform(statements, _split_statement), lambda h: ~h["level"].isin(66, 88))
+    items = F.transform(heads, _parsed)
     sized = F.transform(items, lambda i: F.struct(
         *[i[n].alias(n) for n in ("level", "name", "pic", "usage", "occurs", "redefines")],
         _item_width(i).cast("int").alias("width")))

@@ -61,6 +61,10 @@ _NEAREST = """
     (SELECT q.vec_id AS query_id, v.vec_id AS id,
             1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance
      FROM embeddings q, embeddings v)"""
+# Notes are documents that have a vector, so only those are ranked.
+_NOTES = f"""
+    (SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM {_NEAREST} n
+     WHERE id IN (SELECT doc_id FROM documents) AND query_id IN (SELECT doc_id FROM documents))"""
 _RANKED = f"""
     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM {_NEAREST})"""
 _NEAREST_SQL = f"SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM {_RANKED} WHERE rank <= {K}"
@@ -104,8 +108,7 @@ def _tags_sql():
 _STAGED = f"""
     (SELECT r.query_id, CAST(r.id AS VARCHAR) AS chunk_id, r.rank,
             list_position(t.tags, CAST(r.id AS VARCHAR)) AS rule
-     FROM {_RANKED} r JOIN {_tags_sql()} t ON t.doc_id = r.query_id
-     JOIN documents d ON d.doc_id = r.id WHERE r.rank <= {K} + len(t.tags))"""
+     FROM {_NOTES} r JOIN {_tags_sql()} t ON t.doc_id = r.query_id WHERE r.rank <= {K} + len(t.tags))"""
 _ORDERED = f"""
     (SELECT query_id, chunk_id, row_number() OVER (
          PARTITION BY query_id ORDER BY CASE WHEN rule > 0 THEN 0 ELSE 1 END, CASE WHEN rule > 0 THEN rule ELSE rank END) AS position

@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",
+    # The JVM never compiles a method beyond 8000 bytes of code; past that, split methods are faster
+    # than one fused method that stays interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -60,7 +63,7 @@ def broadcast_bound(spark: SparkSession) -> int:
 
 
 #: Below this size a table is not worth spreading.
-SPREAD_BYTES = 1 << 20
+SPREAD_BYTES = 64 << 10
 
 
 def spread(df: DataFrame) -> DataFrame:
