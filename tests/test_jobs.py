@@ -152,6 +152,19 @@ def test_salting_spreads_the_hot_key(spark, hot):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_salting_spreads_equal_copies(spark):
+    """All rows the same: the copies still end up in more than one join partition."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        copies = spark.range(0, 4000, 1, 8).select(F.lit(1).cast("bigint").alias("k"), F.lit("same").alias("t"))
+        file = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("v"))
+        joined = lookup_join(copies, file, ["k"], small=False, rows_per_task=100)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(parts) > 1 and sum(r["count"] for r in parts) == 4000 and joined.where("v = 1").count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_total_equals_a_window(spark, hot, descending):
     """Values with a third of all rows at one point of the order, cut along the second column."""

@@ -23,6 +23,10 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool
     skew.  Otherwise the heaviest request keys get a salt, and only their right-side rows
     are repeated, once per salt value; every other row keeps salt 0.  ``small`` overrides
     the size check where the caller knows better.
+
+    The list of heavy keys is read on both sides, so ties at its end are broken by key.  The salt
+    comes from the row's other columns and the number of its input partition: it is the same when a
+    lost task is repeated, and equal copies of a row spread too.
     """
     if small is None:
         small = plan_bytes(right) <= broadcast_bound(left.sparkSession)
@@ -30,12 +34,11 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool
         return left.join(F.broadcast(right), keys, "left")
     hot = (left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
            .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .orderBy(F.desc("_n")).limit(HOT_KEYS)
+           .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
            .where(F.col("_n") > rows_per_task)
            .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
     others = [F.col(c) for c in left.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(),
-                    F.coalesce(F.col("_salts"), F.lit(1)))
+    spread = F.pmod(F.xxhash64(*others, F.spark_partition_id()), F.coalesce(F.col("_salts"), F.lit(1)))
     salted_left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     salted_right = (right.join(F.broadcast(hot), keys, "left")

@@ -9,7 +9,6 @@ bucket of one key.  Order columns must not be NULL and must together be unique.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +44,7 @@ def _quantiles(df: DataFrame, number: Column, buckets: int) -> list[float]:
 
 def _bucketed(df: DataFrame, source: str, out: str, points: list[float]) -> DataFrame:
     edges = [-math.inf, *sorted(set(points)), math.inf]
-    return Bucketizer(splits=edges, inputCol=source, outputCol=out).transform(df)
+    return Bucketizer(splits=edges, inputCol=source, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
 
 
 def with_buckets(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
@@ -60,7 +59,7 @@ def with_buckets(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
     edges = points + [math.nextafter(h, math.inf) for h in hot]
     placed = _bucketed(first, "_x1", "_b1", edges)
     if not hot or len(order) == 1:
-        return placed.withColumn("_b2", F.lit(0.0)).drop("_x1")
+        return placed.withColumn("_b2", F.lit(0)).drop("_x1")
     is_hot = F.col("_x1").isin(hot)
     second = placed.withColumn("_x2", F.when(is_hot, _as_number(df, order[1])).otherwise(0.0))
     inner = _quantiles(second.where(is_hot), F.col("_x2"), buckets)
@@ -72,16 +71,17 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Colu
     """Add the running sum of ``weight`` per key along ``order``, the current row included."""
     way = F.desc if descending else F.asc
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = with_buckets(df, order, max(2, buckets)).withColumn("_w", weight)
-    place = [*keys, "_b1", "_b2"]
-    before = Window.partitionBy(*keys).orderBy(way("_b1"), way("_b2")).rowsBetween(Window.unboundedPreceding, -1)
+    # The keys travel as one struct, which is never NULL itself: windows, totals and the join then all
+    # use the same plain columns, so the rows are shuffled once.
+    key = F.struct(*keys) if keys else F.lit(0)
+    placed = with_buckets(df, order, max(2, buckets)).withColumn("_w", weight).withColumn("_key", key)
+    place = ["_key", "_b1", "_b2"]
+    before = Window.partitionBy("_key").orderBy(way("_b1"), way("_b2")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (placed.groupBy(*place).agg(F.sum("_w").alias("_total"))
-               .select(*[F.col(c).alias(f"_o_{c}") for c in place],
-                       F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")))
+               .select(*place, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")))
     inside = Window.partitionBy(*place).orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in place])
     return (placed.withColumn("_inside", F.sum("_w").over(inside))
-            .join(offsets, same)
+            .join(offsets, place)
             .withColumn(out, F.col("_inside") + F.col("_offset"))
             .select(*df.columns, out))
 
