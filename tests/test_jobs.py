@@ -152,6 +152,17 @@ def test_salting_spreads_the_hot_key(spark, hot):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_broadcast_needs_a_measured_size(spark):
+    """Texts a plan makes up are measured, because the estimate takes every text for 20 bytes."""
+    from zonedeck.session import _scans_only, fits_broadcast, plan_bytes
+    stored = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    assert _scans_only(stored.select("c_name", (F.col("c_custkey") + 1).alias("n"))) and fits_broadcast(stored)
+    long = stored.select("c_custkey", F.repeat(F.col("c_name"), 10000).alias("t"))
+    assert plan_bytes(long) < 1 << 20 and not _scans_only(long) and not fits_broadcast(long)
+    rows = stored.select(F.explode(F.sequence(F.lit(1), F.lit(20000))).alias("i"), "c_name")
+    assert not _scans_only(rows) and not fits_broadcast(rows)
+
+
 def test_salting_spreads_equal_copies(spark):
     """All rows the same: the copies still end up in more than one join partition."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")

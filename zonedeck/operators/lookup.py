@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonedeck.session import broadcast_bound, plan_bytes
+from zonedeck.session import fits_broadcast
 
 #: A key with more requests than this is spread over several tasks.
 ROWS_PER_TASK = 1_000_000
@@ -19,8 +19,8 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool
                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``left`` left-joined to ``right``, which has at most one row per key.
 
-    A right side within the session's broadcast limit is broadcast: no shuffle, so no
-    skew.  Otherwise the heaviest request keys get a salt, and only their right-side rows
+    A right side that was checked to be within the session's broadcast limit is broadcast: no
+    shuffle, so no skew.  Otherwise the heaviest request keys get a salt, and only their right-side rows
     are repeated, once per salt value; every other row keeps salt 0.  ``small`` overrides
     the size check where the caller knows better.
 
@@ -29,7 +29,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool
     lost task is repeated, and equal copies of a row spread too.
     """
     if small is None:
-        small = plan_bytes(right) <= broadcast_bound(left.sparkSession)
+        small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), keys, "left")
     hot = (left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Session settings the jobs are written for.  All of them are plain Spark settings.
 DEFAULTS = {
@@ -62,6 +63,39 @@ def broadcast_bound(spark: SparkSession) -> int:
     return max(0, int(raw))
 
 
+def _scans_only(df: DataFrame) -> bool:
+    """Whether the plan only filters and projects tables, and every column of open-ended size is stored as it is.
+
+    Only then does the estimate, which starts from file sizes, say something about the rows.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" :+-").split(" ", 1)[0].split("[", 1)[0] for line in plan.toString().splitlines()}
+    if not nodes <= {"Project", "Filter", "Relation"}:
+        return False
+    leaves = plan.collectLeaves()
+    stored = {a.exprId().id() for i in range(leaves.size())
+              for a in (leaves.apply(i).output().apply(j) for j in range(leaves.apply(i).output().size()))}
+    outputs = [plan.output().apply(i) for i in range(plan.output().size())]
+    fixed = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "decimal")
+    return all(a.dataType().simpleString().startswith(fixed) or a.exprId().id() in stored for a in outputs)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a table is small enough to broadcast.
+
+    Catalyst's estimate decides first.  It guesses text lengths and does not know how far an exploded list
+    grows, so a table with computed texts, joins or generated rows is measured as well; its input has then
+    already passed the estimate.
+    """
+    bound = broadcast_bound(df.sparkSession)
+    if plan_bytes(df) > bound:
+        return False
+    if _scans_only(df):
+        return True
+    size = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.sum("b")).first()[0]
+    return (size or 0) <= bound
+
+
 #: Below this size a table is not worth spreading.
 SPREAD_BYTES = 64 << 10
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from zonedeck.functions import codec
 from zonedeck.layout import Layout
 from zonedeck.operators.lookup import lookup_join
-from zonedeck.session import broadcast_bound, plan_bytes
+from zonedeck.session import fits_broadcast
 from zonedeck.sources import fixedbin
 
 
@@ -81,14 +81,14 @@ def lookup_rrn(records: DataFrame, wanted: DataFrame, mode: str = "failfast") ->
     A wanted list within the broadcast bound reduces the file on the map side, so only
     records that were asked for are shuffled.
     """
-    spark = records.sparkSession
     asked = F.col("rrn")
     if mode == "failfast":
         asked = F.when(asked < 1, F.raise_error(F.concat(F.lit("record numbers start at 1; got "), asked)))\
             .otherwise(asked)
     wanted = wanted.withColumn("rrn", asked)
-    if plan_bytes(wanted) <= broadcast_bound(spark):
-        records = records.join(F.broadcast(wanted.select("rrn").distinct()), "rrn", "left_semi")
+    numbers = wanted.select("rrn").distinct()
+    if fits_broadcast(numbers):
+        records = records.join(F.broadcast(numbers), "rrn", "left_semi")
     return lookup_join(wanted, records, ["rrn"])
 
 
