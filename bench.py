@@ -1,6 +1,6 @@
 """Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; print one JSON line.
 
-Each query runs once to warm up and then $BENCH_RUNS times (default 3); the median counts.
+Each query runs once to warm up and then $BENCH_RUNS times (default 2); the median counts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g"})
