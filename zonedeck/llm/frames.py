@@ -26,11 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lets a finished write drop the shuffle files that only it used.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation.
+
+    The shuffle files behind the write go as soon as it is done, so that steps do not add up on disk.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark, purpose), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonedeck.llm import bpe
+from zonedeck.llm import bpe, simhash
 from zonedeck.llm.frames import id_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def _query(name: str, check: str | None = None):
     return keep
 
 
+@_query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @_query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(table(spark, sf_dir, "documents"))
