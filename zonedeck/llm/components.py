@@ -22,16 +22,17 @@ def connected_components(edges: DataFrame, purpose: str) -> DataFrame:
 
     A round points every larger neighbour of a node at the least one (large star), then does the same among the
     smaller neighbours (small star).  Minima are pre-aggregated, so a hub costs each task one row; the joins that hand
-    the minimum back are plain equi-joins, which adaptive execution splits where a hub fills a partition.  Every round
-    is written to the shared folder.  Edges from a node to itself and repeated edges change nothing.
+    the minimum back are plain equi-joins of stored tables, which adaptive execution splits where a hub fills a
+    partition.  Edges from a node to itself and repeated edges change nothing.
     """
     current = staged(_pointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), purpose)
     before = _state(current)
     while before[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), purpose)
         large = _pointed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, purpose)
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), purpose)
         small = large.join(least, "u")
         current = staged(_pointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))), purpose)
