@@ -26,3 +26,26 @@ def cut_repeats(docs: list[tuple[int, str | None]], window: int = 50) -> list[tu
         kept = " ".join(w for k, w in enumerate(words) if k not in gone)
         out.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def contaminated(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], n: int = 10) -> list[tuple]:
+    """``doc_id, n_words, n_hit, item ids`` by comparing every window of every item with every place of every text."""
+    def words(text):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+
+    windows = []
+    for item, text in items:
+        own = words(text)
+        if own and item is not None:
+            windows += [(str(item), tuple(own[i:i + n])) for i in range(max(len(own) - n, 0) + 1)]
+    out = []
+    for doc, text in docs:
+        own, hit, ids = words(text), set(), set()
+        for item, window in windows:
+            for p in range(len(own) - len(window) + 1):
+                if tuple(own[p:p + len(window)]) == window:
+                    hit.update(range(p, p + len(window)))
+                    ids.add(item)
+        out.append((doc, len(own), len(hit), ",".join(sorted(ids))))
+    return out
