@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonedeck.llm import bpe, decontaminate, simhash, substrings
+from zonedeck.llm import bpe, decontaminate, quality_rules, simhash, substrings
 from zonedeck.llm.frames import id_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules.assess(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                       "kept", "p_good")
