@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonedeck.llm import bpe, decontaminate, quality_rules, simhash, substrings
+from zonedeck.llm import bpe, decontaminate, quality_model, quality_rules, simhash, substrings
 from zonedeck.llm.frames import id_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality_rules.assess(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                        "kept", "p_good")
+
+
+@_query("op8_byte_cnn")
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
