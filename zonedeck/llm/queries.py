@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonedeck.llm import bpe, decontaminate, quality_model, quality_rules, simhash, substrings, toxicity
+from zonedeck.llm import bpe, decontaminate, quality_model, quality_rules, sharding, simhash, substrings, toxicity
 from zonedeck.llm.frames import id_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,10 @@ def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op10_label_propagation")
+def op10_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
