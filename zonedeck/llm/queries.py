@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonedeck.llm import bpe, decontaminate, quality_model, quality_rules, sharding, simhash, substrings, toxicity
+from zonedeck.llm import (
+    bpe, decontaminate, lines, pii, quality_model, quality_rules, sharding, simhash, substrings, toxicity,
+)
 from zonedeck.llm.frames import id_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +48,23 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+@_query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda c, k=k: c["kind"] == k + 1)).cast("bigint").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS)]
+    everything = F.array_sort(F.array_union("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.spans_text(everything).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+
+
+@_query("op5_lines")
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(id_text(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n_lines", "n_removed", "n_near",
+                       F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 @_query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(table(spark, sf_dir, "documents"))
