@@ -127,7 +127,7 @@ def txn(spark, tmp_path_factory):
 
 def test_write_commits_whole_files(spark, txn):
     files = fixedbin.list_files(txn)
-    assert len(files) == 3 and sum(n for _, n in files) == 24 * 1500
+    assert len(files) == 3 and sum(n for _, n in files) == 32 * 1500
     assert glob.glob(f"{txn}/_SUCCESS") and not glob.glob(f"{txn}/_temporary/*")
 
 
@@ -146,8 +146,8 @@ def test_wrong_length_is_refused(spark, tmp_path):
 
 
 def test_record_numbers_run_through_files_and_splits(spark, txn):
-    whole = X.read_records(spark, txn, 24)
-    cut = X.read_records(spark, txn, 24, split_bytes=24 * 100)
+    whole = X.read_records(spark, txn, 32)
+    cut = X.read_records(spark, txn, 32, split_bytes=32 * 100)
     assert cut.rdd.getNumPartitions() >= 15
     numbered = X.decode_records(cut, C.TXN_LAYOUT).select("rrn", F.col("txn_id").cast("bigint").alias("id"))
     assert numbered.where(F.col("rrn") != F.col("id") + 1).count() == 0
@@ -155,17 +155,17 @@ def test_record_numbers_run_through_files_and_splits(spark, txn):
 
 
 def test_record_filters_narrow_the_ranges(txn):
-    options = {"path": txn, "reclen": "24", "splitbytes": str(24 * 100)}
+    options = {"path": txn, "reclen": "32", "splitbytes": str(32 * 100)}
     read = lambda *filters: (lambda r: (list(r.pushFilters(list(filters))), r.partitions())[1])(fixedbin.FixedReader(options))
     everything = read()
     assert len(read(EqualTo(("rrn",), 1499))) == 1
     assert len(read(In(("rrn",), (1, 2, 1500)))) == 2
-    assert sum(p.stop - p.start for p in read(GreaterThanOrEqual(("rrn",), 1490), LessThan(("rrn",), 1500))) == 24 * 10
+    assert sum(p.stop - p.start for p in read(GreaterThanOrEqual(("rrn",), 1490), LessThan(("rrn",), 1500))) == 32 * 10
     assert len(everything) > 10
 
 
 def test_pushed_filter_gives_the_same_rows(spark, txn):
-    records = X.read_records(spark, txn, 24, split_bytes=24 * 100)
+    records = X.read_records(spark, txn, 32, split_bytes=32 * 100)
     assert [r.rrn for r in records.where("rrn in (3, 700, 1500, 1501)").orderBy("rrn").collect()] == [3, 700, 1500]
     assert records.where("rrn > 1495").count() == 5
 
@@ -174,7 +174,7 @@ def test_pushed_filter_gives_the_same_rows(spark, txn):
 def damaged(spark, txn, tmp_path):
     path = tmp_path / "damaged.bin"
     data = bytearray(b"".join(open(f, "rb").read() for f, _ in fixedbin.list_files(txn)))
-    data[24 * 4 + 16] = 0xAB
+    data[32 * 4 + 27] = 0xAB
     path.write_bytes(bytes(data) + b"tail")
     return str(path)
 
@@ -188,7 +188,7 @@ def test_failfast_refuses_damaged_bytes_it_reads(spark, damaged, tmp_path):
     cut = tmp_path / "cut.bin"
     cut.write_bytes(open(damaged, "rb").read()[:-4])
     loaded = X.load_fixed(spark, str(cut), C.TXN_LAYOUT)
-    assert loaded.select("txn_id").collect()[4].txn_id == "0000000004"
+    assert loaded.select("txn_id").collect()[4].txn_id == "0" * 17 + "4"
     with pytest.raises(Exception, match="bad txn_amount"):
         loaded.select("txn_amount").collect()
 
@@ -200,7 +200,7 @@ def test_permissive_sets_bad_records_aside(spark, damaged):
 
 
 def test_lookup_rejects_numbers_below_one(spark, txn):
-    records = X.read_records(spark, txn, 24)
+    records = X.read_records(spark, txn, 32)
     wanted = spark.createDataFrame([(0,), (1,)], "rrn bigint")
     with pytest.raises(Exception, match="start at 1"):
         X.lookup_rrn(records, wanted).collect()

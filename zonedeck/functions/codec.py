@@ -136,12 +136,13 @@ def _raise(item: Field, raw: Column) -> Column:
     return F.raise_error(F.concat(F.lit(f"bad {item.name}: "), F.hex(raw)))
 
 
-def _decode_at(rec: Column, item: Field, at, strip: str, checked: bool) -> Column:
+def _decode_at(rec: Column, item: Field, at, strip: str, checked: bool, counts: dict[str, Column] | None = None) -> Column:
     if item.kind == "group":
-        return F.struct(*[
-            _decode_any(rec, child, at + start, strip, checked).alias(child.name)
-            for child, start in place(item.children)
-        ])
+        known, parts = dict(counts or {}), []
+        for child, start in place(item.children):
+            known[child.name] = _decode_any(rec, child, at + start, strip, checked, known)
+            parts.append(known[child.name].alias(child.name))
+        return F.struct(*parts)
     raw = _slice(rec, at, item.item_width)
     value = decode_item(raw, item, strip)
     return F.coalesce(value, _raise(item, raw)) if checked and item.kind != "text" else value
@@ -150,15 +151,16 @@ def _decode_at(rec: Column, item: Field, at, strip: str, checked: bool) -> Colum
 def _decode_any(rec: Column, item: Field, at, strip: str, checked: bool,
                 counts: dict[str, Column] | None = None) -> Column:
     if not item.occurs:
-        return _decode_at(rec, item, at, strip, checked)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(item.occurs - 1)),
-        lambda i: _decode_at(rec, item, i * item.item_width + at, strip, checked),
-    )
+        return _decode_at(rec, item, at, strip, checked, counts)
+    def cells(count: Column) -> Column:
+        """The first ``count`` entries; entries beyond are never looked at."""
+        places = F.slice(F.sequence(F.lit(0), F.lit(item.occurs - 1)), F.lit(1), count)
+        return F.transform(places, lambda i: _decode_at(rec, item, i * item.item_width + at, strip, checked, counts))
+
     if not item.depending_on or not counts or item.depending_on not in counts:
-        return cells
+        return cells(F.lit(item.occurs))
     wanted = counts[item.depending_on]
-    used = F.slice(cells, F.lit(1), F.when(wanted.between(0, item.occurs), wanted).cast("int"))
+    used = cells(F.when(wanted.between(0, item.occurs), wanted).cast("int"))
     return F.coalesce(used, _raise(item, rec)) if checked else used
 
 
@@ -175,11 +177,32 @@ def decode_columns(rec: Column, layout: Layout, strip: str = "both", checked: bo
 
 
 def condition_columns(layout: Layout, columns: dict[str, Column]) -> dict[str, Column]:
-    """Named booleans (level 88) over already decoded columns."""
-    return {
-        name: columns[item.name].isin(*values)
-        for item in layout.fields for name, values in item.conditions
-    }
+    """Named booleans (level 88) over already decoded columns, items inside groups included.
+
+    An item that repeats has a condition for each occurrence, not for the record, so it is left out.
+    """
+    flags: dict[str, Column] = {}
+
+    def literal(value, item: Field) -> Column:
+        if item.kind == "text":
+            # Decoded texts have no blanks at the ends.
+            return F.lit(str(value).strip(BLANKS))
+        return F.lit(str(value)).try_cast("decimal(38,10)")
+
+    def visit(item: Field, column: Column) -> None:
+        for name, values in item.conditions:
+            shown = F.btrim(column, F.lit(BLANKS)) if item.kind == "text" else column
+            tests = [shown.between(literal(v[0], item), literal(v[1], item)) if isinstance(v, tuple)
+                     else shown == literal(v, item) for v in values]
+            flags[name] = reduce(lambda a, b: a | b, tests)
+        if item.kind == "group" and not item.occurs:
+            for child in item.children:
+                visit(child, column.getField(child.name))
+
+    for item in layout.fields:
+        if not item.occurs:
+            visit(item, columns[item.name])
+    return flags
 
 
 def _bad(value: Column, item: Field) -> Column | None:
@@ -213,7 +236,10 @@ def _unscaled(value: Column, item: Field, rounding: str) -> Column:
     """Whole number of smallest units, NULL when it does not fit the picture."""
     from zonedeck.functions.money import rounded
 
-    wide = rounded(value.cast("decimal(38,10)"), item.scale, rounding)
+    # Two decimals more than the picture has are enough to round by, unless the value is finer still.
+    finer = F.when(value.try_cast("decimal(38,18)").isNotNull(), rounded(value.try_cast("decimal(38,18)"), item.scale, rounding))
+    wide = F.coalesce(finer.try_cast(f"decimal(38,{item.scale})"),
+                      rounded(value.try_cast("decimal(38,10)"), item.scale, rounding).try_cast(f"decimal(38,{item.scale})"))
     units = (wide * F.lit(10 ** item.scale).cast("decimal(18,0)")).try_cast("decimal(38,0)")
     limit = F.lit(str(10 ** item.digits)).cast("decimal(38,0)")
     low = -limit if item.signed else F.lit(-1).cast("decimal(38,0)")

@@ -20,7 +20,8 @@ def numeric_tokens(text: Column) -> Column:
 def label_text(text: Column, strip_plus: bool = False) -> Column:
     """What is left once numbers are gone: lower case, blanks collapsed."""
     bare = F.lower(F.regexp_replace(text, ("\\+?" if strip_plus else "") + NUMBER, ""))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    # Unicode blanks count as blanks too.
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def _exact(token: Column) -> Column:
@@ -29,11 +30,39 @@ def _exact(token: Column) -> Column:
     return F.when((point == 0) | (F.length(token) - point <= 18), token.try_cast(TOKEN))
 
 
+def _long_gap(e: Column, a: Column) -> Column:
+    """Difference of two tokens of any length, from their aligned digits.
+
+    Of like signs, the common start is left out and the next 38 digits are subtracted; differences beyond the range of
+    ``TOKEN`` come out as its largest value, and digits beyond the 38th as nothing.
+    """
+    whole = lambda t: F.regexp_extract(t, r"^-?0*(\d*?)(?:\.\d+)?$", 1)
+    part = lambda t: F.regexp_extract(t, r"\.(\d+)$", 1)
+    most = F.lit("9" * 20).cast(TOKEN)
+    left = F.greatest(F.length(whole(e)), F.length(whole(a)))
+    right = F.greatest(F.length(part(e)), F.length(part(a)), F.lit(18))
+    digits = lambda t: F.concat(F.lpad(whole(t), left, F.lit("0")), F.rpad(part(t), right, F.lit("0")))
+    # How many leading digits agree.
+    both = F.zip_with(F.split(digits(e), ""), F.split(digits(a), ""), lambda x, y: x == y)
+    agree = F.coalesce(F.nullif(F.array_position(both, False), F.lit(0)), F.size(both) + 1) - 1
+    rest = lambda t: F.substring(digits(t), (agree + 1).cast("int"), F.lit(37))
+    gap = F.abs(F.try_subtract(rest(e).try_cast("decimal(38,0)"), rest(a).try_cast("decimal(38,0)")))
+    # Decimals that the compared digits reach to.
+    scale = F.least(left + right, agree + 37) - left
+    exact = F.concat(gap.cast("string"), F.lit("e"), (-scale).cast("string")).try_cast(TOKEN)
+    unlike = e.startswith("-") != a.startswith("-")
+    total = F.try_add(F.abs(_exact(e)), F.abs(_exact(a)))
+    return (F.when(unlike, F.coalesce(total, most)).when(agree == F.size(both), F.lit(0).cast(TOKEN))
+            .otherwise(F.coalesce(exact, F.when(scale < 18, most), F.lit(0).cast(TOKEN))))
+
+
 def token_pairs(expected: Column, actual: Column) -> Column:
-    """Two token lists side by side with the difference; NULL where a token is too long to compare exactly."""
+    """Two token lists side by side with the difference; tokens may be of any length."""
 
     def pair(e, a):
-        gap = F.when(e == a, F.lit(0).cast(TOKEN)).otherwise(F.abs(F.try_subtract(_exact(e), _exact(a))).cast(TOKEN))
+        plain = F.abs(F.try_subtract(_exact(e), _exact(a))).try_cast(TOKEN)
+        gap = F.when(e == a, F.lit(0).cast(TOKEN)).otherwise(F.coalesce(plain, F.when(
+            e.isNotNull() & a.isNotNull(), _long_gap(e, a))))
         return F.struct(e.alias("expected"), a.alias("actual"), gap.alias("diff"))
 
     return F.zip_with(expected, actual, pair)

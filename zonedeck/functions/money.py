@@ -39,7 +39,7 @@ def _power(base: Column, exponent: Column, kind: str, bits: int) -> Column:
     return state["acc"]
 
 
-def whole_power(base: Column, exponent: Column, bits: int = 14) -> Column:
+def whole_power(base: Column, exponent: Column, bits: int = 31) -> Column:
     """``base ** exponent`` in exact decimals for exponents 0 to ``2**bits - 1``.
 
     Stays on the row it is computed for: a handful of products, no shuffle.  NULL means the

@@ -50,10 +50,15 @@ def inspect_converting(value: Column, old: str, new: str) -> Column:
 
 
 def edited_count(value: Column, width: int) -> Column:
-    """``Z(width)``: leading zeros blank, zero is all blanks."""
-    return F.when(value == 0, F.repeat(F.lit(" "), F.lit(width))).otherwise(F.lpad(value.cast("string"), width, " "))
+    """``Z(width)``: leading zeros blank, zero is all blanks.  A number that is too wide is shown in full."""
+    return F.when(value == 0, F.repeat(F.lit(" "), F.lit(width))).otherwise(_wide(value.cast("string"), width))
 
 
 def edited_amount(value: Column, blanks: int, scale: int = 2) -> Column:
-    """``Z(blanks)9.99``: at least one digit before the point."""
-    return F.lpad(value.cast(f"decimal({blanks + 1 + scale},{scale})").cast("string"), blanks + 2 + scale, " ")
+    """``Z(blanks)9.99``: at least one digit before the point.  An amount that is too wide is shown in full."""
+    return _wide(value.cast(f"decimal(38,{scale})").cast("string"), blanks + 2 + scale)
+
+
+def _wide(digits: Column, width: int) -> Column:
+    """Blanks on the left; unlike a plain pad this never cuts."""
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit(" "))

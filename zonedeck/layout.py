@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class Field:
     depending_on: str | None = None
     redefines: str | None = None
     children: tuple["Field", ...] = ()
-    conditions: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: Condition names with their values: a text or number, or a pair (low, high) for a range.
+    conditions: tuple[tuple[str, tuple], ...] = ()
 
     @property
     def item_width(self) -> int:
@@ -130,10 +132,35 @@ def _read_copybook(text: str) -> Layout:
     name = "record"
     if items and items[0][0] == 1 and not _PICTURE.search(items[0][2]):
         name, items = items[0][1], items[1:]
+    # Each FILLER gets a name of its own.
+    fillers = 0
+    for i, (level, item, clauses) in enumerate(items):
+        if item == "filler":
+            fillers += 1
+            items[i] = (level, item if fillers == 1 else f"filler_{fillers}", clauses)
     fields, _ = _nest(items, 0, 0)
     return Layout(name, tuple(fields))
 
 
+_LITERAL = r"'(?:[^']|'')*'|\"[^\"]*\"|[-+]?(?:\d+\.?\d*|\.\d+)|\b(?:ZEROE?S?|SPACES?)\b"
+
+
+def _values(clauses: str) -> tuple:
+    """Values of a condition name; ``low THRU high`` gives a pair."""
+    def value(text: str):
+        if text[0] == "'":
+            return text[1:-1].replace("''", "'")
+        if text[0] == '"':
+            return text[1:-1]
+        if text.upper().startswith("SPACE"):
+            return " "
+        return Decimal(0) if text.upper().startswith("ZERO") else Decimal(text)
+
+    found = re.finditer(rf"({_LITERAL})(?:\s+THR(?:U|OUGH)\s+({_LITERAL}))?", re.sub(
+        r"^\s*VALUES?\s+(?:IS\s+|ARE\s+)?", "", clauses, flags=re.I), re.I)
+    return tuple((value(m[1]), value(m[2])) if m[2] else value(m[1]) for m in found)
+
+
 def _nest(items, at: int, above: int) -> tuple[list[Field], int]:
     """Fields from ``at`` on whose level is deeper than ``above``; 88 entries join the item before them."""
     found: list[Field] = []
@@ -142,7 +169,7 @@ def _nest(items, at: int, above: int) -> tuple[list[Field], int]:
         item, at = _item(name, clauses), at + 1
         conditions = []
         while at < len(items) and items[at][0] == 88:
-            conditions.append((items[at][1], tuple(re.findall(r"'([^']*)'", items[at][2]))))
+            conditions.append((items[at][1], _values(items[at][2])))
             at += 1
         children, at = _nest(items, at, level)
         found.append(replace(item, children=tuple(children), conditions=tuple(conditions)))

@@ -39,9 +39,15 @@ def report_lines(totals: DataFrame) -> DataFrame:
 
 def divide_remainder(dividend: Column, divisor: Column, digits: int, scale: int) -> tuple[Column, Column]:
     """Quotient cut (never rounded) to its picture, and what is left over; NULL for a zero divisor."""
-    exact = F.try_divide(dividend.cast("decimal(20,4)"), divisor.cast("decimal(10,4)"))
-    quotient = store(exact, digits, scale, "truncate")
-    return quotient, dividend - quotient * divisor
+    # Ten decimals of either operand; the quotient then has at least as many as the picture.
+    over, under = dividend.try_cast("decimal(28,10)"), divisor.try_cast("decimal(28,10)")
+    quotient = store(F.try_divide(over, under), digits, scale, "truncate")
+    # A quotient of few decimals may have been rounded up on its way; it never takes more than there is.
+    step = F.lit(f"1e-{scale}").cast(f"decimal({digits},{scale})")
+    back = (quotient * under).try_cast("decimal(38,12)")
+    quotient = F.when(F.abs(back) > F.abs(over), quotient - F.signum(quotient).cast("int") * step).otherwise(quotient).try_cast(
+        f"decimal({digits},{scale})")
+    return quotient, F.try_subtract(dividend, F.try_multiply(quotient, divisor))
 
 
 def post_amounts(df: DataFrame, price: str, quantity: str, discount: str, rounding: str = "half_up",

@@ -123,7 +123,10 @@ def insert_keyed(file: DataFrame, rows: DataFrame, key: str, order: str) -> Chan
     """
     winners = (_first_per_key(rows, key, order).join(_marked(file.select(key)), key, "left")
                .select(key, order, F.when(F.col("_found"), resp("DUPREC")).otherwise(resp("NORMAL")).alias("resp")))
-    judged = rows.join(winners, [key, order], "left").withColumn("resp", F.coalesce("resp", resp("DUPREC")))
+    # A NULL key equals other NULL keys here, as it does in the grouping that found the winner.
+    won = winners.select(F.col(key).alias("_key"), F.col(order).alias("_order"), "resp")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_order"))
+    judged = rows.join(won, same, "left").drop("_key", "_order").withColumn("resp", F.coalesce("resp", resp("DUPREC")))
     added = judged.where(F.col("resp") == RESPONSES["NORMAL"]).select(*file.columns)
     return Changed(file.unionByName(added), judged)
 

@@ -44,8 +44,8 @@ def load_fixed_permissive(spark, sf_dir):
     rec = F.col("rec")
     whole = X.encode_fixed(C.TXN.df(spark, sf_dir), C.TXN_LAYOUT)
     part = lambda first, size: F.substring(rec, first, size)
-    amount = F.concat(part(1, 15), F.unhex(F.lit("FA")), part(17, 8))
-    date = F.concat(part(1, 14), F.unhex(F.lit("0B")), part(16, 9))
+    amount = F.concat(part(1, 26), F.unhex(F.lit("FA")), part(28, 5))
+    date = F.concat(part(1, 25), F.unhex(F.lit("0B")), part(27, 6))
     damaged = whole.select(F.when(number % 97 == 0, amount).when(number % 89 == 0, date).otherwise(rec).alias("rec"))
     path = shared_dir(spark, "damaged")
     X.write_records(damaged, C.TXN_LAYOUT.width, path)
@@ -93,7 +93,7 @@ def field_binary(spark, sf_dir):
 
 
 _LINES = """
-    SELECT l_orderkey % 1000000000 AS pt_key, l_partkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice,
+    SELECT l_orderkey AS pt_key, l_partkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice,
            row_number() OVER (PARTITION BY l_orderkey
                               ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS line
     FROM lineitem"""
@@ -107,20 +107,20 @@ def price_tables(spark, sf_dir):
         "l_orderkey", (F.col("l_linenumber") * F.lit(10 ** 10) + F.col("l_partkey")).alias("_o1"),
         "l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice")
     placed = position(lines, ["l_orderkey"], ["_o1", "l_suppkey", "l_shipdate", "l_extendedprice"], "line")
-    entry = F.struct("line", F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0").alias("pt_code"),
+    entry = F.struct("line", F.lpad(F.col("l_partkey").cast("string"), 18, "0").alias("pt_code"),
                      F.col("l_extendedprice").cast("decimal(9,2)").alias("pt_price"))
     pages = placed.groupBy("l_orderkey", F.floor((F.col("line") - 1) / 5).alias("page")).agg(
         F.array_sort(F.collect_list(entry)).alias("e"))
-    blank = F.struct(F.lit("0000").alias("pt_code"), F.lit(0).cast("decimal(9,2)").alias("pt_price"))
+    blank = F.struct(F.lit("0" * 18).alias("pt_code"), F.lit(0).cast("decimal(9,2)").alias("pt_price"))
     cells = F.transform("e", lambda x: F.struct(x["pt_code"].alias("pt_code"), x["pt_price"].alias("pt_price")))
     return pages.select(
-        (F.col("l_orderkey") % 1000000000).alias("pt_key"), F.size("e").alias("pt_count"),
+        F.col("l_orderkey").alias("pt_key"), F.size("e").alias("pt_count"),
         F.slice(F.concat(cells, F.array_repeat(blank, 5)), 1, 5).alias("pt_entry"))
 
 
 @query("field_occurs", f"""
-    SELECT CAST(pt_key AS INT) AS pt_key, CAST((line - 1) % 5 + 1 AS INT) AS entry,
-           lpad(CAST(l_partkey % 10000 AS VARCHAR), 4, '0') AS pt_code, CAST(l_extendedprice AS DECIMAL(9,2)) AS pt_price
+    SELECT CAST(pt_key AS BIGINT) AS pt_key, CAST((line - 1) % 5 + 1 AS INT) AS entry,
+           lpad(CAST(l_partkey AS VARCHAR), 18, '0') AS pt_code, CAST(l_extendedprice AS DECIMAL(9,2)) AS pt_price
     FROM ({_LINES})""")
 def field_occurs(spark, sf_dir):
     path = shared_dir(spark, "prices")
@@ -137,29 +137,30 @@ def field_redefines(spark, sf_dir):
 
 
 @query("field_conditions", f"""
-    SELECT txn_id, txn_status = 'A' AS txn_accepted, txn_status IN ('E', 'P') AS txn_failed FROM {C.TXN.sql}""")
+    SELECT txn_id, txn_status = 'A' AS txn_accepted, txn_status IN ('E', 'P') AS txn_failed,
+           txn_date BETWEEN 19920101 AND 19951231 AS txn_early, txn_amount >= 100000 AS txn_large FROM {C.TXN.sql}""")
 def field_conditions(spark, sf_dir):
-    return recoded(spark, sf_dir, C.TXN, C.TXN_LAYOUT).select("txn_id", "txn_accepted", "txn_failed")
+    return recoded(spark, sf_dir, C.TXN, C.TXN_LAYOUT).select("txn_id", "txn_accepted", "txn_failed", "txn_early", "txn_large")
 
 
 @query("encode_fixed", f"""
-    SELECT cust_id, hex(encode(rpad(cust_name, 30, ' '))) AS name_ascii,
+    SELECT cust_id, hex(encode(rpad(cust_name, 40, ' '))) AS name_ascii,
            lpad(CAST(CAST(abs(cust_balance) * 100 AS BIGINT) AS VARCHAR), 11, '0') AS digits,
-           CASE WHEN cust_balance < 0 THEN 'D' ELSE 'C' END AS zone, 50 AS bytes
+           CASE WHEN cust_balance < 0 THEN 'D' ELSE 'C' END AS zone, 70 AS bytes
     FROM {C.CUSTOMER.sql}""")
 def encode_fixed(spark, sf_dir):
     """Bytes checked piece by piece: text back to ASCII, the balance's digits, the zone of its last byte."""
     rec = X.encode_fixed(C.CUSTOMER.df(spark, sf_dir), C.CUSTOMER_LAYOUT)
     from zonedeck.functions.codec import decode_text
 
-    nibbles = F.hex(F.substring("rec", 39, 11))
+    nibbles = F.hex(F.substring("rec", 60, 11))
     return rec.select(
-        "cust_id", F.hex(F.encode(decode_text(F.substring("rec", 9, 30), "none"), "US-ASCII")).alias("name_ascii"),
+        "cust_id", F.hex(F.encode(decode_text(F.substring("rec", 20, 40), "none"), "US-ASCII")).alias("name_ascii"),
         F.regexp_replace(nibbles, ".(.)", "$1").alias("digits"), F.substring(nibbles, 21, 1).alias("zone"),
         F.length("rec").alias("bytes"))
 
 
-@query("write_fixed", "SELECT count(*) * 24 AS bytes, count(*) AS records, 0 AS remainder FROM orders")
+@query("write_fixed", "SELECT count(*) * 32 AS bytes, count(*) AS records, 0 AS remainder FROM orders")
 def write_fixed(spark, sf_dir):
     path = stored_txn(spark, sf_dir)
     size = sum(n for _, n in list_files(path))

@@ -150,7 +150,7 @@ def content_hash(spark, sf_dir):
     return R.content_hash(spread(C.table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id", "text"])
 
 
-_NEW = """(SELECT CASE WHEN doc_id % 20 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS id,
+_NEW = """(SELECT CASE WHEN doc_id % 20 = 0 THEN -doc_id - 1 ELSE doc_id END AS id,
                   CASE WHEN doc_id % 7 = 0 THEN text || ' v2' ELSE text END AS text, source FROM documents)"""
 
 
@@ -160,7 +160,7 @@ _NEW = """(SELECT CASE WHEN doc_id % 20 = 0 THEN doc_id + 1000000000 ELSE doc_id
     FROM {_NEW} n FULL JOIN documents d ON d.doc_id = n.id""")
 def refresh_plan(spark, sf_dir):
     index = spread(C.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", "source")
-    moved = F.when(F.col("id") % 20 == 0, F.col("id") + 1000000000).otherwise(F.col("id"))
+    moved = F.when(F.col("id") % 20 == 0, -F.col("id") - 1).otherwise(F.col("id"))
     edited = F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))
     chunks = index.select(moved.alias("id"), edited.alias("text"), "source")
     return R.refresh_plan(chunks, index, "id", ["text", "source"])

@@ -20,11 +20,17 @@ class Loaded(NamedTuple):
     bad: DataFrame
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme belongs to the default file system of the cluster, as for Spark's own sources."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if ":" in path or default.startswith("file:") else default.rstrip("/") + "/" + path.lstrip("/")
+
+
 def read_records(spark: SparkSession, path: str, reclen: int, mode: str = "failfast",
                  file_column: bool = False, split_bytes: int | None = None) -> DataFrame:
     """``(rrn, rec[, file])`` of every record; a short tail arrives as a short record in permissive mode."""
     fixedbin.register(spark)
-    reader = (spark.read.format("fixedbin").option("path", path).option("reclen", reclen)
+    reader = (spark.read.format("fixedbin").option("path", qualified(spark, path)).option("reclen", reclen)
               .option("mode", mode).option("filecolumn", str(file_column).lower()))
     if split_bytes:
         reader = reader.option("splitbytes", split_bytes)
@@ -94,7 +100,10 @@ def lookup_rrn(records: DataFrame, wanted: DataFrame, mode: str = "failfast") ->
 
 def encode_fixed(df: DataFrame, layout: Layout, mode: str = "failfast", rounding: str = "half_up") -> DataFrame:
     """Add ``rec``, the record's bytes.  A value that does not fit raises, or leaves ``rec`` NULL (permissive)."""
-    rec = codec.encode_record(layout, {f.name: F.col(f.name) for f in layout.fields if not f.redefines}, rounding)
+    # A text FILLER that the rows do not have is blank.
+    blank = {f.name for f in layout.fields if f.kind == "text" and f.name.startswith("filler") and f.name not in df.columns}
+    rec = codec.encode_record(layout, {f.name: F.lit("") if f.name in blank else F.col(f.name)
+                                       for f in layout.fields if not f.redefines}, rounding)
     if mode == "failfast":
         rec = F.coalesce(rec, F.raise_error(F.lit(f"a value does not fit layout {layout.name}")))
     return df.withColumn("rec", rec)
@@ -103,7 +112,7 @@ def encode_fixed(df: DataFrame, layout: Layout, mode: str = "failfast", rounding
 def write_records(records: DataFrame, reclen: int, path: str, mode: str = "append") -> None:
     """Write ready-made ``rec`` bytes, one file per task."""
     fixedbin.register(records.sparkSession)
-    records.select("rec").write.format("fixedbin").option("path", path).option("reclen", reclen).mode(mode).save()
+    records.select("rec").write.format("fixedbin").option("path", qualified(records.sparkSession, path)).option("reclen", reclen).mode(mode).save()
 
 
 def write_fixed(df: DataFrame, layout: Layout, path: str, rounding: str = "half_up", mode: str = "append") -> None:

@@ -51,7 +51,7 @@ def open_filesystem(path: str):
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
-    """Data files below a path with their sizes, in name order; hidden names are skipped."""
+    """Data files below a path, at any depth, with their sizes, in name order; hidden names are skipped."""
     from pyarrow import fs
 
     system, root = open_filesystem(path)
@@ -63,11 +63,14 @@ def list_files(path: str) -> list[tuple[str, int]]:
         info = system.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root))
-    return sorted(
-        (f.path, f.size) for f in found
-        if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(("_", "."))
-    )
+        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
+    base = root.rstrip("/") if not any(c in root for c in "*?[") else posixpath.dirname(root)
+
+    def shown(path: str) -> bool:
+        below = path[len(base):] if path.startswith(base) and path != base else posixpath.basename(path)
+        return not any(p.startswith(("_", ".")) for p in below.split("/") if p)
+
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and shown(f.path))
 
 
 @dataclass
@@ -185,7 +188,7 @@ class FixedWriter(DataSourceArrowWriter):
         folder = self._staging(root)
         system.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}-{uuid.uuid4().hex}.bin"
+        name = f"part-{context.partitionId():010d}-{uuid.uuid4().hex}.bin"
         records = size = 0
         with system.open_output_stream(posixpath.join(folder, name)) as sink:
             for batch in batches:
