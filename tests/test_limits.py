@@ -110,3 +110,24 @@ def test_folders_are_read_at_any_depth(spark, tmp_path):
     assert X.read_records(spark, str(tmp_path), 4).count() == 3
     assert [n for _, n in fixedbin.list_files(str(tmp_path))] == [4, 8]
     assert "part-0000099999-" < "part-0000100000-"
+
+
+def test_neighbours_do_not_hang_on_the_size_switch(spark):
+    from zonedeck.operators import retrieve
+
+    vectors = spark.createDataFrame([(i, [float(i * 7 % 11) - 5, float(i % 5), 1.0]) for i in range(60)],
+                                    "id bigint, vector array<double>")
+    asked = vectors.where("id < 6").selectExpr("id % 3 AS query_id", "vector")
+    lists = lambda **o: sorted((r.query_id, tuple(n.id for n in r.neighbours)) for r in retrieve.nearest_lists(
+        asked, vectors, 3, **o).collect())
+    assert lists() == lists(matrix_bytes=256)
+
+
+@pytest.mark.parametrize("vector", ["array(1D, 2D)", "array(1D, NULL, 2D)", "NULL"])
+def test_uneven_vectors_are_refused(spark, vector):
+    from zonedeck.operators import retrieve
+
+    vectors = spark.range(3).selectExpr("id", "array(1D, 2D, 3D) AS vector")
+    odd = spark.range(1).selectExpr("id + 9 AS id", f"CAST({vector} AS array<double>) AS vector")
+    with pytest.raises(ValueError, match="one length"):
+        retrieve.nearest(vectors.withColumnRenamed("id", "query_id"), vectors.unionByName(odd), 2)

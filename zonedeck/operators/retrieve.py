@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Vectors up to this many bytes (as doubles) go to every task as one matrix; more are split into blocks.
 MATRIX_BYTES = 32 << 20
 MAX_PIVOTS = 256
+#: Distances computed at a time in a task.
+SLICE_BYTES = 64 << 20
 #: Distances that agree to this many decimals are ties and go by id.
 TIE_DECIMALS = 9
 
@@ -85,7 +87,7 @@ def _small_side(queries: DataFrame, vectors: DataFrame, vector: str, vec_id: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            step = max(1, (64 << 20) // (8 * len(ids)))
+            step = max(1, SLICE_BYTES // (8 * len(ids)))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 order, distance = _closest(_matrix(part.column(at)), matrix, k)
@@ -179,25 +181,33 @@ def _large_side(queries: DataFrame, vectors: DataFrame, query_id: str, vector: s
     kept = (placed.withColumn("_block", F.pmod(F.xxhash64(vec_id), block_of(F.col("_cell"))))
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             .select(F.col(vec_id).alias("_vid"), F.col(vector).alias("_vec"), "_cell", "_block", "_salt"))
-    asked = (_cells_to_search(queries.select(query_id, vector), vector, pivots, radius, counts, min(k, total))
-             .withColumn("_salt", F.pmod(F.xxhash64(query_id), F.lit(salts)).cast("int"))
+    # Equal vectors have equal neighbours, whatever id asks; each is searched for once.
+    key = F.struct(F.xxhash64(vector).alias("a"), F.hash(vector).alias("b"))
+    queries = queries.withColumn("_key", key)
+    distinct = queries.select("_key", vector).dropDuplicates(["_key"])
+    asked = (_cells_to_search(distinct, vector, pivots, radius, counts, min(k, total))
+             .withColumn("_salt", F.pmod("_key.a", F.lit(salts)).cast("int"))
              .withColumn("_cell", F.explode("_cells"))
              .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), (block_of(F.col("_cell")) - 1).cast("bigint"))))
-             .select(F.col(query_id).alias("_qid"), F.col(vector).alias("_vec"), "_cell", "_block", "_salt"))
+             .select(F.col("_key").alias("_qid"), F.col(vector).alias("_vec"), "_cell", "_block", "_salt"))
 
     def search(key, left, right):
         if not left.num_rows or not right.num_rows:
             return schema_arrow.empty_table()
         right = right.sort_by("_vid")
-        order, distance = _closest(_matrix(left.column("_vec")), _matrix(right.column("_vec")), k)
-        width = order.shape[1]
-        return pa.table({
-            "_qid": left.column("_qid").take(pa.array(np.repeat(np.arange(left.num_rows), width))),
-            "_vid": right.column("_vid").take(pa.array(order.ravel())),
-            "_distance": pa.array(distance.ravel()),
-        }).cast(schema_arrow)
-
-    out = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType),
+        matrix = _matrix(right.column("_vec"))
+        step, parts = max(1, SLICE_BYTES // (8 * right.num_rows)), []
+        for start in range(0, left.num_rows, step):
+            part = left.slice(start, step)
+            order, distance = _closest(_matrix(part.column("_vec")), matrix, k)
+            parts.append(pa.table({
+                "_qid": part.column("_qid").take(pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))),
+                "_vid": right.column("_vid").take(pa.array(order.ravel())),
+                "_distance": pa.array(distance.ravel()),
+            }).cast(schema_arrow))
+        return pa.concat_tables(parts)
+
+    out = T.StructType([T.StructField("_qid", queries.schema["_key"].dataType),
                         T.StructField("_vid", vectors.schema[vec_id].dataType),
                         T.StructField("_distance", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -208,14 +218,22 @@ def _large_side(queries: DataFrame, vectors: DataFrame, query_id: str, vector: s
         Window.partitionBy("_qid").orderBy(F.round("_distance", TIE_DECIMALS), "_vid"))).where(F.col("_rank") <= k)
     gathered = ranked.groupBy("_qid").agg(
         F.array_sort(F.collect_list(F.struct("_rank", "_vid", "_distance"))).alias("_n"))
-    return (queries.join(gathered, queries[query_id] == gathered["_qid"], "left").drop("_qid")
+    return (queries.join(gathered, queries["_key"] == gathered["_qid"], "left").drop("_qid", "_key")
             .withColumn("_ids", F.col("_n._vid")).withColumn("_distances", F.col("_n._distance")).drop("_n"))
 
 
 def nearest_lists(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "id",
                   vector: str = "vector", matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
     """Each query with ``neighbours``: its k nearest vectors by cosine distance, exact, ties by id."""
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    def shape(df: DataFrame):
+        broken = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull())
+        return df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d"), F.min(F.size(vector)).alias("least"),
+                      F.count_if(broken).alias("broken")).first()
+
+    size, asked = shape(vectors), shape(queries)
+    lengths = {x for s in (size, asked) if s["n"] for x in (s["d"], s["least"])}
+    if size["broken"] or asked["broken"] or len(lengths) > 1:
+        raise ValueError(f"vectors must have one length and no NULLs; lengths from {min(lengths)} to {max(lengths)}")
     total, dim = size["n"], size["d"] or 1
     if not total:
         found = queries.withColumn("_ids", F.array().cast(T.ArrayType(vectors.schema[vec_id].dataType)))\
