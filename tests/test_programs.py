@@ -234,4 +234,4 @@ def test_queue_is_read_once(spark, tmp_path):
     spark.range(10, 13).write.mode("append").parquet(source)
     run()
     assert spark.read.parquet(out).count() == 13
-    assert feeds.queue_state(spark, 0) == 23
+    assert feeds.queue_state(0) == 23

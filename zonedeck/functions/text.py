@@ -49,6 +49,26 @@ def inspect_converting(value: Column, old: str, new: str) -> Column:
     return F.translate(value, old, new)
 
 
+def largest(*values: Column) -> Column:
+    """MAX of the arguments; NULLs do not take part."""
+    return F.greatest(*values)
+
+
+def smallest(*values: Column) -> Column:
+    """MIN of the arguments; NULLs do not take part."""
+    return F.least(*values)
+
+
+def modulo(value: Column, divisor: Column) -> Column:
+    """MOD: the remainder has the sign of the divisor; NULL for a zero divisor."""
+    rest = F.try_mod(value, divisor)
+    return F.when((rest != 0) & ((rest < 0) != (divisor < 0)), rest + divisor).otherwise(rest)
+
+
+def absolute(value: Column) -> Column:
+    return F.abs(value)
+
+
 def edited_count(value: Column, width: int) -> Column:
     """``Z(width)``: leading zeros blank, zero is all blanks.  A number that is too wide is shown in full."""
     return F.when(value == 0, F.repeat(F.lit(" "), F.lit(width))).otherwise(_wide(value.cast("string"), width))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from zonedeck.operators.lookup import lookup_join
 from zonedeck.operators.ordering import running_total
 
-# Response code names and numbers, as the reference prints them.
+# Response code names and numbers.
 RESPONSES = {
     "NORMAL": 0,
     "ERROR": 1,

@@ -105,7 +105,7 @@ def _records(text: Column, strict: bool) -> Column:
 def extract_records(corpus: DataFrame, key: str = "path", text: str = "text", strict: bool = False) -> DataFrame:
     """``(key, pos, original)`` for every such record of programs that need record work.
 
-    Without ``strict`` the last record of a program runs to the end of its text, as in the reference;
+    Without ``strict`` the last record of a program runs to the end of its text;
     with it a record ends at the next division or section header.
     """
     return _unfold(corpus, key, F.when(needs_record_work(F.col(text)), _records(F.col(text), strict)))

@@ -316,6 +316,11 @@ def content_hash(chunks: DataFrame, fields: list[str]) -> DataFrame:
     return sums.select(F.sha2(text, 256).alias("content_hash"), F.col("n").alias("rows"))
 
 
+def unchanged(chunks: DataFrame, fields: list[str], stored_hash: str | None) -> bool:
+    """Whether a table still has the hash stored with its index, so that a refresh can be skipped."""
+    return stored_hash is not None and content_hash(chunks, fields).first()["content_hash"] == stored_hash
+
+
 def refresh_plan(chunks: DataFrame, index: DataFrame, key: str, fields: list[str], force: bool = False) -> DataFrame:
     """``(key, action)`` with insert, update, delete or keep.  Both tables meet in one grouped shuffle."""
     new = chunks.select(key, row_hash(fields).alias("_new"), F.lit(None).cast("string").alias("_old"))

@@ -201,6 +201,22 @@ def cleanse_text(spark, sf_dir):
         text.tally(name, "l").alias("l_count"), text.numval(padded).alias("price"), text.numval(brand).alias("no_price"))
 
 
+@query("number_functions", """
+    SELECT c_custkey, greatest(bal, c_nationkey, 100) AS most, least(bal, c_nationkey, 100) AS fewest, abs(bal) AS size,
+           CASE WHEN bal % 7 < 0 THEN bal % 7 + 7 ELSE bal % 7 END AS rest,
+           CASE WHEN bal % -7 > 0 THEN bal % -7 - 7 ELSE bal % -7 END AS rest_below, CAST(NULL AS BIGINT) AS no_rest
+    FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(floor(c_acctbal) AS BIGINT) AS bal FROM customer)""")
+def number_functions(spark, sf_dir):
+    rows = spread(C.table(spark, sf_dir, "customer")).select(
+        "c_custkey", F.col("c_nationkey").cast("bigint").alias("nation"), F.floor("c_acctbal").cast("bigint").alias("bal"))
+    whole = lambda n: F.lit(n).cast("bigint")
+    bal, nation = F.col("bal"), F.col("nation")
+    return rows.select(
+        "c_custkey", text.largest(bal, nation, whole(100)).alias("most"), text.smallest(bal, nation, whole(100)).alias("fewest"),
+        text.absolute(bal).alias("size"), text.modulo(bal, whole(7)).alias("rest"),
+        text.modulo(bal, whole(-7)).alias("rest_below"), text.modulo(bal, whole(0)).alias("no_rest"))
+
+
 @query("calendar", """
     SELECT event_id, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS yyyymmdd,
            CAST((year(ts) * 10000 + month(ts) * 100 + day(ts)) % 1000000 AS INTEGER) AS yymmdd,

@@ -26,6 +26,21 @@ def consume_queue(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("consume_queue_responses", """
+    SELECT 1 AS attempt, count(*) AS items, CAST(CASE WHEN count(*) > 0 THEN 0 ELSE 23 END AS INTEGER) AS resp FROM events
+    UNION ALL SELECT 2, 0, 23""")
+def consume_queue_responses(spark, sf_dir):
+    """Each attempt with what it took and its response: the second one finds the queue empty."""
+    out, checkpoint = shared_dir(spark, "taken"), shared_dir(spark, "taken-state")
+    found = []
+    for attempt in (1, 2):
+        run = feeds.consume_queue(arriving(spark, sf_dir).select("event_id"), out, checkpoint)
+        run.awaitTermination()
+        items = feeds.taken(run)
+        found.append((attempt, items, feeds.queue_state(items)))
+    return spark.createDataFrame(found, "attempt int, items bigint, resp int")
+
+
 @query("append_log", "SELECT event_id, rtrim(left(concat(event_type, '    ', props), 10)) AS message FROM events")
 def append_log(spark, sf_dir):
     out, checkpoint = shared_dir(spark, "log"), shared_dir(spark, "log-state")
@@ -35,6 +50,23 @@ def append_log(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("control_totals_windows", """
+    SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') AS record_count,
+           CAST(coalesce(sum(CAST(value AS DECIMAL(11,2))) FILTER (event_type <> 'error'), 0) AS DECIMAL(21,2)) AS total_amount,
+           count(*) FILTER (event_type = 'error') AS error_count
+    FROM events GROUP BY 1""")
+def control_totals_windows(spark, sf_dir):
+    """The aggregate with a watermark, whose state Spark keeps; every batch writes all windows, so the last one is there."""
+    out, checkpoint = shared_dir(spark, "windows"), shared_dir(spark, "windows-state")
+    records = arriving(spark, sf_dir).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(11,2)").alias("amount"),
+        F.when(F.col("event_type") == "error", "E").otherwise("A").alias("status"))
+    feeds.control_totals_stream(records, "ts", "status", "amount", out, checkpoint, output_mode="complete").awaitTermination()
+    return spark.read.parquet(out).select(
+        F.to_date("window_start").alias("day"), "record_count",
+        F.coalesce("total_amount", F.lit(0)).cast("decimal(21,2)").alias("total_amount"), "error_count")
+
+
 @query("control_totals_stream", """
     SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') AS record_count,
            CAST(coalesce(sum(CAST(value AS DECIMAL(11,2))) FILTER (event_type <> 'error'), 0) AS DECIMAL(21,2)) AS total_amount,

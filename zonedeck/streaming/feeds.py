@@ -16,7 +16,12 @@ def consume_queue(stream: DataFrame, out: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).outputMode("append").start()
 
 
-def queue_state(spark: SparkSession, consumed: int) -> int:
+def taken(run: StreamingQuery) -> int:
+    """Items that a finished run took from its queue."""
+    return sum(p["numInputRows"] for p in run.recentProgress)
+
+
+def queue_state(consumed: int) -> int:
     """Response of one read attempt: 0 when it took something, 23 when the queue was empty."""
     return RESPONSES["NORMAL"] if consumed else RESPONSES["QZERO"]
 
