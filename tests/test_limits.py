@@ -131,3 +131,15 @@ def test_uneven_vectors_are_refused(spark, vector):
     odd = spark.range(1).selectExpr("id + 9 AS id", f"CAST({vector} AS array<double>) AS vector")
     with pytest.raises(ValueError, match="one length"):
         retrieve.nearest(vectors.withColumnRenamed("id", "query_id"), vectors.unionByName(odd), 2)
+
+
+def test_large_and_small_keys_are_numbered_alike(spark, monkeypatch):
+    from zonedeck.operators import ordering
+
+    monkeypatch.setattr(ordering, "KEY_ROWS", 50)
+    df = spark.range(300).selectExpr("CASE WHEN id < 120 THEN 1 WHEN id < 200 THEN NULL ELSE id % 40 END AS k", "id * 7 % 300 AS n")
+    rows = [(r.k, r.n, r.p) for r in ordering.position(df, ["k"], ["n"], "p").collect()]
+    keys = {}
+    for k, n, p in rows:
+        keys.setdefault(k, []).append((n, p))
+    assert len(rows) == 300 and all([p for _, p in sorted(v)] == list(range(1, len(v) + 1)) for v in keys.values())

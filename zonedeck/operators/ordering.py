@@ -1,7 +1,8 @@
 """Positions and running totals in a total order, without one task per key.
 
-A window over (key, order) puts a whole key into one task.  Here the order is first cut
-into buckets at approximate quantiles; totals per (key, bucket) are summed with map-side
+A window over (key, order) puts a whole key into one task, which is the right plan for keys of
+ordinary size.  Keys of more than ``KEY_ROWS`` rows are found by a counted aggregate; for them, and
+for a total order without keys, the order is first cut into buckets at approximate quantiles; totals per (key, bucket) are summed with map-side
 combine, turned into starting offsets, and joined back, so a task only ever sorts one
 bucket of one key.  Order columns must not be NULL and must together be unique.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PREFIX_BYTES = 6
+#: Most rows of a key that one task sorts.
+KEY_ROWS = 1_000_000
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -68,8 +71,23 @@ def with_buckets(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Column, out: str,
                   buckets: int | None = None, descending: bool = False) -> DataFrame:
-    """Add the running sum of ``weight`` per key along ``order``, the current row included."""
+    """Add the running sum of ``weight`` per key along ``order``, the current row included.
+
+    ``buckets`` forces the bucketed way for all keys.
+    """
     way = F.desc if descending else F.asc
+    if keys and not buckets:
+        key = F.struct(*keys)
+        # At most one key for every KEY_ROWS rows of the table.
+        large = df.groupBy(key.alias("_large")).count().where(F.col("count") > KEY_ROWS).select("_large")
+        whole = Window.partitionBy(*keys).orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        if not large.take(1):
+            return df.withColumn(out, F.sum(weight).over(whole))
+        met = key.eqNullSafe(F.col("_large"))
+        small = df.join(F.broadcast(large), met, "left_anti").withColumn(out, F.sum(weight).over(whole))
+        split = running_total(df.join(F.broadcast(large), met, "left_semi"), keys, order, weight, out,
+                              max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), descending)
+        return small.unionByName(split)
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The keys travel as one struct, which is never NULL itself: windows, totals and the join then all
     # use the same plain columns, so the rows are shuffled once.
