@@ -26,19 +26,53 @@ def _query(name: str, check: str | None = None):
     return keep
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_FOLDED = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+_REPEATS_SQL = f"""
+    WITH split AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+         windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS w
+                     FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split)),
+         least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+         gone AS (SELECT DISTINCT doc_id, p FROM (
+                      SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN least USING (w) WHERE first < doc_id)),
+         places AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM split),
+         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+                  FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT s.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM split s LEFT JOIN kept k USING (doc_id)"""
+
+_LEAKS_SQL = f"""
+    WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS words FROM benchmark),
+         grams AS (SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i:i + 9], ' ') AS g
+                   FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+         split AS (SELECT doc_id, {_FOLDED} AS words FROM documents),
+         sizes AS (SELECT DISTINCT n FROM grams),
+         places AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS g
+                    FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM split, sizes)),
+         hits AS (SELECT doc_id, item, n, i FROM places JOIN grams USING (n, g)),
+         words_hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+         items_hit AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
+                       FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+    SELECT s.doc_id, len(words) AS n_words, coalesce(w.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+           sha256(coalesce(m.list, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
+    FROM split s LEFT JOIN words_hit w USING (doc_id) LEFT JOIN items_hit m USING (doc_id)"""
+
+
 @_query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@_query("op2_recompression")
+@_query("op2_recompression", _REPEATS_SQL)
 def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(id_text(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-@_query("op3_decontaminate")
+@_query("op3_decontaminate", _LEAKS_SQL)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = id_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(docs, benchmark)
