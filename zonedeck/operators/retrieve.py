@@ -259,17 +259,33 @@ def retrieve(queries: DataFrame, chunks: DataFrame, rules: list[tuple[str, str]]
     """Each query with ``chunk_ids``, its k notes in order.
 
     The semantic stage asks for k plus the number of matched rules.  Matched notes it returns come
-    first, in rule order; the others follow by distance.
+    first, in rule order; the others follow by distance.  A query without a vector gets the notes of
+    its matched rules alone, as far as there are such notes.
     """
+    vector = names.get("vector", "vector")
+    alone = queries.where(F.col(vector).isNull())
+    queries = queries.where(F.col(vector).isNotNull())
     most = k + len({tag for _, tag in rules} | ({always} if always else set()))
     tagged = tag_rules(queries, rules, always, text)
     lists = nearest_lists(tagged, chunks, most, query_id, **names)
     seen = F.transform(F.slice("neighbours", F.lit(1), F.size("tags") + k), lambda n: n["id"].cast("string"))
     promoted = F.filter("tags", lambda t: F.array_contains(F.col("_seen"), t))
     others = F.filter("_seen", lambda s: ~F.array_contains(F.col("tags"), s))
-    return (lists.withColumn("_seen", seen)
-            .withColumn("chunk_ids", F.slice(F.concat(promoted, others), 1, k))
-            .drop("_seen", "neighbours"))
+    ranked = (lists.withColumn("_seen", seen)
+              .withColumn("chunk_ids", F.slice(F.concat(promoted, others), 1, k))
+              .drop("_seen", "neighbours"))
+    promoted = promoted_notes(tag_rules(alone, rules, always, text), chunks, rules, always, names.get("vec_id", "id"))
+    return ranked.unionByName(promoted.withColumn("chunk_ids", F.slice("_promoted", 1, k)).drop("_promoted"))
+
+
+def promoted_notes(tagged: DataFrame, chunks: DataFrame, rules: list[tuple[str, str]], always: str | None,
+                   vec_id: str = "id") -> DataFrame:
+    """Add ``_promoted``: the tags for which there is a note, in rule order.  At most one note for a rule is looked up."""
+    wanted = sorted({tag for _, tag in rules} | ({always} if always else set()))
+    name = F.col(vec_id).cast("string")
+    there = [r[0] for r in chunks.where(name.isin(wanted)).select(name).distinct().collect()]
+    kept = F.filter("tags", lambda t: t.isin(there) if there else F.lit(False))
+    return tagged.withColumn("_promoted", kept)
 
 
 def attach_notes(retrieved: DataFrame, chunks: DataFrame, query_id: str = "query_id", vec_id: str = "id",

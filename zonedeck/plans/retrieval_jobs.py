@@ -91,8 +91,9 @@ def nearest_blocks(spark, sf_dir):
 def notes_and_queries(spark, sf_dir):
     vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     texts = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    chunks = texts.join(vectors, "id")
-    return chunks, chunks.withColumnRenamed("id", "query_id")
+    # Every document asks; the notes are those that have a vector.
+    asked = texts.join(vectors, "id", "left")
+    return texts.join(vectors, "id"), asked.withColumnRenamed("id", "query_id")
 
 
 def retrieved(spark, sf_dir):
@@ -112,7 +113,12 @@ _STAGED = f"""
 _ORDERED = f"""
     (SELECT query_id, chunk_id, row_number() OVER (
          PARTITION BY query_id ORDER BY CASE WHEN rule > 0 THEN 0 ELSE 1 END, CASE WHEN rule > 0 THEN rule ELSE rank END) AS position
-     FROM {_STAGED})"""
+     FROM {_STAGED}
+     UNION ALL
+     SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY p)
+     FROM (SELECT doc_id, unnest(tags) AS t, unnest(range(1, len(tags) + 1)) AS p
+           FROM {_tags_sql()} WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))
+     WHERE t IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)))"""
 
 
 @query("retrieve", f"""
@@ -128,7 +134,8 @@ def top_k_chunks(spark, sf_dir):
     """The merge from a table of candidates, where promoted notes are offered by both stages."""
     chunks, queries = notes_and_queries(spark, sf_dir)
     rules = [(p, t) for p, _, t in NOTE_RULES]
-    tagged = R.tag_rules(queries, rules, ALWAYS)
+    alone = R.tag_rules(queries.where("vector IS NULL"), rules, ALWAYS)
+    tagged = R.tag_rules(queries.where("vector IS NOT NULL"), rules, ALWAYS)
     near = R.nearest_lists(tagged, chunks, K + len({t for _, t in rules}))
     rows = (near.select("query_id", "tags", F.inline("neighbours"))
             .where(F.col("rank") <= F.size("tags") + K)
@@ -136,6 +143,8 @@ def top_k_chunks(spark, sf_dir):
                     F.array_position("tags", F.col("id").cast("string")).alias("rule")))
     semantic = rows.select("query_id", "chunk_id", F.lit(1).alias("stage"), F.col("rank").cast("bigint").alias("rank"))
     promoted = rows.where(F.col("rule") > 0).select("query_id", "chunk_id", F.lit(0).alias("stage"), F.col("rule").alias("rank"))
+    ruled = R.promoted_notes(alone, chunks, rules, ALWAYS).select("query_id", F.posexplode("_promoted").alias("rank", "chunk_id"))
+    promoted = promoted.unionByName(ruled.select("query_id", "chunk_id", F.lit(0).alias("stage"), (F.col("rank") + 1).alias("rank")))
     return R.top_k_chunks(semantic.unionByName(promoted), "query_id", "stage", "rank", "chunk_id", K)
 
 
