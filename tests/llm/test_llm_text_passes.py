@@ -147,6 +147,15 @@ def test_model_adds_spans_like_the_base_ones(spark):
     assert not found[1000].added and not found[1000].base and not found[450].added
 
 
+def test_redaction(spark, nasty):
+    rows = [(1, "é mail a.b@c.org or +1 (319) 555-5132, host 10.0.0.1."), (2, None), (3, "plain"), (4, "+4111 1111 1111 1111")]
+    done = pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.redacted for r in done} == {
+        1: "é mail [email] or [phone], host [ip].", 2: None, 3: "plain", 4: "+[card]"}
+    kept = pii.redact(nasty)
+    assert kept.columns == [*nasty.columns, "redacted"] and kept.count() == len(NASTY)
+
+
 def test_personal_data_of_empty_tables(spark, empty):
     assert pii.find_spans(empty).count() == 0
 

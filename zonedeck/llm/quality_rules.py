@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonedeck.llm.frames import free_name, staged, with_python
+from zonedeck.llm.frames import staged, with_python
 
 #: Hard limits: fewest words, and the share in percent of words inside repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50

@@ -22,7 +22,6 @@ an id are one document as far as "lesser" goes and are cut each by itself.  An e
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A word's logit adds up its hashed byte n-grams, a sentence's odds add up its words', so that a long sentence does not
-drown one bad word; a document is toxic if any of its sentences is (noisy-or).  Only document labels train the weights, on the driver, from a bounded sample of ``SAMPLE_ROWS`` texts of
-at most 64 KiB.  Tasks score every sentence of whole texts and report the sentences that offend.
+drown one bad word; a document is toxic if any of its sentences is (noisy-or).  Only document labels train the
+weights, on the driver, from a bounded sample of ``SAMPLE_ROWS`` texts of at most 64 KiB.  Tasks score every sentence of
+whole texts and report the sentences that offend.
 
 Null and empty texts have no sentences and score 0.  Without labels of both kinds all sentences score the share of
 label 1.  Rows are independent: repeated rows, null ids and other columns pass through.
