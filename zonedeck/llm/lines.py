@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonedeck.llm.components import connected_components
-from zonedeck.llm.frames import free_name, staged
+from zonedeck.llm.frames import discard, free_name, staged
 
 #: Edit threshold, least length of lines that match other than exactly.
 ERRORS, NEAR_CHARS = 1, 20
@@ -120,9 +120,13 @@ def _pairs(keys: DataFrame) -> DataFrame:
 
 
 def _cold_and_hot(keys: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys with at most ``HOT`` rows, and of keys with more; keys that nothing can match are in neither."""
+    """Rows of keys with at most ``HOT`` rows, and of keys with more; keys that nothing can match are in neither.
+
+    ``keys`` is a staged table, which goes once it is read.
+    """
     counts = staged(keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), purpose)
     found = staged(keys.join(counts, "key"), purpose)
+    discard(keys, counts)
     return found.where(F.col("rows") <= HOT).drop("rows"), found.where(F.col("rows") > HOT).drop("rows")
 
 
@@ -166,6 +170,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = distinct.select("hash", "first", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
     named = staged(named.select("hash", "first", "root"), "lines-named")
+    discard(distinct)
     least = staged(named.groupBy("root").agg(F.min(F.struct("first", "hash")).alias("least")), "lines-least")
     return thin, named.join(least, "root").select(
         "hash", F.col("least.first").alias("first"), F.col("least.hash").alias("first_hash"))
