@@ -1,0 +1,75 @@
+"""Near copies of documents: five-word shingle sets at least 0.8 alike, against every pair compared."""
+
+import random
+
+import helpers
+import pytest
+
+from zonedeck.llm import minhash, simhash
+
+
+def shingles(text):
+    words = helpers.WORDS.findall((text or "").lower())
+    return {" ".join(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def kept_by_brute_force(docs):
+    sets, label = [shingles(t) for _, t in docs], list(range(len(docs)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return {docs[i][0] for i in range(len(docs)) if find(i) == i}
+
+
+def planted(low, high, n_words):
+    """A text and a copy with changed words whose similarity lies between the bounds."""
+    while True:
+        own = [f"w{random.randrange(10 ** 6)}" for _ in range(n_words)]
+        copy = list(own)
+        for i in random.sample(range(n_words), random.randint(1, n_words // 12)):
+            copy[i] = "changed" + str(random.random())
+        a, b = shingles(" ".join(own)), shingles(" ".join(copy))
+        if low <= len(a & b) / len(a | b) <= high:
+            return " ".join(own), " ".join(copy)
+
+
+@pytest.mark.parametrize("hot", [32, 4])
+def test_planted_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)
+    random.seed(11)
+    docs, pairs = [], 0
+    for low, high in [(0.6, 0.79), (0.8, 0.83), (0.83, 0.9), (0.9, 0.95)]:
+        for _ in range(25):
+            for text in planted(low, high, random.randint(60, 400)):
+                docs.append((len(docs), text))
+            pairs += low >= 0.8
+    base = docs[0][1].split()
+    for i in range(60):  # a large group with chains
+        own = list(base)
+        for k in random.sample(range(len(base)), random.randint(1, 4)):
+            own[k] = f"x{i}y{k}"
+        docs.append((len(docs), " ".join(own)))
+    docs += [(len(docs) + i, t) for i, t in enumerate([None, "", " \n", "One two", "one TWO", "one", docs[9][1].upper()])]
+    random.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id for r in simhash.keep_one(df).select("doc_id").collect()}
+    docs.sort()
+    assert got == kept_by_brute_force(docs)
+    assert pairs == 75
+
+
+def test_similarity_of_exactly_four_fifths(spark):
+    """Nine shingles of which eight are shared by sets of nine: 8 of 10; one less: 7 of 9."""
+    own = [f"w{i}" for i in range(13)]
+    rows = [(1, " ".join(own)), (2, " ".join([*own[:12], "other"])), (3, " ".join(f"v{i}" for i in range(12))),
+            (4, " ".join([*(f"v{i}" for i in range(11)), "other"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == [1, 3, 4]

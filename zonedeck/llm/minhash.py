@@ -1,0 +1,171 @@
+"""Documents whose sets of word shingles have a Jaccard similarity of at least 0.8, by MinHash bands and exact checks.
+
+The distinct shingles of a text are hashed to 64 bits.  ``BANDS`` keys of ``ROWS`` minima each stand for a set; two sets of
+similarity s share one key or more with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99993 at 0.8 and more above.  Every
+pair taken from a shared key is held against the whole sets before it links anything.
+
+Texts with equal sets are one node.  First each node of a key is compared with the key's least one, which joins large
+groups by few comparisons.  Then all pairs of a key are compared that are still in different groups.  A key with more
+than ``HOT`` nodes in several groups is refined by each other key of its nodes; where even such a key has more, its nodes
+are compared with its least one only.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from zonedeck.llm.components import connected_components
+from zonedeck.llm.frames import discard, free_name, offsets_of, staged, to_arrow, with_python
+
+#: Words of a shingle, seed of its hash; least similarity as a fraction.
+SHINGLE, SEED, SIMILAR, OF = 5, 42, 4, 5
+#: Keys of a set, minima of a key, nodes of a key that are paired up.
+BANDS, ROWS, HOT = 24, 5, 32
+#: Shingles that are multiplied out together.
+BLOCK = 1 << 13
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LONGS = T.ArrayType(T.LongType(), False)
+
+
+def shingle_digests(text: bytes, shingle: int, seed: int = SEED) -> bytes:
+    """Hashes, 8 bytes each, of all runs of ``shingle`` lower-cased words (A-Z only); fewer words are one run."""
+    words = text.lower().split()
+    if not words:
+        return b""
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        spans = [(0, len(joined))]
+    else:
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(lengths) - 1
+        starts = (ends + 1 - lengths)[: len(words) - shingle + 1]
+        spans = zip(starts.tolist(), ends[shingle - 1:].tolist())
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a:b], seed) for a, b in spans])
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_digests(text, shingle), np.uint64))
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    a, b = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+    return (a | np.uint64(1))[:, None], b[:, None]
+
+
+def band_keys(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The keys of a set; an empty one has none."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    a, b = factors
+    least = np.min([(a * shingles[i:i + BLOCK] + b).min(axis=1) for i in range(0, len(shingles), BLOCK)], axis=0)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for minima in least.reshape(BANDS, ROWS).T:
+        key = (key ^ minima) * _MIX
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    offsets = offsets_of(np.array([len(a) for a in arrays], np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)), type=to_arrow(_LONGS))
+
+
+def with_keys(df: DataFrame, text_col: str, same: str, keys: str) -> DataFrame:
+    """Append a 128-bit hash of the set of shingles, and its keys."""
+    def make():
+        factors = _factors()
+
+        def compute(texts):
+            sets = [shingle_set(t) for t in texts]
+            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], _lists([band_keys(s, factors) for s in sets])]
+
+        return compute
+
+    return with_python(df, text_col, [T.StructField(same, T.BinaryType(), False), T.StructField(keys, _LONGS, False)], make)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``u, v`` whose sets are similar enough; ``texts`` has ``node, text``."""
+    pairs = staged(pairs.distinct(), "minhash-pairs")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+
+    def make():
+        return lambda found: [_lists([shingle_set(t) for t in found])]
+
+    sets = with_python(texts.join(nodes, "node", "left_semi"), "text", [T.StructField("set", _LONGS, False)], make)
+    sets = staged(sets.select("node", "set"), "minhash-sets")
+    both = (pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+            .join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u"))
+    shared = F.size(F.array_intersect("a", "b")).cast("bigint")
+    links = staged(both.where(shared * OF >= (F.size("a") + F.size("b") - shared) * SIMILAR).select("u", "v"), "minhash-links")
+    discard(pairs, sets)
+    return links
+
+
+def _to_least(keys: DataFrame) -> DataFrame:
+    """Pairs of each node of a key (``key, node, root``) with the least one, if they are in different groups."""
+    least = keys.groupBy("key").agg(F.min(F.struct("node", "root")).alias("least"), F.count("*").alias("nodes"))
+    return keys.join(least.where("nodes > 1"), "key").where("node <> least.node and root <> least.root").select(
+        F.col("least.node").alias("u"), F.col("node").alias("v"))
+
+
+def _mixed(keys: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``key, node, root`` of keys over several groups: those with at most ``HOT`` nodes, and those with more."""
+    counts = keys.groupBy("key").agg(F.count("*").alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
+    found = staged(keys.join(counts.where("low <> high").select("key", "nodes"), "key"), purpose)
+    return found.where(F.col("nodes") <= HOT).drop("nodes"), found.where(F.col("nodes") > HOT).drop("nodes")
+
+
+def _all_pairs(keys: DataFrame) -> DataFrame:
+    other = keys.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
+    return keys.withColumnRenamed("node", "u").join(other, "key").where("u < v and root <> other").select("u", "v")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    roots = connected_components(links, "minhash-components")
+    return staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-roots")
+
+
+def near_roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, keys, root`` for every one of ``nodes`` (``node, keys``): the group it belongs to."""
+    single = nodes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("root"))
+    links = _similar(_to_least(single), texts)
+    rooted = _rooted(nodes, links)
+    cold, hot = _mixed(rooted.select(F.explode("keys").alias("key"), "node", "root"), "minhash-mixed")
+    pairs = _all_pairs(cold)
+    if hot.take(1):
+        finer = hot.join(nodes, "node").select("key", "node", "root", F.explode("keys").alias("more")).where(
+            "key <> more").select(F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key"), "node", "root")
+        cold, hot = _mixed(staged(finer.distinct(), "minhash-finer"), "minhash-mixed")
+        pairs = pairs.unionByName(_all_pairs(cold)).unionByName(_to_least(hot))
+    return _rooted(nodes, links.unionByName(_similar(pairs, texts)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one row of each group of near copies: the one of least id.
+
+    Among rows of the same id the first read stays; rows without an id stay only where the group has no other.  Nulls
+    and texts without words are one group.
+    """
+    key, same, keys = (free_name(docs, c) for c in ("_row", "_same", "_keys"))
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()), "minhash-docs")
+    texts = rows.select(F.col(key).alias("node"), F.col(text_col).cast("string").alias("text"))
+    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(key).alias("row"))
+    thin = with_keys(rows.select(key, F.col(id_col), F.col(text_col).cast("string").alias(text_col)), text_col, same, keys)
+    thin = staged(thin.select(F.col(same).alias("same"), F.col(keys).alias("keys"), first.alias("first")), "minhash-keys")
+    # Equal sets have equal keys.
+    nodes = thin.groupBy("same").agg(F.min("first").alias("first"), F.min("keys").alias("keys"))
+    nodes = staged(nodes.select(F.col("first.row").alias("node"), "first", "keys"), "minhash-nodes")
+    discard(thin)
+    rooted = near_roots(nodes.select("node", "keys"), texts).select("node", "root")
+    kept = nodes.select("node", "first").join(rooted, "node").groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(key)), key, "left_semi").select(*docs.columns)
