@@ -33,8 +33,8 @@ def _exact(token: Column) -> Column:
 def _long_gap(e: Column, a: Column) -> Column:
     """Difference of two tokens of any length, from their aligned digits.
 
-    Of like signs, the common start is left out and the next 38 digits are subtracted; differences beyond the range of
-    ``TOKEN`` come out as its largest value, and digits beyond the 38th as nothing.
+    Of like signs, the common start and a borrow through zeros over nines are left out and the next 37 digits are
+    subtracted; differences beyond the range of ``TOKEN`` come out as its largest value, and later digits as nothing.
     """
     whole = lambda t: F.regexp_extract(t, r"^-?0*(\d*?)(?:\.\d+)?$", 1)
     part = lambda t: F.regexp_extract(t, r"\.(\d+)$", 1)
@@ -45,10 +45,18 @@ def _long_gap(e: Column, a: Column) -> Column:
     # How many leading digits agree.
     both = F.zip_with(F.split(digits(e), ""), F.split(digits(a), ""), lambda x, y: x == y)
     agree = F.coalesce(F.nullif(F.array_position(both, False), F.lit(0)), F.size(both) + 1) - 1
-    rest = lambda t: F.substring(digits(t), (agree + 1).cast("int"), F.lit(37))
-    gap = F.abs(F.try_subtract(rest(e).try_cast("decimal(38,0)"), rest(a).try_cast("decimal(38,0)")))
+    rest = lambda t: F.substring(digits(t), (agree + 1).cast("int"), F.lit(1 << 30))
+    more, less = F.greatest(rest(e), rest(a)), F.least(rest(e), rest(a))
+    lead = F.left(more, F.lit(1)).cast("int") - F.left(less, F.lit(1)).cast("int")
+    tail = lambda t: F.substring(t, F.lit(2), F.lit(1 << 30))
+    # A lead of one is borrowed through all zeros that stand over nines; it is one still at the end of them.
+    over = F.zip_with(F.split(tail(more), ""), F.split(tail(less), ""), lambda x, y: (x == "0") & (y == "9"))
+    borrowed = F.when(lead == 1, F.coalesce(F.nullif(F.array_position(over, False), F.lit(0)), F.size(over) + 1) - 1).otherwise(0)
+    near = lambda t: F.substring(tail(t), (borrowed + 1).cast("int"), F.lit(36))
+    gap = F.try_subtract(F.concat(lead.cast("string"), near(more)).try_cast("decimal(38,0)"),
+                         F.concat(F.lit("0"), near(less)).try_cast("decimal(38,0)"))
     # Decimals that the compared digits reach to.
-    scale = F.least(left + right, agree + 37) - left
+    scale = F.least(left + right, agree + borrowed + 37) - left
     exact = F.concat(gap.cast("string"), F.lit("e"), (-scale).cast("string")).try_cast(TOKEN)
     unlike = e.startswith("-") != a.startswith("-")
     total = F.try_add(F.abs(_exact(e)), F.abs(_exact(a)))
