@@ -227,3 +227,21 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     assert rows[10].text == "" and rows[13].text == other and rows[13].n_chars == len(rows[13].text)
     assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows.values())
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_one_document_of_each_group_stays(spark):
+    random.seed(12)
+    docs = []
+    for _ in range(40):
+        own = [f"w{random.randrange(10 ** 6)}" for _ in range(random.randint(150, 300))]
+        for _ in range(random.randint(1, 4)):
+            docs.append((len(docs), " ".join(own)))
+            own[random.randrange(len(own))] = f"x{len(docs)}"
+    docs += [(len(docs) + i, t) for i, t in enumerate([None, "", " \n", "One two", "one TWO", docs[3][1].upper()])]
+    prints = [brute_fingerprint(t) for _, t in docs]
+    roots = roots_of(len(docs), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    shuffled = random.sample(docs, len(docs)) + [(None, docs[0][1]), (None, "alone and without an id at all")]
+    df = spark.createDataFrame(shuffled, "doc_id bigint, text string").withColumn("_row", F.lit("own")).repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {docs[r][0] for r in roots} | {None}

@@ -11,7 +11,8 @@ of a block of fingerprints that fall into the same bucket form one row.  Buckets
 a share of all variants is on disk at a time.  Within a bucket neighbours in sorted order are linked, never all pairs.
 
 Nulls and texts without words have fingerprint zero and are linked like others; null ids are kept, and a group's id is
-its least id that is not null.  Repeated rows and ids are rows of their own.  An empty table gives an empty table.
+its least id that is not null.  Repeated rows and ids are rows of their own.  An empty table gives an empty table.  A very
+long text is hashed piece by piece; further columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonedeck.llm.components import connected_components
 from zonedeck.llm.frames import free_name, shuffle_width, staged, with_python
-from zonedeck.llm.minhash import keep_one, shingle_digests  # noqa: F401  (the stage of one document a group)
 
 #: Words of a shingle, seed of its hash, differing bits that still link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -43,6 +44,23 @@ _BACK = pow(_SPREAD, -1, 1 << 64)
 _LOW = 12
 
 
+def shingle_digests(text: bytes, shingle: int, seed: int = SEED) -> bytes:
+    """Hashes, 8 bytes each, of all runs of ``shingle`` lower-cased words (A-Z only); fewer words are one run."""
+    words = text.lower().split()
+    if not words:
+        return b""
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        spans = [(0, len(joined))]
+    else:
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(lengths) - 1
+        starts = (ends + 1 - lengths)[: len(words) - shingle + 1]
+        spans = zip(starts.tolist(), ends[shingle - 1:].tolist())
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a:b], seed) for a, b in spans])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """SimHash of the lower-cased words (A-Z only), as an unsigned integer."""
     digests = shingle_digests(text, shingle, SEED)
@@ -175,3 +193,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(groups.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             radius: int = RADIUS) -> DataFrame:
+    """The documents, all columns, with one row of each group of near copies: the one of least id.
+
+    Among rows of the same id the first read stays; rows without an id stay only where the group has no other.
+    """
+    key, fp = free_name(docs, "_row"), free_name(docs, "_fp")
+    rows = with_fingerprints(docs, text_col, fp, shingle).withColumn(key, F.monotonically_increasing_id())
+    rows = staged(rows, "simhash-docs")
+    thin = rows.select(F.col(fp).alias("fp"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+                                                       F.col(key).alias("row")).alias("first"))
+    groups = near_groups(thin, radius=radius)
+    first = thin.groupBy("fp").agg(F.min("first").alias("first")).join(groups, "fp").groupBy("root").agg(
+        F.min("first").alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(key)), key, "left_semi").select(*docs.columns)
