@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonedeck.llm import bpe, decontaminate, lines, minhash, quality_rules
+from zonedeck.llm import bpe, decontaminate, lines, quality_rules, simhash
 from zonedeck.llm.frames import free_name, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; links are five-word shingle sets at least 0.8 alike."""
-    return minhash.keep_one(docs)
+    """One document of each group of near copies stays; fingerprints of four-word shingles link at four bits or fewer."""
+    return simhash.keep_one(docs, shingle=simhash.SHINGLE, radius=simhash.RADIUS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +55,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", apply_quality_rules),
     ("line dedup", drop_repeated_lines),
-    ("near-copy dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("byte-level BPE encoding and decoding", encode),
 ]
 
-#: Posteriors by expectation-maximisation, an edit join and token merges are beyond SQL at this size; the tests hold
-#: every stage against a brute-force version.
+#: Posteriors by expectation-maximisation, an edit join and token merges are beyond SQL at this size; the tests of the
+#: operators hold them against brute-force versions, and a test of the pipeline runs all stages over a small table.
 ORACLE_SQL: str | None = None
 
 
