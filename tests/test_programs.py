@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonedeck.functions import patterns as P
+from zonedeck.operators import cells
 from zonedeck.operators import programs as S
 from zonedeck.operators import retrieve as R
 from zonedeck.operators import training as T
@@ -128,15 +129,50 @@ def test_nearest_equals_brute_force(spark, vectors, limit):
     assert {r.query_id: [n.id for n in r.neighbours] for r in got.collect()} == expected
 
 
-def test_cells_leave_out_what_cannot_matter(spark, vectors):
-    """On clustered vectors the bound skips most query-cell pairs."""
-    pivots = R._matrix(vectors.where("id < 20").orderBy("id").select("vector").toArrow().column(0))
-    placed = R._with_cells(vectors, "vector", pivots)
-    counts, radius = np.zeros(20, dtype="int64"), np.zeros(20)
-    for s in placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_reach").alias("r")).collect():
-        counts[s["_cell"]], radius[s["_cell"]] = s["n"], s["r"]
-    asked = R._cells_to_search(vectors.where("id < 900"), "vector", pivots, radius, counts, 4)
-    assert asked.agg(F.avg(F.size("_cells"))).first()[0] < 0.7 * (counts > 0).sum()
+def test_cells_leave_out_what_cannot_matter(spark):
+    """On clustered vectors fewer than a fifth of the cells, and of the vectors, are compared; the result is exact."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(scale=0.15, size=32)]) for i in range(4000)]
+    vectors = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    asked = vectors.select(F.col("id").alias("_qid"), F.col("vector").alias("_vec"))
+    best, more, index = cells.search_plan(asked, vectors, 4, 4000, 32, "vector", "id", 32 * 8 * 200)
+    got = {}
+    for r in best.orderBy("_qid", "_rank").collect():
+        got.setdefault(r["_qid"], []).append(r["_vid"])
+    assert got == brute_force(vectors.orderBy("id").collect(), 4)
+    counts = F.array(*[F.lit(int(n)) for n in index.counts])
+    compared = more.select(F.size("_cells").alias("n"), F.aggregate("_cells", F.lit(0), lambda s, c: s + F.get(counts, c)).alias("v"))
+    share = compared.agg(F.avg("n"), F.avg("v")).first()
+    assert len(index.pivots) > 100 and share[0] < 0.2 * len(index.pivots) and share[1] < 0.2 * 4000
+
+
+@pytest.mark.parametrize("limit", [64, 16 * 8 * 20, 16 * 8 * 400])
+def test_cells_of_any_size(spark, vectors, limit):
+    """Blocks of a few vectors, queries from outside, vectors without a direction on either side."""
+    rows = vectors.orderBy("id").collect()
+    some = vectors.where("id % 7 = 0 or id = 1200").unionByName(spark.createDataFrame(
+        [(5000 + i, [float(i + j) for j in range(16)]) for i in range(3)] + [(6000, [0.0] * 16)], vectors.schema))
+    everything = rows + [r for r in some.collect() if r.id >= 5000]
+    matrix = np.array([r.vector for r in everything])
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    got = R.nearest_lists(some.withColumnRenamed("id", "query_id"), vectors, 5, matrix_bytes=limit)
+    place = {r.id: i for i, r in enumerate(everything)}
+    for r in got.collect():
+        distance = np.round(1 - unit[place[r.query_id]] @ unit[:len(rows)].T, 9)
+        assert [n.id for n in r.neighbours] == [rows[j].id for j in np.argsort(distance, kind="stable")[:5]], r.query_id
+
+
+def test_queries_without_a_vector(spark, vectors):
+    asked = vectors.where("id < 40").selectExpr("id AS query_id", "CASE WHEN id % 3 > 0 THEN vector END AS vector")
+    for limit in (1 << 20, 16 * 8 * 50):
+        got = R.nearest_lists(asked, vectors, 4, matrix_bytes=limit, some_without=True).collect()
+        expected = brute_force(vectors.orderBy("id").collect(), 4)
+        assert len(got) == 40
+        for r in got:
+            assert (r.neighbours is None) == (r.query_id % 3 == 0)
+            assert r.neighbours is None or [n.id for n in r.neighbours] == expected[r.query_id]
 
 
 def test_nearest_with_fewer_vectors_than_k(spark, vectors):

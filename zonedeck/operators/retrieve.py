@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 
 from pyspark import cloudpickle
@@ -11,19 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonedeck.functions import patterns as P
+from zonedeck.operators import cells
 from zonedeck.operators.lookup import lookup_join
 from zonedeck.operators.programs import tag_rules
 
 # Workers get this module with the task, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Vectors up to this many bytes (as doubles) go to every task as one matrix; more are split into blocks.
+#: Vectors up to this many bytes (as doubles) go to every task as one matrix; more are searched cell by cell, where
+#: neither the pivots nor a task's vectors or queries take more.
 MATRIX_BYTES = 32 << 20
-MAX_PIVOTS = 256
-#: Distances computed at a time in a task.
-SLICE_BYTES = 64 << 20
-#: Distances that agree to this many decimals are ties and go by id.
-TIE_DECIMALS = 9
 
 
 def vector_norm(vector: Column) -> Column:
@@ -42,35 +38,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot / (vector_norm(a) * vector_norm(b))
 
 
-def _matrix(column):
-    """Arrow list column of equal lengths to a unit-row numpy matrix."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    if hasattr(column, "combine_chunks"):
-        column = column.combine_chunks()
-    rows = len(column)
-    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype("float64")
-    matrix = flat.reshape(rows, -1) if rows else np.zeros((0, 0))
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-def _closest(queries, vectors, k):
-    """Column numbers and distances of the k nearest rows; ``vectors`` must be in id order for ties."""
-    import numpy as np
-
-    distance = 1.0 - queries @ vectors.T
-    order = np.argsort(np.round(distance, TIE_DECIMALS), axis=1, kind="stable")[:, :k]
-    return order, np.take_along_axis(distance, order, axis=1)
-
-
-def _lists(values, width, kind):
+def _lists(values, valid, width, kind):
+    """Lists of ``width`` values, one for each valid row; the others are NULL."""
     import numpy as np
     import pyarrow as pa
 
-    offsets = np.arange(len(values) // width + 1 if width else 1, dtype="int32") * width
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+    offsets = np.concatenate([[0], np.cumsum(np.where(valid, width, 0))]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind), mask=pa.array(~valid))
 
 
 def _small_side(queries: DataFrame, vectors: DataFrame, vector: str, vec_id: str, k: int) -> DataFrame:
@@ -78,7 +52,7 @@ def _small_side(queries: DataFrame, vectors: DataFrame, vector: str, vec_id: str
     import pyarrow as pa
 
     table = vectors.select(vec_id, vector).orderBy(vec_id).toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast((table.column(0), _matrix(table.column(1))))
+    shared = queries.sparkSession.sparkContext.broadcast((table.column(0), cells.unit_rows(table.column(1))))
     k = min(k, table.num_rows)
     at = queries.columns.index(vector)
 
@@ -87,13 +61,15 @@ def _small_side(queries: DataFrame, vectors: DataFrame, vector: str, vec_id: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            step = max(1, SLICE_BYTES // (8 * len(ids)))
+            step = max(1, cells.SLICE_BYTES // (8 * len(ids)))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                order, distance = _closest(_matrix(part.column(at)), matrix, k)
+                valid = part.column(at).is_valid().to_numpy(zero_copy_only=False)
+                unit = cells.unit_rows(part.column(at).drop_null())
+                order, distance = cells.closest(unit.reshape(len(unit), matrix.shape[1]), matrix, k)
                 found = ids.take(pa.array(order.ravel())).combine_chunks()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, _lists(found, k, found.type), _lists(distance.ravel(), k, pa.float64())],
+                    [*part.columns, _lists(found, valid, k, found.type), _lists(distance.ravel(), valid, k, pa.float64())],
                     names=[*part.schema.names, "_ids", "_distances"])
 
     kind = vectors.schema[vec_id].dataType
@@ -102,146 +78,43 @@ def _small_side(queries: DataFrame, vectors: DataFrame, vector: str, vec_id: str
     return queries.mapInArrow(work, out)
 
 
-def _with_cells(df: DataFrame, vector: str, pivots) -> DataFrame:
-    """Nearest pivot of each vector and the distance to it (on the unit sphere)."""
-    import pyarrow as pa
-
-    at = df.columns.index(vector)
-
-    def work(batches):
-        import numpy as np
-
-        for batch in batches:
-            unit = _matrix(batch.column(at))
-            gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ pivots.T)))
-            cell = gap.argmin(axis=1)
-            reach = gap[np.arange(len(cell)), cell] if len(cell) else np.zeros(0)
-            # A zero vector has no direction: the largest radius keeps its cell in every search.
-            reach = np.where((unit * unit).sum(axis=1) > 0, reach, 2.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype("int32")), pa.array(reach)],
-                names=[*batch.schema.names, "_cell", "_reach"])
-
-    schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()),
-                           T.StructField("_reach", T.DoubleType())])
-    return df.mapInArrow(work, schema)
-
-
-def _cells_to_search(queries: DataFrame, vector: str, pivots, radius, counts, k: int) -> DataFrame:
-    """Cells that can hold one of the k nearest vectors, by the triangle inequality."""
-    import pyarrow as pa
-
-    at = queries.columns.index(vector)
-
-    def work(batches):
-        import numpy as np
-
-        for batch in batches:
-            unit = _matrix(batch.column(at))
-            gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ pivots.T)))
-            far = gap + radius
-            order = np.argsort(far, axis=1)
-            enough = (np.cumsum(counts[order], axis=1) >= k).argmax(axis=1)
-            bound = np.take_along_axis(far, order, axis=1)[np.arange(len(unit)), enough]
-            wanted = (gap - radius <= bound[:, None] + 1e-6) & (counts > 0)
-            wanted |= ((unit * unit).sum(axis=1) == 0)[:, None] & (counts > 0)
-            rows, cells = np.nonzero(wanted)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(unit)))]).astype("int32")),
-                pa.array(cells.astype("int32")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_cells"])
-
-    schema = T.StructType([*queries.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
-    return queries.mapInArrow(work, schema)
-
-
-def _large_side(queries: DataFrame, vectors: DataFrame, query_id: str, vector: str, vec_id: str, k: int,
-                total: int, dim: int, block_bytes: int) -> DataFrame:
-    """Exact search without comparing everything: cells around pivots, searched only where they can matter.
-
-    A crowded cell is cut into blocks by id hash, and a crowded block's queries by their own hash, so
-    no group outgrows ``block_bytes`` however unevenly the vectors lie.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = max(1, block_bytes // (8 * dim))
-    wanted = min(MAX_PIVOTS, max(1, math.isqrt(total // rows * 16 + 1)))
-    pivots = _matrix(vectors.orderBy(F.xxhash64(vec_id), vec_id).select(vector).limit(wanted).toArrow().column(0))
-    placed = _with_cells(vectors.select(vec_id, vector), vector, pivots)
-    stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_reach").alias("r")).collect()
-    counts, radius = np.zeros(len(pivots), dtype="int64"), np.zeros(len(pivots))
-    for s in stats:
-        counts[s["_cell"]], radius[s["_cell"]] = s["n"], s["r"]
-    blocks = np.maximum(1, -(-counts // rows))
-    salts = max(1, -(-queries.count() // rows))
-
-    per_cell = F.array(*[F.lit(int(b)) for b in blocks])
-    block_of = lambda cell: F.get(per_cell, cell)
-    kept = (placed.withColumn("_block", F.pmod(F.xxhash64(vec_id), block_of(F.col("_cell"))))
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            .select(F.col(vec_id).alias("_vid"), F.col(vector).alias("_vec"), "_cell", "_block", "_salt"))
-    # Equal vectors have equal neighbours, whatever id asks; each is searched for once.
+def _large_side(queries: DataFrame, vectors: DataFrame, vector: str, vec_id: str, k: int, total: int, dim: int,
+                most_bytes: int) -> DataFrame:
+    """Exact search over cells.  Equal vectors have equal neighbours, whatever id asks; each is searched for once."""
     key = F.struct(F.xxhash64(vector).alias("a"), F.hash(vector).alias("b"))
     queries = queries.withColumn("_key", key)
-    distinct = queries.select("_key", vector).dropDuplicates(["_key"])
-    asked = (_cells_to_search(distinct, vector, pivots, radius, counts, min(k, total))
-             .withColumn("_salt", F.pmod("_key.a", F.lit(salts)).cast("int"))
-             .withColumn("_cell", F.explode("_cells"))
-             .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), (block_of(F.col("_cell")) - 1).cast("bigint"))))
-             .select(F.col("_key").alias("_qid"), F.col(vector).alias("_vec"), "_cell", "_block", "_salt"))
-
-    def search(key, left, right):
-        if not left.num_rows or not right.num_rows:
-            return schema_arrow.empty_table()
-        right = right.sort_by("_vid")
-        matrix = _matrix(right.column("_vec"))
-        step, parts = max(1, SLICE_BYTES // (8 * right.num_rows)), []
-        for start in range(0, left.num_rows, step):
-            part = left.slice(start, step)
-            order, distance = _closest(_matrix(part.column("_vec")), matrix, k)
-            parts.append(pa.table({
-                "_qid": part.column("_qid").take(pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))),
-                "_vid": right.column("_vid").take(pa.array(order.ravel())),
-                "_distance": pa.array(distance.ravel()),
-            }).cast(schema_arrow))
-        return pa.concat_tables(parts)
-
-    out = T.StructType([T.StructField("_qid", queries.schema["_key"].dataType),
-                        T.StructField("_vid", vectors.schema[vec_id].dataType),
-                        T.StructField("_distance", T.DoubleType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    schema_arrow = to_arrow_schema(out)
-    place = ["_cell", "_block", "_salt"]
-    found = asked.groupBy(*place).cogroup(kept.groupBy(*place)).applyInArrow(search, out)
-    ranked = found.withColumn("_rank", F.row_number().over(
-        Window.partitionBy("_qid").orderBy(F.round("_distance", TIE_DECIMALS), "_vid"))).where(F.col("_rank") <= k)
-    gathered = ranked.groupBy("_qid").agg(
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col("_key").alias("_qid"), F.col(vector).alias("_vec"))
+    found, _, _ = cells.search_plan(asked.dropDuplicates(["_qid"]), vectors, k, total, dim, vector, vec_id, most_bytes)
+    gathered = found.groupBy("_qid").agg(
         F.array_sort(F.collect_list(F.struct("_rank", "_vid", "_distance"))).alias("_n"))
     return (queries.join(gathered, queries["_key"] == gathered["_qid"], "left").drop("_qid", "_key")
             .withColumn("_ids", F.col("_n._vid")).withColumn("_distances", F.col("_n._distance")).drop("_n"))
 
 
 def nearest_lists(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "id",
-                  vector: str = "vector", matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
-    """Each query with ``neighbours``: its k nearest vectors by cosine distance, exact, ties by id."""
+                  vector: str = "vector", matrix_bytes: int = MATRIX_BYTES, some_without: bool = False) -> DataFrame:
+    """Each query with ``neighbours``: its k nearest vectors by cosine distance, exact, ties by id.
+
+    With ``some_without`` queries may lack a vector; their list is NULL.
+    """
     def shape(df: DataFrame):
         broken = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull())
         return df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d"), F.min(F.size(vector)).alias("least"),
                       F.count_if(broken).alias("broken")).first()
 
-    size, asked = shape(vectors), shape(queries)
+    size, asked = shape(vectors), shape(queries.where(F.col(vector).isNotNull()) if some_without else queries)
     lengths = {x for s in (size, asked) if s["n"] for x in (s["d"], s["least"])}
     if size["broken"] or asked["broken"] or len(lengths) > 1:
         raise ValueError(f"vectors must have one length and no NULLs; lengths from {min(lengths)} to {max(lengths)}")
     total, dim = size["n"], size["d"] or 1
     if not total:
-        found = queries.withColumn("_ids", F.array().cast(T.ArrayType(vectors.schema[vec_id].dataType)))\
-            .withColumn("_distances", F.array().cast("array<double>"))
+        none = lambda kind: F.when(F.col(vector).isNotNull(), F.array().cast(kind))
+        found = (queries.withColumn("_ids", none(T.ArrayType(vectors.schema[vec_id].dataType)))
+                 .withColumn("_distances", none("array<double>")))
     elif total * dim * 8 <= matrix_bytes:
         found = _small_side(queries, vectors, vector, vec_id, k)
     else:
-        found = _large_side(queries, vectors, query_id, vector, vec_id, k, total, dim, matrix_bytes)
+        found = _large_side(queries, vectors, vector, vec_id, k, total, dim, matrix_bytes)
     zipped = F.transform(F.arrays_zip(F.col("_ids").alias("id"), F.col("_distances").alias("distance")), lambda n, i: F.struct(
         (i + 1).alias("rank"), n["id"].alias("id"), n["distance"].alias("distance")))
     return found.withColumn("neighbours", zipped).drop("_ids", "_distances")
@@ -262,30 +135,28 @@ def retrieve(queries: DataFrame, chunks: DataFrame, rules: list[tuple[str, str]]
     first, in rule order; the others follow by distance.  A query without a vector gets the notes of
     its matched rules alone, as far as there are such notes.
     """
-    vector = names.get("vector", "vector")
-    alone = queries.where(F.col(vector).isNull())
-    queries = queries.where(F.col(vector).isNotNull())
+    vector = F.col(names.get("vector", "vector"))
+    there = notes_of_rules(chunks, rules, always, names.get("vec_id", "id"))
     most = k + len({tag for _, tag in rules} | ({always} if always else set()))
     tagged = tag_rules(queries, rules, always, text)
-    lists = nearest_lists(tagged, chunks, most, query_id, **names)
+    lists = nearest_lists(tagged, chunks, most, query_id, some_without=True, **names)
     seen = F.transform(F.slice("neighbours", F.lit(1), F.size("tags") + k), lambda n: n["id"].cast("string"))
     promoted = F.filter("tags", lambda t: F.array_contains(F.col("_seen"), t))
     others = F.filter("_seen", lambda s: ~F.array_contains(F.col("tags"), s))
-    ranked = (lists.withColumn("_seen", seen)
-              .withColumn("chunk_ids", F.slice(F.concat(promoted, others), 1, k))
-              .drop("_seen", "neighbours"))
-    promoted = promoted_notes(tag_rules(alone, rules, always, text), chunks, rules, always, names.get("vec_id", "id"))
-    return ranked.unionByName(promoted.withColumn("chunk_ids", F.slice("_promoted", 1, k)).drop("_promoted"))
+    ranked = F.when(vector.isNull(), kept_notes(F.col("tags"), there)).otherwise(F.concat(promoted, others))
+    return (lists.withColumn("_seen", seen).withColumn("chunk_ids", F.slice(ranked, 1, k)).drop("_seen", "neighbours"))
 
 
-def promoted_notes(tagged: DataFrame, chunks: DataFrame, rules: list[tuple[str, str]], always: str | None,
-                   vec_id: str = "id") -> DataFrame:
-    """Add ``_promoted``: the tags for which there is a note, in rule order.  At most one note for a rule is looked up."""
+def notes_of_rules(chunks: DataFrame, rules: list[tuple[str, str]], always: str | None, vec_id: str = "id") -> list[str]:
+    """Tags for which there is a note; at most one note for a rule is looked up."""
     wanted = sorted({tag for _, tag in rules} | ({always} if always else set()))
     name = F.col(vec_id).cast("string")
-    there = [r[0] for r in chunks.where(name.isin(wanted)).select(name).distinct().collect()]
-    kept = F.filter("tags", lambda t: t.isin(there) if there else F.lit(False))
-    return tagged.withColumn("_promoted", kept)
+    return [r[0] for r in chunks.where(name.isin(wanted)).select(name).distinct().collect()]
+
+
+def kept_notes(tags: Column, there: list[str]) -> Column:
+    """Those of the tags that have a note, in their order."""
+    return F.filter(tags, lambda t: t.isin(there) if there else F.lit(False))
 
 
 def attach_notes(retrieved: DataFrame, chunks: DataFrame, query_id: str = "query_id", vec_id: str = "id",

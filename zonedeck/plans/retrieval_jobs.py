@@ -92,7 +92,7 @@ def notes_and_queries(spark, sf_dir):
     vectors = C.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     texts = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     # Every document asks; the notes are those that have a vector.
-    asked = texts.join(vectors, "id", "left")
+    asked = spread(texts).join(vectors, "id", "left")
     return texts.join(vectors, "id"), asked.withColumnRenamed("id", "query_id")
 
 
@@ -134,18 +134,18 @@ def top_k_chunks(spark, sf_dir):
     """The merge from a table of candidates, where promoted notes are offered by both stages."""
     chunks, queries = notes_and_queries(spark, sf_dir)
     rules = [(p, t) for p, _, t in NOTE_RULES]
-    alone = R.tag_rules(queries.where("vector IS NULL"), rules, ALWAYS)
-    tagged = R.tag_rules(queries.where("vector IS NOT NULL"), rules, ALWAYS)
-    near = R.nearest_lists(tagged, chunks, K + len({t for _, t in rules}))
-    rows = (near.select("query_id", "tags", F.inline("neighbours"))
-            .where(F.col("rank") <= F.size("tags") + K)
-            .select("query_id", F.col("id").cast("string").alias("chunk_id"), "rank",
-                    F.array_position("tags", F.col("id").cast("string")).alias("rule")))
-    semantic = rows.select("query_id", "chunk_id", F.lit(1).alias("stage"), F.col("rank").cast("bigint").alias("rank"))
-    promoted = rows.where(F.col("rule") > 0).select("query_id", "chunk_id", F.lit(0).alias("stage"), F.col("rule").alias("rank"))
-    ruled = R.promoted_notes(alone, chunks, rules, ALWAYS).select("query_id", F.posexplode("_promoted").alias("rank", "chunk_id"))
-    promoted = promoted.unionByName(ruled.select("query_id", "chunk_id", F.lit(0).alias("stage"), (F.col("rank") + 1).alias("rank")))
-    return R.top_k_chunks(semantic.unionByName(promoted), "query_id", "stage", "rank", "chunk_id", K)
+    near = R.nearest_lists(R.tag_rules(queries, rules, ALWAYS), chunks, K + len({t for _, t in rules}), some_without=True)
+    # Texts that have no vector come with the notes of their rules alone.
+    ruled = F.transform(R.kept_notes(F.col("tags"), R.notes_of_rules(chunks, rules, ALWAYS)), lambda t, i: F.struct(
+        t.alias("chunk_id"), F.lit(0).alias("stage"), (i + 1).cast("bigint").alias("rank")))
+    ranked = F.filter("neighbours", lambda n: n["rank"] <= F.size("tags") + K)
+    semantic = F.transform(ranked, lambda n: F.struct(
+        n["id"].cast("string").alias("chunk_id"), F.lit(1).alias("stage"), n["rank"].cast("bigint").alias("rank")))
+    promoted = F.transform(F.filter(ranked, lambda n: F.array_contains("tags", n["id"].cast("string"))), lambda n: F.struct(
+        n["id"].cast("string").alias("chunk_id"), F.lit(0).alias("stage"),
+        F.array_position("tags", n["id"].cast("string")).alias("rank")))
+    offered = F.when(F.col("vector").isNull(), ruled).otherwise(F.concat(semantic, promoted))
+    return R.top_k_chunks(near.select("query_id", F.inline(offered)), "query_id", "stage", "rank", "chunk_id", K)
 
 
 _HASHED = """sha256(concat(length(CAST(doc_id AS VARCHAR)), ':', doc_id, length(text), ':', text))"""
