@@ -58,20 +58,47 @@ def test_tags(spark):
                    "2": ["decimal_precision", "pic_clause"], "3": ["decimal_precision"], "4": ["decimal_precision", "copy_books"]}
 
 
+def plain_tags(df, rules, always=None):
+    """Every pattern tried on every text."""
+    first = [F.lit(always)] if always else []
+    return df.select("path", F.array_distinct(F.array_compact(F.array(*first, *[
+        F.when(F.col("text").rlike(p), F.lit(t)) for p, t in rules]))).alias("tags"))
+
+
+NASTY_TEXTS = ["", "if", "IF_X", "x-if.", "\u017ftop run", "di\u017fplay", "D\u0131V\u0130DE", "ﬀ IF", "IFé", "é-IF-é", "COMP-3x", "COMP-3",
+               "procedure\ndivision", "aPROCEDURE DIVISION PROCEDURE DIVISION", "PROCEDURE DIVISIONs", "xgross pay", "net\npay",
+               "packedx", "un-packed", "a\tb\x00if\x7felse", "compu\u212ate", "STOP RUN_", "STOP  RUN", "working-storage1 working-storage"]
+
+
 def test_word_check_never_changes_a_tag(spark):
-    assert S._needles(r"(?iU)\b(payroll|gross.pay)\b") == ["PAYROLL", "GROSS"]
-    assert S._needles(r"(?i)x?y") is None and S._needles(r"COMPUTE") is None and S._needles(r"(?i)a|.b") is None
-    texts = [w for p, _ in P.KEYWORD_RULES for w in (S._needles(p) or [])] + ["gross-pay", "NET PAY", "tax_rate", "Kompute"]
-    df = corpus(spark, *texts)
-    plain = df.select("path", F.array_distinct(F.array_compact(F.array(F.lit(P.ALWAYS_TAG), *[
-        F.when(F.col("text").rlike(p), F.lit(t)) for p, t in P.KEYWORD_RULES]))).alias("tags"))
-    assert S.tag_rules(df).select("path", "tags").exceptAll(plain).count() == 0
-
-
-def test_rule_table_is_bounded(spark):
-    rules = spark.range(S.MAX_RULES + 1).select(F.col("id").alias("ord"), F.lit("x").alias("pattern"), F.lit("t").alias("tag"))
-    with pytest.raises(ValueError):
-        S.tag_rules(corpus(spark, "x"), rules)
+    assert S._words(r"(?iU)\bIF\b|\bELSE\b|\bA B\b") == ["IF", "ELSE"] and S._words(r"(?iU)\b(loan|tax)\b") == ["LOAN", "TAX"]
+    assert S._alternatives(r"(?i)x?y") is None and S._alternatives(r"COMPUTE") is None and S._alternatives(r"(?i)a|.b") is None
+    words = [w for p, _ in P.KEYWORD_RULES for w in S._words(p)]
+    texts = words + [f"{w}s {w}" for w in words] + [f"_{w}" for w in words] + NASTY_TEXTS
+    df = corpus(spark, *texts, None)
+    assert S.tag_rules(df).select("path", "tags").exceptAll(plain_tags(df, P.KEYWORD_RULES, P.ALWAYS_TAG)).count() == 0
+
+
+def test_rule_table_equals_rule_list(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_RULES", 3)
+    rules = [(p, t) for p, t in P.KEYWORD_RULES if t != P.ALWAYS_TAG] + [
+        (r"(?iU)\b(if|loan|perform)\b", "if_evaluate"), (r"x.*y", "wide"), (r"(?i)\bif\b", "ascii"), (r"[é]", "accent")]
+    table = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rules)] + [(99, None, "none")],
+                                  "ord int, pattern string, tag string").repartition(3)
+    texts = NASTY_TEXTS + ["perform loan", "PERFORM x and y", None] + ["if copied text"] * 40
+    df = corpus(spark, *texts).repartition(4)
+    got = {r.path: r.tags for r in S.tag_rules(df, table, always=None).collect()}
+    assert got == {r.path: r.tags for r in plain_tags(df, rules).collect()}
+    assert {r.tags[0] for r in S.tag_rules(df, table.limit(0), always="all").collect()} == {"all"}
+
+
+def test_rule_table_of_many_rules(spark):
+    """Far more rules than a plan could hold; each text meets only those whose words it has."""
+    rules = spark.range(30_000).select("id", F.concat(F.lit(r"(?iU)\bw"), "id", F.lit(r"\b")).alias("pattern"),
+                                       F.concat(F.lit("t"), F.col("id") % 1000).alias("tag")).withColumnRenamed("id", "ord")
+    df = corpus(spark, "w29999 w5 W1005 w7x", "é w12 éw13", "nothing")
+    got = {r.path: r.tags for r in S.tag_rules(df, rules, always=None).collect()}
+    assert got == {"0": ["t5", "t999"], "1": ["t12"], "2": []}
 
 
 def test_census_of_nested_layout(spark):

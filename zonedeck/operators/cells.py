@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonedeck.session import shared_dir
+from zonedeck.session import staged
 
 # Workers get this module with the task, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -186,12 +186,6 @@ def build(vectors: DataFrame, vector: str, vec_id: str, total: int, dim: int, mo
     return cells, placed.select("_vid", "_vec", "_cell")
 
 
-def _staged(df: DataFrame, purpose: str) -> DataFrame:
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _search(asked: DataFrame, kept: DataFrame, cells: Cells, k: int, rows: int) -> DataFrame:
     """``_qid, _vid, _distance``: the k nearest vectors of each cell, or block of one, that a query asks for.
 
@@ -257,12 +251,12 @@ def search_plan(queries: DataFrame, vectors: DataFrame, k: int, total: int, dim:
     cells, kept = build(vectors, vector, vec_id, total, dim, most_bytes)
     rows = max(1, most_bytes // (8 * dim))
     k = min(k, total)
-    homes = _staged(_with_lists(queries, lambda unit, batch: cells.first(unit, k)), "nearest-homes")
-    near = _staged(_best(_search(homes, kept, cells, k, rows), k), "nearest-first")
+    homes = staged(_with_lists(queries, lambda unit, batch: cells.first(unit, k)), "nearest-homes")
+    near = staged(_best(_search(homes, kept, cells, k, rows), k), "nearest-first")
     bounds = near.where(F.col("_rank") == k).select("_qid", F.col("_distance").alias("_bound"))
     known = homes.withColumnRenamed("_cells", "_homes").join(bounds, "_qid")
     more = _with_lists(known.select("_qid", "_vec", "_homes", "_bound"), lambda unit, batch: cells.further(
         unit, reach_of(batch.column(3).to_numpy(zero_copy_only=False)), batch.column(2).to_pylist()))
-    more = _staged(more.select("_qid", "_vec", "_cells"), "nearest-further")
+    more = staged(more.select("_qid", "_vec", "_cells"), "nearest-further")
     further = _search(more, kept, cells, k, rows)
     return _best(near.drop("_rank").unionByName(further), k), more, cells

@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 
 from zonedeck.functions import patterns as P
 from zonedeck.operators.lookup import lookup_join
-
-#: A rule list is part of the plan; a table of rules may not grow past this.
-MAX_RULES = 2_000
-
+from zonedeck.session import fits_broadcast
 
 def _blocks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(P.COMMAND_BLOCK), F.lit(0))
@@ -34,48 +31,129 @@ def detect_constructs(corpus: DataFrame, text: str = "text") -> DataFrame:
     return corpus.withColumns({"cics": t.rlike(P.COMMAND_BLOCK), "vsam": needs_record_work(t)})
 
 
-def _needles(pattern: str) -> list[str] | None:
-    """Upper-case words one of which any match must contain; NULL where the pattern is not that simple."""
-    body = re.fullmatch(r"\(\?iU?\)((?:\\b|[A-Za-z0-9 |().-])+)", pattern)
+_SIMPLE = r"\(\?iU?\)((?:\\b|[A-Za-z0-9 |().-])+)"
+_ASCII_WORD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+#: ASCII characters that are no part of a word.
+_BETWEEN = "".join(chr(c) for c in range(128) if chr(c).upper() not in _ASCII_WORD)
+
+
+def _alternatives(pattern: str) -> list[str] | None:
+    """The alternatives of a pattern of upper- or lower-case words; NULL where it is not that simple.
+
+    A group is only known as the whole pattern between word borders.
+    """
+    body = re.fullmatch(_SIMPLE, pattern)
     if not body:
         return None
-    starts = [re.match(r"[A-Za-z0-9 -]*", part)[0] for part in re.sub(r"\\b|[()]", "", body[1]).split("|")]
-    return None if "" in starts else [s.upper() for s in starts]
+    group = re.fullmatch(r"\\b\(([^()]*)\)\\b", body[1])
+    found = [rf"\b{a}\b" for a in group[1].split("|")] if group else body[1].split("|")
+    return None if any("(" in a or ")" in a or not re.match(r"(\\b)?[A-Za-z0-9]", a) for a in found) else found
 
 
-def _tag_list(text: Column, plain: Column, rules: list[tuple[str, str]], always: str | None) -> Column:
+def _words(pattern: str) -> list[str]:
+    """The upper-case words of a pattern that stand for themselves between word borders."""
+    pure = [re.fullmatch(r"\\b([A-Za-z0-9]+)\\b", a) for a in _alternatives(pattern) or []]
+    return [m[1].upper() for m in pure if m]
+
+
+def _other_hit(text: Column, plain: Column, pattern: str, alternative: str) -> Column:
+    """Whether an alternative that is not a single word occurs in a plain ASCII text, given in upper case as well."""
+    open_left, literal, rest = re.fullmatch(r"(\\b)?([A-Za-z0-9 -]*)(.*)", alternative).groups()
+    at = F.instr(plain, literal.upper())
+    if not open_left or rest not in ("", r"\b"):
+        return (at > 0) & text.rlike(pattern)
+    # The characters around the first place decide, unless that place lies within a word.
+    before = F.when(at > 1, F.substring(plain, at - 1, F.lit(1))).otherwise("")
+    after = F.substring(plain, at + len(literal), F.lit(1)) if rest else F.lit("")
+    clear = ~F.concat(before, after).rlike("[A-Z0-9_]")
+    return F.when(at == 0, F.lit(False)).when(clear, F.lit(True)).otherwise(text.rlike(pattern))
+
+
+def _tag_list(text: Column, plain: Column, present: Column, rules: list[tuple[str, str]], always: str | None) -> Column:
     first = [F.lit(always)] if always else []
     found = []
     for pattern, tag in rules:
         if tag == always:
             continue
-        hit = text.rlike(pattern)
-        words = _needles(pattern)
-        if words:
-            there = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(w)) for w in words])
-            hit = F.coalesce(there, F.lit(True)) & hit
+        alternatives, hit = _alternatives(pattern), text.rlike(pattern)
+        if alternatives:
+            words = _words(pattern)
+            others = [a for a in alternatives if not re.fullmatch(r"\\b[A-Za-z0-9]+\\b", a)]
+            tests = [F.arrays_overlap(present, F.array(*map(F.lit, words)))] if words else []
+            fast = reduce(lambda a, b: a | b, [*tests, *[_other_hit(text, plain, pattern, a) for a in others]])
+            hit = F.when(plain.isNull(), hit).otherwise(fast)
         found.append(F.when(hit, F.lit(tag)))
     # Drops NULLs and repeats in one generated expression; array_compact would leave code generation.
     return F.array_except(F.array(*first, *found), F.array(F.lit(None).cast("string")))
 
 
+def _plain(text: Column) -> Column:
+    """The text in upper case if it is ASCII, else NULL."""
+    return F.when(F.length(text) == F.octet_length(text), F.upper(text))
+
+
+def _ascii_words(text: Column) -> Column:
+    """Runs of ASCII letters, digits and underscores of an upper-case text, and some empty strings."""
+    return F.split(F.translate(text, _BETWEEN, " " * len(_BETWEEN)), " ")
+
+
 def tag_rules(docs: DataFrame, rules: list[tuple[str, str]] | DataFrame = P.KEYWORD_RULES,
               always: str | None = P.ALWAYS_TAG, text: str = "text") -> DataFrame:
     """Add ``tags``: those of all matching rules in rule order, each once, after the one always given.
 
-    A rule table ``(ord, pattern, tag)`` is read into the plan, up to ``MAX_RULES`` rules.  Where a rule
-    needs a certain word and the text is plain ASCII, a substring search decides first whether its
-    pattern is worth trying.
+    A rule list is part of the plan.  In a plain ASCII text one pass finds the words that the rules ask for, which
+    settles rules made of whole words; phrases are looked for as they are; a pattern is tried only on what is left.
+
+    A rule table ``(ord, pattern, tag)`` may have any length and stays a table, see ``_tag_by_table``.
     """
     if isinstance(rules, DataFrame):
-        rows = rules.orderBy("ord").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
-        rules = [(r.pattern, r.tag) for r in rows]
+        return _tag_by_table(docs, rules, always, text)
+    t = F.col(text)
+    words = sorted({w for pattern, tag in rules if tag != always for w in _words(pattern)})
+    present = F.array_intersect(_ascii_words(F.col("_plain")), F.array(*map(F.lit, words)).cast("array<string>"))
+    return (docs.withColumn("_plain", _plain(t)).withColumn("_present", present)
+            .withColumn("tags", _tag_list(t, F.col("_plain"), F.col("_present"), rules, always)).drop("_plain", "_present"))
+
+
+#: Rules of a table that are no whole words and are tried on a text together.
+CHUNK_RULES = 500
+# Characters beyond ASCII that stand for an ASCII letter where case is ignored.
+_FOLDED, _FOLDED_TO = "\u0130\u0131\u017f\u212a", "IISK"
+
+
+def _tag_by_table(docs: DataFrame, rules: DataFrame, always: str | None, text: str) -> DataFrame:
+    """Rules that are alternatives of whole words are joined to the distinct words of each text, so a text only meets
+    rules whose words it has; the matches of a text that is not ASCII are tried once more as patterns.  All other rules
+    are tried on every text, ``CHUNK_RULES`` at a time, as arrays that subqueries read from the table.
+
+    Matches are found for each distinct text and joined back by its hash.
+    """
+    body = F.regexp_extract("pattern", r"^\(\?iU\)\\b\(?([A-Za-z0-9|\\b]+?)\)?\\b$", 1)
+    plain_words = F.col("pattern").rlike(r"^\(\?iU\)\\b(?:\([A-Za-z0-9]+(?:\|[A-Za-z0-9]+)*\)|[A-Za-z0-9]+(?:\\b\|\\b[A-Za-z0-9]+)*)\\b$")
+    rule = F.struct("ord", "tag", "pattern").alias("rule")
+    keys = rules.where(plain_words).select(rule, F.explode(F.split(F.upper(F.regexp_replace(body, r"\\b", "")), r"\|")).alias("_word"))
+    others = rules.where(~F.coalesce(plain_words, F.lit(False)) & F.col("pattern").isNotNull()).select(rule)
     t = F.col(text)
-    plain = F.when(F.length(t) == F.octet_length(t), F.upper(t))
-    return (docs.withColumn("_plain", plain)
-            .withColumn("tags", _tag_list(t, F.col("_plain"), rules, always)).drop("_plain"))
+    keyed = docs.withColumn("_key", F.when(t.isNotNull(), F.struct(F.xxhash64(t).alias("a"), F.hash(t).alias("b"), F.length(t).alias("n"))))
+    # A word of the text between borders is also one between ASCII characters that are no part of words.
+    folded = F.regexp_replace(F.upper(F.translate(t, _FOLDED, _FOLDED_TO)), r"[^\x00-\x7f]", " ")
+    own = F.when(F.length(t) == F.octet_length(t), F.upper(t)).otherwise(folded)
+    words = keyed.select("_key", F.explode(F.array_distinct(_ascii_words(own))).alias("_word")).where("_word <> ''")
+    met = words.join(F.broadcast(keys) if fits_broadcast(keys) else keys, "_word")
+    # Copies of a text are reduced to one before they meet.
+    hits = met.groupBy("_key", "rule").agg(F.count("*")).groupBy("_key").agg(F.collect_list("rule").alias("_rules"))
+    met = keyed.join(hits, "_key", "left")
+    true = lambda found: F.filter(found, lambda r: F.rlike(t, r["pattern"]))
+    found = F.when(F.length(t) == F.octet_length(t), F.col("_rules")).otherwise(true(F.col("_rules")))
+    found = [F.coalesce(found, F.array().cast(hits.schema["_rules"].dataType))]
+    chunks = -(-others.count() // CHUNK_RULES)
+    for i in range(chunks):
+        chunk = others.where(F.pmod(F.xxhash64("rule"), F.lit(chunks)) == i).agg(F.collect_list("rule").alias("r"))
+        met = met.withColumn(f"_chunk{i}", chunk.scalar())
+        found.append(F.coalesce(true(F.col(f"_chunk{i}")), F.array().cast(hits.schema["_rules"].dataType)))
+    ordered = F.transform(F.array_sort(F.concat(*found)), lambda r: r["tag"])
+    first = F.array(F.lit(always)) if always else F.array().cast("array<string>")
+    return met.withColumn("tags", F.array_distinct(F.concat(first, ordered))).drop("_key", "_rules", *[f"_chunk{i}" for i in range(chunks)])
 
 
 def _unfold(df: DataFrame, key: str, found: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from zonedeck.functions import patterns as P
 from zonedeck.operators import programs as S
 from zonedeck.plans import carriers as C
 from zonedeck.plans.registry import query
-from zonedeck.session import shared_dir, spread
+from zonedeck.session import shared_dir, spread, staged
 from zonedeck.sources.corpus import load_corpus as read_corpus
 
 
@@ -105,6 +105,28 @@ def tag_rules_table(spark, sf_dir):
     return S.tag_rules(docs, rules, always=None).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
+#: Rules of the long table: the first words of the documents' vocabulary.  Rules of words that start alike share a tag.
+LONG_RULES = 10_000
+
+
+@query("tag_rules_long", rf"""
+    WITH split AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS words FROM documents),
+         tokens AS (SELECT doc_id, unnest(words) AS word FROM split),
+         rules AS (SELECT DISTINCT word FROM tokens WHERE regexp_full_match(word, '[a-z]{{4,}}') ORDER BY word LIMIT {LONG_RULES}),
+         tags AS (SELECT doc_id, left(word, 3) AS tag, min(word) AS first FROM tokens JOIN rules USING (word) GROUP BY 1, 2),
+         lists AS (SELECT doc_id, count(*) AS n, string_agg(tag, ',' ORDER BY first) AS tags FROM tags GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_tags, md5(coalesce(tags, '')) AS digest FROM documents LEFT JOIN lists USING (doc_id)""")
+def tag_rules_long(spark, sf_dir):
+    """Whole documents against a rule for each of many words, which Spark gathers from the documents."""
+    docs = spread(C.table(spark, sf_dir, "documents")).select("doc_id", "text")
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+    words = found.distinct().where(F.col("word").rlike("^[a-z]{4,}$")).orderBy("word").limit(LONG_RULES)
+    rules = words.select(F.col("word").alias("ord"), F.concat(F.lit(r"(?iU)\b"), "word", F.lit(r"\b")).alias("pattern"),
+                         F.left("word", F.lit(3)).alias("tag"))
+    tagged = S.tag_rules(docs, staged(rules, "rules"), always=None)
+    return tagged.select("doc_id", F.size("tags").cast("bigint").alias("n_tags"), F.md5(F.array_join("tags", ",")).alias("digest"))
+
+
 @query("extract_blocks", f"SELECT path, CAST(pos AS INTEGER) AS pos, original FROM {_EXPLODED}")
 def extract_blocks(spark, sf_dir):
     return S.extract_blocks(programs(spark, sf_dir))

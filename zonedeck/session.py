@@ -48,6 +48,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/zonedeck/{purpose}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: what was costly is done once, and lineage ends there."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
