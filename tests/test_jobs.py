@@ -152,15 +152,33 @@ def test_salting_spreads_the_hot_key(spark, hot):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_left_side_stands_once(spark):
+    """Neither a scan nor a computed left side is in the plan more than once, with or without heavy keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+        orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumnRenamed("o_orderkey", "l_orderkey")
+        made = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+        plain = made.join(orders, "l_orderkey", "left")
+        for left in (lines, made):
+            for rows in (5, 10 ** 6):
+                plan = lookup_join(left, orders, ["l_orderkey"], rows_per_task=rows)._jdf.queryExecution().executedPlan().toString()
+                assert plan.count("orders.parquet") == 1 and plan.count("Aggregate") == 0
+                assert plan.count("Scan parquet") == 2
+        assert lookup_join(made, orders, ["l_orderkey"], rows_per_task=5).select(plain.columns).exceptAll(plain).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_broadcast_needs_a_measured_size(spark):
     """Texts a plan makes up are measured, because the estimate takes every text for 20 bytes."""
-    from zonedeck.session import _scans_only, fits_broadcast, plan_bytes
+    from zonedeck.session import scans_only, fits_broadcast, plan_bytes
     stored = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
-    assert _scans_only(stored.select("c_name", (F.col("c_custkey") + 1).alias("n"))) and fits_broadcast(stored)
+    assert scans_only(stored.select("c_name", (F.col("c_custkey") + 1).alias("n"))) and fits_broadcast(stored)
     long = stored.select("c_custkey", F.repeat(F.col("c_name"), 10000).alias("t"))
-    assert plan_bytes(long) < 1 << 20 and not _scans_only(long) and not fits_broadcast(long)
+    assert plan_bytes(long) < 1 << 20 and not scans_only(long) and not fits_broadcast(long)
     rows = stored.select(F.explode(F.sequence(F.lit(1), F.lit(20000))).alias("i"), "c_name")
-    assert not _scans_only(rows) and not fits_broadcast(rows)
+    assert not scans_only(rows) and not fits_broadcast(rows)
 
 
 def test_salting_spreads_equal_copies(spark):
@@ -187,19 +205,53 @@ def test_running_total_equals_a_window(spark, hot, descending):
     assert got.exceptAll(expected).count() == 0 and got.count() == 4000
 
 
-def test_hot_value_is_cut_into_buckets(spark, hot):
-    from zonedeck.operators.ordering import with_buckets
-    placed = with_buckets(hot.withColumn("t", F.when(F.col("n") % 3 == 0, 500).otherwise(F.col("n"))), ["t", "n"], 16)
-    assert placed.where("t = 500").select("_b1", "_b2").distinct().count() >= 8
-    assert placed.groupBy("_b1", "_b2").count().agg(F.max("count")).first()[0] < 800
-
-
-def test_positions_over_strings_with_a_common_prefix(spark):
-    df = spark.range(500).select(F.concat(F.lit("key-000000"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("s"), "id")
-    got = position(df, [], ["s"], "p", buckets=8)
-    assert got.where(F.col("p") != F.col("id") + 1).count() == 0
-    from zonedeck.operators.ordering import with_buckets
-    assert with_buckets(df, ["s"], 8).select("_b1").distinct().count() >= 6
+def test_hot_value_is_cut_into_ranges(spark, hot):
+    from zonedeck.operators.ordering import with_ranges
+    placed = with_ranges(hot.withColumn("t", F.when(F.col("n") % 3 == 0, 500).otherwise(F.col("n"))), ["t", "n"], 16, ["k"])
+    assert placed.where("t = 500").select("_b").distinct().count() >= 5
+    assert placed.groupBy("_b").count().agg(F.max("count")).first()[0] < 800
+
+
+@pytest.mark.parametrize("stray", [None, "Z", "", "key-000000"])
+def test_positions_over_strings_with_a_common_prefix(spark, stray):
+    """Whatever the first characters are, and with a key far from all others, the rows spread over all ranges."""
+    from zonedeck.operators.ordering import with_ranges
+    df = spark.range(3000).select(F.concat(F.lit("ABCkey-000000"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("s"))
+    if stray is not None:
+        df = df.unionByName(spark.createDataFrame([(stray,)], "s string"))
+    expected = df.withColumn("p", F.row_number().over(Window.orderBy("s")).cast("bigint"))
+    assert position(df, [], ["s"], "p", buckets=20).exceptAll(expected).count() == 0
+    sizes = [r["count"] for r in with_ranges(df, ["s"], 20).groupBy("_b").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3 * 3000 / 20
+
+
+def test_ranges_of_any_type(spark):
+    from decimal import Decimal
+
+    from zonedeck.operators.ordering import with_ranges
+    df = spark.range(900).select((F.col("id") * 7 % 900).alias("n"), (F.col("id") * 7 % 900 * Decimal("0.01")).cast("decimal(9,2)").alias("d"),
+                                 F.timestamp_millis(F.col("id") * 7 % 900 * 1000).alias("t"), F.encode(F.lpad(F.hex(
+                                     F.col("id") * 7 % 900), 5, "0"), "UTF-8").alias("b"))
+    df = df.withColumn("y", F.col("t").cast("date"))
+    for c in "ndtb":
+        placed = with_ranges(df, [c], 9)
+        ends = placed.groupBy("_b").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("n")).orderBy("_b").collect()
+        assert len(ends) == 9 and all(a.high < b.low for a, b in zip(ends, ends[1:]))
+        assert position(df, [], [c], "p", buckets=9).where("p <> n + 1").count() == 0
+    assert position(df.select("n", "y"), [], ["y", "n"], "p", buckets=9).where("p <> n + 1").count() == 0
+    assert position(df.limit(0), [], ["n"], "p", buckets=9).count() == 0
+
+
+def test_browse_orders_the_file_once(spark):
+    from zonedeck.operators.keyed import browse_many
+    file = spark.range(0, 4000, 2).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v"))
+    requests = spark.range(50).select(F.col("id").alias("r"), (F.col("id") * 91).alias("start"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = browse_many(requests, file, "k", "start", 3)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_positions_with_null_keys(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from zonedeck.operators.lookup import lookup_join
 from zonedeck.operators.ordering import running_total
+from zonedeck.session import staged
 
 # Response code names and numbers.
 RESPONSES = {
@@ -188,32 +189,38 @@ def browse(file: DataFrame, key: str, start, limit: int, reverse: bool = False)
 
 
 def _starts_among(requests: DataFrame, start: str, records: DataFrame, key: str, weight: Column,
-                  starts_first: bool, descending: bool = False) -> DataFrame:
-    """Distinct start keys and records in one order, with the running weight of the records as ``_run``."""
+                  starts_first: bool, descending: bool = False, carried: list[str] = ()) -> DataFrame:
+    """Distinct start keys and records in one order, with the running weight of the records as ``_run``.
+
+    Stored, so that the order is made once; records keep their columns ``carried``.
+    """
     zero = F.lit(0).cast(records.select(weight.alias("w")).schema["w"].dataType)
     kind = records.schema[key].dataType
     starts = requests.select(F.col(start).cast(kind).alias("_k")).distinct()
+    nothing = [F.lit(None).cast(records.schema[c].dataType).alias(c) for c in carried]
     both = (starts.select("_k", F.lit(0 if starts_first else 1).alias("_side"), F.lit(True).alias("_is_start"),
-                          zero.alias("_w"))
+                          zero.alias("_w"), *nothing)
             .unionByName(records.select(F.col(key).alias("_k"), F.lit(1 if starts_first else 0).alias("_side"),
-                                        F.lit(False).alias("_is_start"), weight.alias("_w"))))
-    return running_total(both, [], ["_k", "_side"], F.col("_w"), "_run", descending=descending)
+                                        F.lit(False).alias("_is_start"), weight.alias("_w"), *carried)))
+    return staged(running_total(both.where(F.col("_k").isNotNull()), [], ["_k", "_side"], F.col("_w"), "_run", descending=descending),
+                  "browse-order")
 
 
 def browse_many(requests: DataFrame, file: DataFrame, key: str, start: str, reads: int,
                 reverse: bool = False) -> DataFrame:
     """``reads`` sequential reads per request from its start key; reads past the end get 19.
 
-    Start keys and records are put in one order and counted through it, which gives each
+    Start keys and whole records are put in one order and counted through it, which gives each
     record its position and each start key the position it begins at.  The reads then are
     equi-joins on position, so no request is compared with every record.
     """
-    counted = _starts_among(requests, start, file, key, F.lit(1).cast("bigint"), starts_first=not reverse)
+    others = [c for c in file.columns if c != key]
+    counted = _starts_among(requests, start, file, key, F.lit(1).cast("bigint"), not reverse, carried=others)
     begins = counted.where("_is_start").select(F.col("_k").alias("_start"), F.col("_run").alias("_from"))
     asked = lookup_join(requests.withColumn("_start", F.col(start).cast(file.schema[key].dataType)), begins, ["_start"])
     steps = asked.withColumn("read_no", F.explode(F.sequence(F.lit(1), F.lit(reads))))
     at = F.col("_from") - F.col("read_no") + 1 if reverse else F.col("_from") + F.col("read_no")
-    stored = counted.where(~F.col("_is_start")).select(F.col("_k").alias(key), F.col("_run").alias("_pos")).join(file, key)
+    stored = counted.where(~F.col("_is_start")).select(F.col("_k").alias(key), *others, F.col("_run").alias("_pos"))
     return (lookup_join(steps.withColumn("_pos", at), _marked(stored), ["_pos"])
             .withColumn("resp", _found_or("ENDFILE")).drop("_found", "_pos", "_start", "_from"))
 

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from zonedeck.session import fits_broadcast
+from zonedeck.session import fits_broadcast, scans_only, staged
 
 #: A key with more requests than this is spread over several tasks.
 ROWS_PER_TASK = 1_000_000
-#: Heaviest keys looked at.  Keys outside this list hold less than 1/HOT_KEYS of the rows each.
-HOT_KEYS = 10_000
+#: Heaviest keys looked at, and keys that the sketch of each task counts at a time.
+HOT_KEYS, TRACKED = 2_000, 50_000
+
+
+def _with_heavy_keys(left: DataFrame, keys: list[str], rows_per_task: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The table, and for each hash of a heavy key into how many salts its rows are dealt.
+
+    A sketch of bounded size counts the keys.  Over a plain scan that is a pass over the key columns; any other
+    table is stored, and counted by the same pass, so that whatever made it runs once.
+    """
+    measured = [F.count(F.lit(1)).alias("n"),
+                F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(HOT_KEYS), F.lit(TRACKED)).alias("top")]
+    if scans_only(left):
+        found = left.agg(*measured).first().asDict()
+    else:
+        seen = Observation()
+        left = staged(left.observe(seen, *measured), "lookup")
+        found = seen.get
+    heavy = [(r["item"], -(-r["count"] // rows_per_task)) for r in found["top"] or [] if r["count"] > rows_per_task]
+    return left, heavy
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool | None = None,
@@ -24,7 +40,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool
     are repeated, once per salt value; every other row keeps salt 0.  ``small`` overrides
     the size check where the caller knows better.
 
-    The list of heavy keys is read on both sides, so ties at its end are broken by key.  The salt
+    Heavy keys are told by their hash; a key that shares one only gets a salt it did not need.  The salt
     comes from the row's other columns and the number of its input partition: it is the same when a
     lost task is repeated, and equal copies of a row spread too.
     """
@@ -32,15 +48,16 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], small: bool
         small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), keys, "left")
-    hot = (left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-           .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-           .where(F.col("_n") > rows_per_task)
-           .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")))
+    left, heavy = _with_heavy_keys(left, keys, rows_per_task)
+    if not heavy:
+        return left.join(right, keys, "left")
+    # At most HOT_KEYS rows of two numbers.
+    hot = F.broadcast(left.sparkSession.createDataFrame(heavy, "_h bigint, _salts int"))
+    salted = lambda df: df.withColumn("_h", F.xxhash64(*keys)).join(hot, "_h", "left").drop("_h")
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
     others = [F.col(c) for c in left.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*others, F.spark_partition_id()), F.coalesce(F.col("_salts"), F.lit(1)))
-    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    salted_right = (right.join(F.broadcast(hot), keys, "left")
-                    .withColumn("_salt", F.explode(copies)).drop("_salts"))
-    return salted_left.join(salted_right, [*keys, "_salt"], "left").drop("_salt")
+    spread = F.pmod(F.xxhash64(*others, F.spark_partition_id()), salts).cast("int")
+    salted_left = salted(left).withColumn("_salt", spread).drop("_salts")
+    salted_right = salted(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return salted_left.join(salted_right, [*keys, "_salt"], "left").select(
+        *keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])

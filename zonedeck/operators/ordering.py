@@ -2,78 +2,66 @@
 
 A window over (key, order) puts a whole key into one task, which is the right plan for keys of
 ordinary size.  Keys of more than ``KEY_ROWS`` rows are found by a counted aggregate; for them, and
-for a total order without keys, the order is first cut into buckets at approximate quantiles; totals per (key, bucket) are summed with map-side
+for a total order without keys, the order is first cut into ranges at rows of a small sample.  The cuts are whole
+order values of any type and length, so rows spread evenly whatever their first column or characters look like.
+Totals per (key, range) are summed with map-side
 combine, turned into starting offsets, and joined back, so a task only ever sorts one
-bucket of one key.  Order columns must not be NULL and must together be unique.
+range of one key.  Order columns must not be NULL and must together be unique.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PREFIX_BYTES = 6
 #: Most rows of a key that one task sorts.
 KEY_ROWS = 1_000_000
+#: Rows of the sample for each range.
+SAMPLE_ROWS = 20
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the column's own order."""
-    kind, column = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.NumericType):
-        return column.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(column.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.StringType):
-        ends = df.agg(F.min(F.encode(column, "UTF-8")).alias("a"), F.max(F.encode(column, "UTF-8")).alias("z")).first()
-        low, high = bytes(ends.a or b""), bytes(ends.z or b"")
-        shared = next((i for i, (p, q) in enumerate(zip(low, high)) if p != q), min(len(low), len(high)))
-        part = F.hex(F.substring(F.encode(column, "UTF-8"), shared + 1, _PREFIX_BYTES))
-        return F.conv(F.rpad(part, _PREFIX_BYTES * 2, "0"), 16, 10).cast("double")
-    raise TypeError(f"cannot order by {name}: {kind.simpleString()}")
-
+def splitters(df: DataFrame, order: list[str], ranges: int, apart: list[str] = ()) -> list[Row]:
+    """Order values that cut the rows into about ``ranges`` even ranges: every so many rows of a sorted sample.
 
-def _quantiles(df: DataFrame, number: Column, buckets: int) -> list[float]:
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(number, shares, 20 * buckets)).first()[0]
-    return list(found or [])
+    The sample has ``SAMPLE_ROWS`` rows for each range, those of least hash; rows that agree in the order are told
+    apart by the columns ``apart``.
+    """
+    sample = df.select(*order, F.xxhash64(*apart, *order).alias("_h")).orderBy("_h", *order).limit(ranges * SAMPLE_ROWS)
+    rows = sample.select(*order).orderBy(*order).collect()
+    step = max(1, len(rows) // ranges)
+    return rows[step::step][: ranges - 1]
 
 
-def _bucketed(df: DataFrame, source: str, out: str, points: list[float]) -> DataFrame:
-    edges = [-math.inf, *sorted(set(points)), math.inf]
-    return Bucketizer(splits=edges, inputCol=source, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+def _literal(row: Row, order: list[str], schema: T.StructType) -> Column:
+    return F.struct(*[F.lit(row[c]).cast(schema[c].dataType).alias(c) for c in order])
 
 
-def with_buckets(df: DataFrame, order: list[str], buckets: int) -> DataFrame:
-    """Add ``_b1, _b2``, which rise with the order.
+def range_of(order: list[str], schema: T.StructType, cuts: list[Row]) -> Column:
+    """Number of the range that a row falls into: how many cuts it does not come before.
 
-    A first-column value that fills a whole quantile step is a hot value: it gets a bucket
-    of its own, cut again along the second order column.
+    Only some cuts are compared first, then those between two of them.
     """
-    first = df.withColumn("_x1", _as_number(df, order[0]))
-    points = _quantiles(first, F.col("_x1"), buckets)
-    hot = sorted({a for a, b in zip(points, points[1:]) if a == b})
-    edges = points + [math.nextafter(h, math.inf) for h in hot]
-    placed = _bucketed(first, "_x1", "_b1", edges)
-    if not hot or len(order) == 1:
-        return placed.withColumn("_b2", F.lit(0)).drop("_x1")
-    is_hot = F.col("_x1").isin(hot)
-    second = placed.withColumn("_x2", F.when(is_hot, _as_number(df, order[1])).otherwise(0.0))
-    inner = _quantiles(second.where(is_hot), F.col("_x2"), buckets)
-    return _bucketed(second, "_x2", "_b2", inner).drop("_x1", "_x2")
+    if not cuts:
+        return F.lit(0)
+    at, step = F.struct(*order), max(1, round(len(cuts) ** 0.5))
+    groups = [[_literal(c, order, schema) for c in cuts[i:i + step]] for i in range(0, len(cuts), step)]
+    passed = lambda tried: F.size(F.filter(tried, lambda c: c <= at))
+    fine = F.array(*[F.array(*g) for g in groups])
+    return F.get(F.transform(F.array(passed(F.array(*[g[0] for g in groups]))), lambda n: F.when(n == 0, 0).otherwise(
+        (n - 1) * step + passed(F.get(fine, n - 1)))), F.lit(0))
+
+
+def with_ranges(df: DataFrame, order: list[str], ranges: int, apart: list[str] = ()) -> DataFrame:
+    """Add ``_b``, which rises with the order."""
+    return df.withColumn("_b", range_of(order, df.schema, splitters(df, order, ranges, apart)))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Column, out: str,
                   buckets: int | None = None, descending: bool = False) -> DataFrame:
     """Add the running sum of ``weight`` per key along ``order``, the current row included.
 
-    ``buckets`` forces the bucketed way for all keys.
+    ``buckets`` forces that many ranges for all keys.
     """
     way = F.desc if descending else F.asc
     if keys and not buckets:
@@ -92,14 +80,14 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Colu
     # The keys travel as one struct, which is never NULL itself: windows, totals and the join then all
     # use the same plain columns, so the rows are shuffled once.
     key = F.struct(*keys) if keys else F.lit(0)
-    placed = with_buckets(df, order, max(2, buckets)).withColumn("_w", weight).withColumn("_key", key)
-    place = ["_key", "_b1", "_b2"]
-    before = Window.partitionBy("_key").orderBy(way("_b1"), way("_b2")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (placed.groupBy(*place).agg(F.sum("_w").alias("_total"))
-               .select(*place, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")))
-    inside = Window.partitionBy(*place).orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    placed = with_ranges(df, order, max(2, buckets), keys).withColumn("_w", weight).withColumn("_key", key)
+    before = Window.partitionBy("_key").orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_key", "_b").agg(F.sum("_w").alias("_total"))
+               .select("_key", "_b", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")))
+    inside = Window.partitionBy("_key", "_b").orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    # Without keys there is one row for each range.
     return (placed.withColumn("_inside", F.sum("_w").over(inside))
-            .join(offsets, place)
+            .join(offsets if keys else F.broadcast(offsets), ["_key", "_b"])
             .withColumn(out, F.col("_inside") + F.col("_offset"))
             .select(*df.columns, out))
 

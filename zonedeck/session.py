@@ -70,7 +70,7 @@ def broadcast_bound(spark: SparkSession) -> int:
     return max(0, int(raw))
 
 
-def _scans_only(df: DataFrame) -> bool:
+def scans_only(df: DataFrame) -> bool:
     """Whether the plan only filters and projects tables, and every column of open-ended size is stored as it is.
 
     Only then does the estimate, which starts from file sizes, say something about the rows.
@@ -97,7 +97,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     bound = broadcast_bound(df.sparkSession)
     if plan_bytes(df) > bound:
         return False
-    if _scans_only(df):
+    if scans_only(df):
         return True
     size = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.sum("b")).first()[0]
     return (size or 0) <= bound
