@@ -108,6 +108,59 @@ def test_census_of_nested_layout(spark):
     assert got == {"REC": (0, None), "A": (0, 3), "G": (3, None), "H": (3, None), "I": (3, 3), "J": (12, 1), "K": (23, 1), "NEXT-ONE": (0, 9)}
 
 
+def fields_by_hand(statements):
+    """Places of the fields of ``(level, name, width or None for a group, occurs, redefines)``, with a stack."""
+    record, first, at, stack, out = "", 0, 0, [], []
+    for level, name, width, occurs, redefines in statements:
+        while stack and (stack[-1]["level"] >= level or level in (1, 77)):
+            g = stack.pop()
+            at = g["resume"] if g["resume"] is not None else g["start"] + (at - g["start"]) * g["occurs"]
+        if level in (1, 77):
+            record, first, at = name, len(out), 0
+        start = at
+        if redefines:
+            start = next((o[3] for o in reversed(out[first:]) if o[1] == redefines), at)
+        out.append((record, name, redefines, start, None if width is None else width * occurs))
+        if width is None:
+            stack.append({"level": level, "start": start, "occurs": occurs, "resume": at if redefines else None})
+            at = start
+        elif not redefines:
+            at += width * occurs
+    return out
+
+
+def test_census_by_hand(spark):
+    """Random layouts with nested groups, repeats, overlays of anything before, and names that come again."""
+    import random
+
+    random.seed(31)
+    texts, expected = [], {}
+    for path in range(150):
+        statements, lines = [], []
+        for i in range(random.randint(1, 40)):
+            level = 1 if i == 0 and random.random() < 0.8 else random.choice([1, 5, 5, 10, 10, 10, 15, 15, 77, 20])
+            name = f"N{random.randint(0, 12)}"
+            width = random.choice([None, 1, 3, 8])
+            occurs, redefines = random.choice([1, 1, 1, 2, 3]), random.choice(["", "", "", f"N{random.randint(0, 12)}"])
+            statements.append((level, name, width, occurs, redefines))
+            lines.append(f"       {level:02d}  {name}" + (f" REDEFINES {redefines}" if redefines else "")
+                         + (f" OCCURS {occurs} TIMES" if occurs > 1 else "") + (f" PIC X({width})" if width else "") + ".")
+            if random.random() < 0.1:
+                lines.append("       88  YES VALUE 'Y'.")
+        texts.append("\n".join(lines) + "\n")
+        expected[str(path)] = fields_by_hand(statements)
+    got = {}
+    for r in S.layout_census(corpus(spark, *texts)).orderBy("line").collect():
+        got.setdefault(r.path, []).append((r.record, r.name, r.redefines, r.offset, r.width))
+    assert got == expected
+
+
+def test_census_of_a_long_record(spark):
+    text = "       01 REC.\n" + "".join(f"          05 F{i} PIC X({i % 9 + 1}).\n" for i in range(5000))
+    last = S.layout_census(corpus(spark, text)).where("name = 'F4999'").first()
+    assert last.offset == sum(i % 9 + 1 for i in range(4999))
+
+
 def test_corpus_analysis_does_not_shuffle(spark):
     df = corpus(spark, CICS + PACKED)
     for job in (S.detect_constructs, S.tag_rules, S.extract_blocks, S.extract_records, S.segment_summary, S.layout_census):

@@ -260,37 +260,42 @@ def _symbols(picture: Column, symbols: str) -> Column:
 
 def _split_statement(statement: Column) -> Column:
     clauses = F.regexp_extract(statement, r"(?ds)^\s*\d\d\s+[\w-]+(.*)\.[ \t]*$", 1)
-    return F.struct(F.regexp_extract(statement, r"^\s*(\d\d)", 1).cast("int").alias("level"),
+    return F.struct(F.left(F.trim(F.translate(statement, "\t\n\r\x0b\x0c", "     ")), F.lit(2)).cast("int").alias("level"),
                     F.regexp_extract(statement, r"^\s*\d\d\s+([\w-]+)", 1).alias("name"),
-                    clauses.alias("clauses"),
-                    F.upper(F.regexp_extract(clauses, r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)", 1)).alias("pic"))
+                    clauses.alias("clauses"), F.upper(clauses).alias("upper"))
+
+
+def _where(head: Column, words: list[str], found: Column, otherwise: Column) -> Column:
+    """``found`` for statements that have one of the words or are not ASCII, where letters may stand for others."""
+    there = reduce(lambda a, b: a | b, [F.contains(head["upper"], F.lit(w)) for w in words])
+    return F.when(there | (F.length(head["clauses"]) < F.octet_length(head["clauses"])), found).otherwise(otherwise)
 
 
 def _parsed(head: Column) -> Column:
-    clauses = head["clauses"]
-    occurs = F.regexp_extract(clauses, r"(?i)\bOCCURS\s+(?:\d+\s+TO\s+)?(\d+)", 1)
+    clauses, empty = head["clauses"], F.lit("")
+    pic = _where(head, ["PIC"], F.upper(F.regexp_extract(clauses, r"(?i)\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)", 1)), empty)
+    occurs = F.regexp_extract(clauses, r"(?i)\bOCCURS\s+(?:\d+\s+TO\s+)?(\d+)", 1).try_cast("int")
+    redefines = F.regexp_extract(clauses, r"(?i)\bREDEFINES\s+([\w-]+)", 1)
     usage = (F.when(clauses.rlike(P.PACKED_USAGE), "packed").when(clauses.rlike(P.BINARY_USAGE), "binary")
              .otherwise("display"))
+    separate = clauses.rlike(r"(?i)\b(LEADING|TRAILING)\s+SEPARATE").cast("int")
     return F.struct(
-        head["level"].alias("level"), head["name"].alias("name"), head["pic"].alias("pic"),
-        F.when(head["pic"] == "", "group").otherwise(usage).alias("usage"),
-        F.coalesce(occurs.try_cast("int"), F.lit(1)).alias("occurs"),
-        F.regexp_extract(clauses, r"(?i)\bREDEFINES\s+([\w-]+)", 1).alias("redefines"),
-        clauses.rlike(r"(?i)\b(LEADING|TRAILING)\s+SEPARATE").cast("int").alias("sign_byte"),
+        head["level"].alias("level"), head["name"].alias("name"), pic.alias("pic"),
+        _where(head, ["COMP", "PACKED", "BINARY"], usage, F.lit("display")).alias("usage"),
+        _where(head, ["OCCURS"], F.coalesce(occurs, F.lit(1)), F.lit(1)).alias("occurs"),
+        _where(head, ["REDEFINES"], redefines, empty).alias("redefines"),
+        _where(head, ["SEPARATE"], separate, F.lit(0)).alias("sign_byte"),
     )
 
 
 def _item_width(item: Column) -> Column:
-    digits = _symbols(item["pic"], "9")
-    display = _symbols(item["pic"], "9XA") + item["sign_byte"]
-    return (F.when(item["usage"] == "group", 0)
-            .when(item["usage"] == "packed", F.floor(digits / 2).cast("int") + 1)
-            .when(item["usage"] == "binary", F.when(digits <= 4, 2).when(digits <= 9, 4).otherwise(8))
-            .otherwise(display))
-
+    def coded(digits: Column) -> Column:
+        return (F.when(item["usage"] == "packed", F.floor(digits / 2).cast("int") + 1)
+                .when(digits <= 4, 2).when(digits <= 9, 4).otherwise(8))
 
-_OUT = "array<struct<record:string,level:int,name:string,pic:string,usage:string,occurs:int,redefines:string,offset:int,width:int>>"
-_OPEN = "array<struct<level:int,times:int,start:int,resume:int>>"
+    return (F.when(item["usage"] == "group", 0)
+            .when(item["usage"] == "display", _symbols(item["pic"], "9XA") + item["sign_byte"])
+            .otherwise(_let(_symbols(item["pic"], "9"), coded)))
 
 
 def _let(value: Column, body) -> Column:
@@ -298,39 +303,52 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _place(state: Column, item: Column) -> Column:
-    """Next state after one statement: open groups, byte position, fields placed so far."""
+_OPEN = "array<struct<level:int,times:int,start:int,resume:int>>"
+
+
+def _place(state: Column, item: Column, names: Column) -> Column:
+    """Next state after one statement.
+
+    ``open`` has the groups that are open, ``at`` the byte position, ``first`` the number of the record's first
+    statement (from 1), ``n`` the number of statements so far.  ``found`` gets 16 hex digits: where the item starts, and
+    ``first``.  A fold copies its state at every step, so the fields themselves are not part of it.
+    """
     top = item["level"].isin(1, 77)
     closing = F.filter(state["open"], lambda g: g["level"] >= item["level"])
     closed = F.aggregate(F.reverse(closing), state["at"], lambda p, g: F.when(g["resume"] >= 0, g["resume"])
                          .otherwise(g["start"] + (p - g["start"]) * g["times"]))
     here = F.struct(F.when(top, 0).otherwise(closed).alias("at"),
-                    F.when(top, item["name"]).otherwise(state["record"]).alias("record"))
-    return _let(here, lambda h: _let(_start(state, item, h), lambda start: _placed(state, item, h, start, top)))
+                    F.when(top, state["n"] + 1).otherwise(state["first"]).alias("first"))
+    return _let(here, lambda h: _let(_start(state, item, h, names), lambda start: _placed(state, item, h, start, top)))
+
+
+def _hex(number: Column) -> Column:
+    return F.lpad(F.hex(number), 8, "0")
+
+
+def _unhex(digits: Column, at: Column) -> Column:
+    return F.conv(F.substring(digits, at, F.lit(8)).cast("string"), 16, 10).cast("int")
 
 
-def _start(state: Column, item: Column, here: Column) -> Column:
-    """Where an item begins: at its target when it is an overlay."""
-    target = F.filter(state["out"], lambda o: (o["record"] == here["record"]) & (o["name"] == item["redefines"]))
-    found = F.try_element_at(F.when(item["redefines"] != "", target), F.lit(-1))["offset"]
-    return F.coalesce(found, here["at"])
+def _start(state: Column, item: Column, here: Column, names: Column) -> Column:
+    """Where an item begins: at its target, the last one of that name in the record, when it is an overlay."""
+    before = F.slice(names, F.greatest(here["first"], F.lit(1)), state["n"] + 1 - F.greatest(here["first"], F.lit(1)))
+    back = F.array_position(F.reverse(before), item["redefines"]).cast("int")
+    target = F.when(back > 0, _unhex(F.encode(state["found"], "UTF-8"), (state["n"] - back) * 16 + 1))
+    return F.when(item["redefines"] == "", here["at"]).otherwise(F.coalesce(target, here["at"]))
 
 
 def _placed(state: Column, item: Column, here: Column, start: Column, top: Column) -> Column:
     level, at, group, overlay = item["level"], here["at"], item["usage"] == "group", item["redefines"] != ""
-    width = item["width"] * item["occurs"]
     opened = F.array(F.struct(level.alias("level"), item["occurs"].alias("times"), start.alias("start"),
                               F.when(overlay, at).otherwise(-1).alias("resume"))).cast(_OPEN)
-    row = F.array(F.struct(
-        here["record"].alias("record"), level.alias("level"), item["name"].alias("name"), item["pic"].alias("pic"),
-        item["usage"].alias("usage"), item["occurs"].alias("occurs"), item["redefines"].alias("redefines"),
-        start.alias("offset"), F.when(~group, width).cast("int").alias("width"))).cast(_OUT)
     still = F.filter(state["open"], lambda g: (g["level"] < level) & ~top)
     return F.struct(
-        here["record"].alias("record"),
-        F.when(group, start).when(overlay, at).otherwise(at + width).cast("int").alias("at"),
+        here["first"].alias("first"),
+        F.when(group, start).when(overlay, at).otherwise(at + item["width"] * item["occurs"]).cast("int").alias("at"),
         F.when(group, F.concat(still, opened)).otherwise(still).alias("open"),
-        F.concat(state["out"], row).alias("out"),
+        (state["n"] + 1).alias("n"),
+        F.concat(state["found"], _hex(start), _hex(here["first"])).alias("found"),
     )
 
 
@@ -344,13 +362,23 @@ def layout_census(corpus: DataFrame, key: str = "path", text: str = "text") -> D
     statements = F.regexp_extract_all(F.col(text), F.lit(_STATEMENT), F.lit(0))
     # One stage per step: a later stage reads fields of an earlier one and never finds them again.
     heads = F.filter(F.transform(statements, _split_statement), lambda h: ~h["level"].isin(66, 88))
-    items = F.transform(heads, _parsed)
+    # An item without a picture is a group, whatever its usage.
+    items = F.transform(F.transform(heads, _parsed), lambda i: F.struct(*[
+        (F.when(i["pic"] == "", "group").otherwise(i["usage"]) if n == "usage" else i[n]).alias(n)
+        for n in ("level", "name", "pic", "usage", "occurs", "redefines", "sign_byte")]))
     sized = F.transform(items, lambda i: F.struct(
         *[i[n].alias(n) for n in ("level", "name", "pic", "usage", "occurs", "redefines")],
         _item_width(i).cast("int").alias("width")))
-    empty = F.struct(F.lit("").alias("record"), F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"),
-                     F.array().cast(_OUT).alias("out"))
-    placed = F.aggregate(F.col("_items"), empty, _place)["out"]
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.lit(0).alias("n"),
+                     F.lit("").alias("found"))
+    found = F.aggregate("_items", start, lambda state, item: _place(state, item, F.col("_names")), lambda state: state["found"])
+    fields = F.transform("_items", lambda i, n: F.struct(
+        F.coalesce(F.get("_names", _unhex(F.col("_found"), n * 16 + 9) - 1), F.lit("")).alias("record"),
+        *[i[c].alias(c) for c in ("level", "name", "pic", "usage", "occurs", "redefines")],
+        _unhex(F.col("_found"), n * 16 + 1).alias("offset"),
+        F.when(i["usage"] != "group", i["width"] * i["occurs"]).cast("int").alias("width")))
     return (corpus.select(key, sized.alias("_items"))
-            .select(key, F.posexplode_outer(placed).alias("line", "f")).where(F.col("line").isNotNull())
+            .withColumn("_names", F.transform("_items", lambda i: i["name"]))
+            .withColumn("_found", F.encode(found, "UTF-8"))
+            .select(key, F.posexplode_outer(fields).alias("line", "f")).where(F.col("line").isNotNull())
             .select(key, "line", "f.*"))
