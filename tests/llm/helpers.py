@@ -37,8 +37,8 @@ def contaminated(docs: list[tuple[int, str | None]], items: list[tuple[int, str
     windows = []
     for item, text in items:
         own = words(text)
-        if own and item is not None:
-            windows += [(str(item), tuple(own[i:i + n])) for i in range(max(len(own) - n, 0) + 1)]
+        if own:
+            windows += [(item, tuple(own[i:i + n])) for i in range(max(len(own) - n, 0) + 1)]
     out = []
     for doc, text in docs:
         own, hit, ids = words(text), set(), set()
@@ -46,7 +46,7 @@ def contaminated(docs: list[tuple[int, str | None]], items: list[tuple[int, str
             for p in range(len(own) - len(window) + 1):
                 if tuple(own[p:p + len(window)]) == window:
                     hit.update(range(p, p + len(window)))
-                    ids.add(item)
+                    ids |= {str(item)} if item is not None else set()
         out.append((doc, len(own), len(hit), ",".join(sorted(ids))))
     return out
 

@@ -4,11 +4,12 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, w
 ``NGRAM`` consecutive words of a benchmark item, or a shorter item as a whole, goes into the set.  Tasks look each of
 their words up in the benchmark's vocabulary, hash only stretches of known words, and compare the words of a hash hit.
 
-A benchmark is cut into blocks of bounded text size.  One block is broadcast at a time and the next block's scan follows
-in the same tasks, so any size of benchmark works with the same memory and without a shuffle.
+A benchmark is cut into blocks of bounded text size.  Each block is a broadcast and a pass of its own over the same rows,
+all in one stage and without a shuffle; a benchmark of many blocks takes as many Python workers in a task.
 
 A text that is null or has no words has no hits, as has an item.  Rows are independent: repeated rows and ids, null ids
-and other columns pass through.  Items that share an id count once; a null item id is skipped.  Empty tables work.
+and other columns, whatever their names, pass through; a very long text is a slice of its own.  Items that share an id
+count once; the windows of an item without an id hit words and are in no list of items.  Empty tables work.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from zonedeck.llm.frames import free_name, offsets_of, text_slices
 
 NGRAM = 10
-#: Text bytes of the benchmark items broadcast together.  A single longer item is a block of its own, in pieces.
+#: Text bytes of the benchmark items broadcast together.  A single longer item is a block of its own.
 BLOCK_BYTES = 8 << 20
 
 #: Bytes outside words become blanks, A-Z becomes a-z.
@@ -42,14 +43,16 @@ def words_of(text: bytes) -> list[bytes]:
 class Grams:
     """The windows of a block of items: vocabulary, hashes by window length, and the words behind each hash."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int = NGRAM):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int = NGRAM):
         self.vocabulary: dict[bytes, int] = {}
         self.windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             for i in range(max(len(ids) - n, 0) + 1 if ids else 0):
                 window = tuple(ids[i:i + n])
-                self.windows.setdefault(len(window), {}).setdefault(window, set()).add(item)
+                known = self.windows.setdefault(len(window), {}).setdefault(window, set())
+                if item is not None:
+                    known.add(item)
 
     def prepare(self) -> None:
         """Sorted hashes for the lookup; done once in each task."""
@@ -83,7 +86,7 @@ class Grams:
             place = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
             for p in at[hashes[place] == values].tolist():
                 items = self.windows[n].get(tuple(ids[p:p + n].tolist()))
-                if items:
+                if items is not None:
                     row = int(np.searchsorted(starts, p, "right")) - 1
                     begin = p - int(starts[row])
                     out[row][1].append((begin, begin + n))
@@ -91,11 +94,11 @@ class Grams:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of bounded size; the driver holds one block at a time."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     held, size = [], 0
-    for row in rows.where("item is not null and text is not null").toLocalIterator():
+    for row in rows.where("text is not null").toLocalIterator():
         raw = row.text.encode("utf-8", "surrogatepass")
         if held and size + len(raw) > limit:
             yield held
