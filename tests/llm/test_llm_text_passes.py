@@ -271,3 +271,48 @@ def test_scores_without_labels(spark, nasty, empty):
         assert [r.held_out for r in rows if r.doc_id is None] == [False, False]
     assert quality_model.score_documents(empty, none).count() == 0
     assert id_text(nasty).columns == ["doc_id", "text"]
+
+
+def test_network_by_plain_loops():
+    """Responses at every byte, chunk by chunk, without the layout the network works on."""
+    random.seed(41)
+    net = quality_model.Network.fresh()
+    rng = np.random.default_rng(5)
+    net.bias, net.weights = rng.normal(0, 0.3, 24).astype(np.float32), rng.normal(0, 1, 48).astype(np.float32)
+    texts = [b"", b"a", b"abcde", b"abcdefghA", b"abcdefghZ"] + [
+        bytes(random.randrange(256) for _ in range(random.choice([3, 122, 123, 124, 128, 129, 250, 700]))) for _ in range(25)]
+    got = quality_model.score(net, texts)
+    for text, value in zip(texts, got):
+        padded = text + bytes(quality_model.WIDTH - 1)
+        hops = max(1, -(-len(padded) // quality_model.HOP))
+        tops = np.zeros((hops, 24))
+        for p in range(len(text)):
+            seen = np.concatenate([net.embedding[b] for b in padded[p:p + quality_model.WIDTH]])
+            tops[p // quality_model.HOP] = np.maximum(tops[p // quality_model.HOP], seen @ net.filters + net.bias)
+        chunks = np.array([np.maximum(a, b) for a, b in zip(tops, tops[1:])]) if hops > 1 else tops
+        z = np.concatenate([chunks.mean(0), chunks.max(0)]) @ net.weights
+        assert abs(value - 1 / (1 + np.exp(-z))) < 1e-5
+    assert got[3] != got[4] and len({round(float(x), 6) for x in got[:3]}) == 3
+
+
+def test_noisy_or_by_plain_loops():
+    """Words add up to a sentence's odds, sentences to a document's probability, one after the other."""
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(0, 0.4, toxicity.WEIGHTS), -3.0)
+    texts = ["", "...", "One bad word. And a good one!\nThird line", "É漢 word? word", "a " * 300 + ". b"]
+    z, counts = model.logits([t.encode() for t in texts])
+    got = toxicity.noisy_or(z, counts)
+    for text, value in zip(texts, got):
+        clean = 1.0
+        for sentence in "".join("\n" if c in ".!?\n\r" else c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " "
+                                for c in text).split("\n"):
+            odds = 0.0
+            for word in sentence.split():
+                marked = b"^" + word.encode() + b"$"
+                places = {zlib.crc32(marked) % toxicity.WEIGHTS}
+                for n in (4, 5):
+                    places |= {zlib.crc32(marked[i:i + n], n) % toxicity.WEIGHTS for i in range(len(marked) - n + 1)}
+                odds += np.exp(sum(model.weights[i] for i in places))
+            if odds:
+                clean *= 1 - 1 / (1 + 1 / (np.exp(-3.0) * odds))
+        assert abs(value - (1 - clean)) < 1e-9

@@ -5,7 +5,7 @@ of two hops, each chunk overlapping the next by one hop; mean and maximum over a
 probability by a logistic layer.  The network is trained on the driver from a bounded sample of labelled rows,
 ``SAMPLE_ROWS`` texts of at most 64 KiB, and scores whole texts of any length in the tasks.
 
-Null and empty texts have no responses and get the score that the bias alone gives.  Without labels of both kinds all
+Filters start at every byte, so the whole text is seen.  Null and empty texts have no responses and get the score that the bias alone gives.  Without labels of both kinds all
 scores are the share of label 1.  Rows are independent: repeated rows, null ids and other columns pass through.
 """
 
@@ -24,7 +24,7 @@ from zonedeck.llm.samples import fold, labelled_sample, share_of
 #: Most labelled rows that the driver trains on.
 SAMPLE_ROWS = 3000
 #: Bytes seen by a filter, numbers for a byte, filters, bytes from one place of a filter to the next, and bytes of a hop.
-WIDTH, DIMS, FILTERS, STRIDE, HOP = 6, 6, 24, 2, 128
+WIDTH, DIMS, FILTERS, STRIDE, HOP = 6, 6, 24, 1, 128
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: Places whose responses are computed together.
 BLOCK_HOPS = 512
@@ -52,12 +52,12 @@ class Network:
 
 
 def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts end to end, each filled up to whole hops; valid places; hops of each text (at least one)."""
-    hops = np.array([max(1, -(-len(t) // HOP)) for t in texts], np.int64)
+    """Texts end to end, each filled up with zeros to whole hops; valid places; hops of each text (at least one)."""
+    hops = np.array([max(1, -(-(len(t) + WIDTH - 1) // HOP)) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(t.ljust(h * HOP, b"\0") for t, h in zip(texts, hops.tolist())) + bytes(WIDTH), np.uint8)
     starts = (np.cumsum(hops) - hops) * HOP
-    # A filter must lie inside its text; a text shorter than a filter has no place for it.
-    last = starts + np.array([len(t) for t in texts]) - WIDTH
+    # A filter starts at every byte of its text; at the end it sees zeros.
+    last = starts + np.array([len(t) for t in texts]) - 1
     place = np.arange(0, int(hops.sum()) * HOP, STRIDE)
     return flat, place <= np.repeat(last, hops * (HOP // STRIDE)), hops
 
