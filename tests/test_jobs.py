@@ -343,8 +343,8 @@ def test_bare_floats(spark):
 
 
 def test_control_totals_on_nothing(spark):
-    empty = C.TXN.df(spark, "/root/testdata/sf0.001").where("txn_amount < 0")
-    assert tuple(B.control_totals(empty, "txn_status", "txn_amount").first()) == (0, Decimal("0.00"), 0)
+    empty = C.SALES.df(spark, "/root/testdata/sf0.001").where("sale_worth < 0")
+    assert tuple(B.control_totals(empty, "sale_state", "sale_worth").first()) == (0, Decimal("0.00"), 0)
 
 
 def test_null_status_is_an_error(spark):

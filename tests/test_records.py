@@ -118,16 +118,19 @@ def test_copybook_layout():
     assert by_name["status_c"].conditions == (("is_ok", ("A", "B")),)
 
 
+WIDTH = C.SALE_LAYOUT.width
+
+
 @pytest.fixture(scope="module")
 def txn(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("txn") / "records")
-    X.write_fixed(C.TXN.df(spark, "/root/testdata/sf0.001").orderBy("txn_id").repartitionByRange(3, "txn_id"), C.TXN_LAYOUT, path)
+    X.write_fixed(C.SALES.df(spark, "/root/testdata/sf0.001").orderBy("sale_no").repartitionByRange(3, "sale_no"), C.SALE_LAYOUT, path)
     return path
 
 
 def test_write_commits_whole_files(spark, txn):
     files = fixedbin.list_files(txn)
-    assert len(files) == 3 and sum(n for _, n in files) == 32 * 1500
+    assert len(files) == 3 and sum(n for _, n in files) == WIDTH * 1500
     assert glob.glob(f"{txn}/_SUCCESS") and not glob.glob(f"{txn}/_temporary/*")
 
 
@@ -146,26 +149,26 @@ def test_wrong_length_is_refused(spark, tmp_path):
 
 
 def test_record_numbers_run_through_files_and_splits(spark, txn):
-    whole = X.read_records(spark, txn, 32)
-    cut = X.read_records(spark, txn, 32, split_bytes=32 * 100)
+    whole = X.read_records(spark, txn, WIDTH)
+    cut = X.read_records(spark, txn, WIDTH, split_bytes=WIDTH * 100)
     assert cut.rdd.getNumPartitions() >= 15
-    numbered = X.decode_records(cut, C.TXN_LAYOUT).select("rrn", F.col("txn_id").cast("bigint").alias("id"))
+    numbered = X.decode_records(cut, C.SALE_LAYOUT).select("rrn", F.col("sale_no").cast("bigint").alias("id"))
     assert numbered.where(F.col("rrn") != F.col("id") + 1).count() == 0
     assert whole.exceptAll(cut).count() == 0 and cut.count() == 1500
 
 
 def test_record_filters_narrow_the_ranges(txn):
-    options = {"path": txn, "reclen": "32", "splitbytes": str(32 * 100)}
+    options = {"path": txn, "reclen": str(WIDTH), "splitbytes": str(WIDTH * 100)}
     read = lambda *filters: (lambda r: (list(r.pushFilters(list(filters))), r.partitions())[1])(fixedbin.FixedReader(options))
     everything = read()
     assert len(read(EqualTo(("rrn",), 1499))) == 1
     assert len(read(In(("rrn",), (1, 2, 1500)))) == 2
-    assert sum(p.stop - p.start for p in read(GreaterThanOrEqual(("rrn",), 1490), LessThan(("rrn",), 1500))) == 32 * 10
+    assert sum(p.stop - p.start for p in read(GreaterThanOrEqual(("rrn",), 1490), LessThan(("rrn",), 1500))) == WIDTH * 10
     assert len(everything) > 10
 
 
 def test_pushed_filter_gives_the_same_rows(spark, txn):
-    records = X.read_records(spark, txn, 32, split_bytes=32 * 100)
+    records = X.read_records(spark, txn, WIDTH, split_bytes=WIDTH * 100)
     assert [r.rrn for r in records.where("rrn in (3, 700, 1500, 1501)").orderBy("rrn").collect()] == [3, 700, 1500]
     assert records.where("rrn > 1495").count() == 5
 
@@ -174,33 +177,33 @@ def test_pushed_filter_gives_the_same_rows(spark, txn):
 def damaged(spark, txn, tmp_path):
     path = tmp_path / "damaged.bin"
     data = bytearray(b"".join(open(f, "rb").read() for f, _ in fixedbin.list_files(txn)))
-    data[32 * 4 + 27] = 0xAB
+    data[WIDTH * 4 + 50] = 0xAB
     path.write_bytes(bytes(data) + b"tail")
     return str(path)
 
 
 def test_failfast_refuses_a_short_tail(spark, damaged):
     with pytest.raises(Exception, match="incomplete record"):
-        X.load_fixed(spark, damaged, C.TXN_LAYOUT).count()
+        X.load_fixed(spark, damaged, C.SALE_LAYOUT).count()
 
 
 def test_failfast_refuses_damaged_bytes_it_reads(spark, damaged, tmp_path):
     cut = tmp_path / "cut.bin"
     cut.write_bytes(open(damaged, "rb").read()[:-4])
-    loaded = X.load_fixed(spark, str(cut), C.TXN_LAYOUT)
-    assert loaded.select("txn_id").collect()[4].txn_id == "0" * 17 + "4"
-    with pytest.raises(Exception, match="bad txn_amount"):
-        loaded.select("txn_amount").collect()
+    loaded = X.load_fixed(spark, str(cut), C.SALE_LAYOUT)
+    assert loaded.select("sale_no").collect()[4].sale_no == "0" * 18 + "4"
+    with pytest.raises(Exception, match="bad sale_worth"):
+        loaded.select("sale_worth").collect()
 
 
 def test_permissive_sets_bad_records_aside(spark, damaged):
-    good, bad = X.load_fixed(spark, damaged, C.TXN_LAYOUT, mode="permissive")
+    good, bad = X.load_fixed(spark, damaged, C.SALE_LAYOUT, mode="permissive")
     assert good.count() == 1499
-    assert [(r.rrn, r.reason) for r in bad.orderBy("rrn").collect()] == [(5, "txn_amount"), (1501, "length")]
+    assert [(r.rrn, r.reason) for r in bad.orderBy("rrn").collect()] == [(5, "sale_worth"), (1501, "length")]
 
 
 def test_lookup_rejects_numbers_below_one(spark, txn):
-    records = X.read_records(spark, txn, 32)
+    records = X.read_records(spark, txn, WIDTH)
     wanted = spark.createDataFrame([(0,), (1,)], "rrn bigint")
     with pytest.raises(Exception, match="start at 1"):
         X.lookup_rrn(records, wanted).collect()
@@ -220,15 +223,34 @@ def test_count_field_outside_its_array_is_damage(spark):
     assert [r.reason for r in bad.collect()] == ["v"]
 
 
+def test_short_lists_and_counts_in_groups(spark):
+    layout = Layout.from_copybook("""
+       01 R.
+          05 HEAD.
+             10 MORE.
+                15 N PIC 9(1).
+          05 V OCCURS 1 TO 3 TIMES DEPENDING ON N PIC 9(2).
+          05 LAST PIC X(1).
+    """)
+    df = spark.sql("""SELECT named_struct('more', named_struct('n', n)) AS head, v, 'x' AS last FROM VALUES
+        (2, array(11, 22)), (3, array(1, 2, 3)), (0, array()), (1, array(5, 6, 7)), (2, array(9)), (4, array(1, 2, 3, 4)) AS t(n, v)""")
+    rec = X.encode_fixed(df, layout, mode="permissive").select(F.col("head.more.n").alias("n"), "v", "rec")
+    got = {(r.n, tuple(r.v)): r.rec and bytes(r.rec).hex().upper() for r in rec.collect()}
+    assert got[(2, (11, 22))] == "F2F1F1F2F24040A7" and got[(0, ())] == "F0404040404040A7"
+    assert got[(1, (5, 6, 7))] == "F1F0F5F0F6F0F7A7" and got[(2, (9,))] is None and got[(4, (1, 2, 3, 4))] is None
+    back = X.decode_records(rec.where("rec IS NOT NULL").select("rec"), layout).collect()
+    assert sorted((r.head.more.n, r.v) for r in back) == [(0, []), (1, [5]), (2, [11, 22]), (3, [1, 2, 3])]
+
+
 def test_convert_returns_the_count(spark, tmp_path):
     path = str(tmp_path / "emp")
-    X.write_fixed(C.EMPLOYEE.df(spark, "/root/testdata/sf0.01"), C.EMPLOYEE_LAYOUT, path)
-    assert X.convert_extract(spark, path, C.EMPLOYEE_LAYOUT, str(tmp_path / "csv")) == 100
+    X.write_fixed(C.VENDORS.df(spark, "/root/testdata/sf0.01"), C.VENDOR_LAYOUT, path)
+    assert X.convert_extract(spark, path, C.VENDOR_LAYOUT, str(tmp_path / "csv")) == 100
     first = open(sorted(glob.glob(f"{tmp_path}/csv/part-*"))[0]).readline().strip()
-    assert first == "emp_id,emp_surname,emp_dept,emp_salary"
+    assert first == "vendor_land,vendor_name,vendor_no,vendor_funds"
 
 
 def test_unread_fields_are_not_decoded(spark, txn):
-    loaded = X.load_fixed(spark, txn, C.TXN_LAYOUT).select("txn_status")
+    loaded = X.load_fixed(spark, txn, C.SALE_LAYOUT).select("sale_state")
     plan = loaded._jdf.queryExecution().executedPlan().toString()
     assert "hex" not in plan.lower() and "ArrowEvalPython" not in plan

@@ -172,10 +172,26 @@ def decode_columns(rec: Column, layout: Layout, strip: str = "both", checked: bo
     """
     columns: dict[str, Column] = {}
     for item, at in layout.placed():
-        columns[item.name] = _decode_any(rec, item, at, strip, checked and not item.redefines, columns)
+        columns[item.name] = _decode_any(rec, item, at, strip, checked and not item.redefines, _with_inner(layout, columns))
     return columns
 
 
+def _with_inner(layout: Layout, columns: dict[str, Column]) -> dict[str, Column]:
+    """The columns known so far and the items inside their groups, where a count may stand."""
+    known = dict(columns)
+
+    def visit(item: Field, column: Column) -> None:
+        if item.kind == "group" and not item.occurs:
+            for child in item.children:
+                known.setdefault(child.name, column.getField(child.name))
+                visit(child, known[child.name])
+
+    for item in layout.fields:
+        if item.name in columns:
+            visit(item, columns[item.name])
+    return known
+
+
 def condition_columns(layout: Layout, columns: dict[str, Column]) -> dict[str, Column]:
     """Named booleans (level 88) over already decoded columns, items inside groups included.
 
@@ -273,24 +289,30 @@ def encode_item(value: Column, item: Field, rounding: str = "half_up") -> Column
     return F.unhex(F.concat(F.substring(zoned, 1, item.digits * 2 - 2), zone, F.substring(digits, item.digits, 1)))
 
 
-def _encode_at(value: Column, item: Field, rounding: str) -> Column:
+def _encode_at(value: Column, item: Field, rounding: str, known: dict[str, Column]) -> Column:
     if item.kind != "group":
         return encode_item(value, item, rounding)
+    known = {**known, **{c.name: value.getField(c.name) for c in item.children}}
     return F.concat(*[
-        _encode_any(value.getField(c.name), c, rounding) for c in item.children if not c.redefines
+        _encode_any(value.getField(c.name), c, rounding, known) for c in item.children if not c.redefines
     ])
 
 
-def _encode_any(value: Column, item: Field, rounding: str) -> Column:
+def _encode_any(value: Column, item: Field, rounding: str, known: dict[str, Column]) -> Column:
+    """A list must be full, or as long as its count says; entries that are not used are blanks."""
     if not item.occurs:
-        return _encode_at(value, item, rounding)
-    cells = F.transform(value, lambda cell: F.hex(_encode_at(cell, item, rounding)))
-    filled = (F.size(value) == item.occurs) & ~F.exists(cells, lambda c: c.isNull())
-    return F.when(filled, F.unhex(F.array_join(cells, "")))
+        return _encode_at(value, item, rounding, known)
+    cells = F.transform(value, lambda cell: F.hex(_encode_at(cell, item, rounding, known)))
+    long_enough, digits = F.size(value) == item.occurs, F.array_join(cells, "")
+    if item.depending_on in known:
+        long_enough = long_enough | ((F.size(value) == known[item.depending_on]) & (F.size(value) < item.occurs))
+        digits = F.rpad(digits, item.occurs * item.item_width * 2, "40")
+    return F.when(long_enough & ~F.exists(cells, lambda c: c.isNull()), F.unhex(digits))
 
 
 def encode_record(layout: Layout, columns: dict[str, Column], rounding: str = "half_up") -> Column:
     """The whole record; NULL when any value does not fit its field."""
+    known = _with_inner(layout, columns)
     return F.concat(*[
-        _encode_any(columns[f.name], f, rounding) for f in layout.fields if not f.redefines
+        _encode_any(columns[f.name], f, rounding, known) for f in layout.fields if not f.redefines
     ])

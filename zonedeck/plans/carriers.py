@@ -41,72 +41,76 @@ def text_of(*parts: str) -> str:
 
 NL = "=chr(10)"
 
-TXN_LAYOUT = Layout.from_copybook("""
+SALE_LAYOUT = Layout.from_copybook("""
        01  SALE.
-           05 TXN-TYPE       PIC X(2).
-           05 TXN-STATUS     PIC X(1).
-              88 TXN-ACCEPTED VALUE 'A'.
-              88 TXN-FAILED   VALUES 'E' 'P'.
-           05 TXN-ID         PIC X(18).
-           05 TXN-DATE       PIC 9(8)     COMP-3.
-              88 TXN-EARLY    VALUE 19920101 THRU 19951231.
-           05 TXN-AMOUNT     PIC S9(9)V99 COMP-3.
-              88 TXN-LARGE    VALUE 100000 THRU 999999999.99.
+           05 SALE-RANK      PIC X(15).
+           05 SALE-STATE     PIC X(1).
+              88 SALE-DONE    VALUE 'F'.
+              88 SALE-OPEN    VALUES 'O' 'P'.
+           05 SALE-NO        PIC X(19).
+           05 SALE-DAY       PIC 9(9)       COMP-3.
+              88 SALE-EARLY   VALUE 19920101 THRU 19951231.
+           05 SALE-BUYER     PIC S9(18)     COMP.
+           05 SALE-WORTH     PIC S9(11)V99  COMP-3.
+              88 SALE-LARGE   VALUE 100000 THRU 999999999.99.
 """)
-TXN = Carrier(
+SALES = Carrier(
     "orders",
-    txn_id="lpad(CAST(o_orderkey AS STRING), 18, '0')",
-    txn_date=ymd("o_orderdate"),
-    txn_amount="CAST(o_totalprice AS DECIMAL(11,2))",
-    txn_type="concat(substr(o_orderpriority, 1, 1), 'O')",
-    txn_status="CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'E' ELSE 'P' END",
+    sale_no="lpad(CAST(o_orderkey AS STRING), 19, '0')",
+    sale_rank="o_orderpriority",
+    sale_state="o_orderstatus",
+    sale_day=ymd("o_orderdate"),
+    sale_buyer="CAST(o_custkey AS BIGINT)",
+    sale_worth="CAST(o_totalprice AS DECIMAL(13,2))",
 )
 
-CUSTOMER_LAYOUT = Layout.from_copybook("""
+BUYER_LAYOUT = Layout.from_copybook("""
        01 BUYER.
-          05 CUST-ID        PIC X(18).
-          05 CUST-STATUS    PIC X(1).
-          05 CUST-NAME      PIC X(40).
-          05 CUST-BALANCE   PIC S9(9)V99.
+          05 BUYER-BRANCH   PIC X(10).
+          05 BUYER-NO       PIC X(19).
+          05 BUYER-CREDIT   PIC S9(11)V99.
+          05 BUYER-NAME     PIC X(44).
 """)
-CUSTOMER = Carrier(
+BUYERS = Carrier(
     "customer",
-    cust_id="lpad(CAST(c_custkey AS STRING), 18, '0')",
-    cust_name="c_name",
-    cust_balance="CAST(c_acctbal AS DECIMAL(11,2))",
-    cust_status="substr(c_mktsegment, 1, 1)",
+    buyer_no="lpad(CAST(c_custkey AS STRING), 19, '0')",
+    buyer_branch="c_mktsegment",
+    buyer_credit="CAST(c_acctbal AS DECIMAL(13,2))",
+    buyer_name="c_name",
 )
 
-EMPLOYEE_LAYOUT = Layout.from_copybook("""
+VENDOR_LAYOUT = Layout.from_copybook("""
        01 VENDOR.
-          05 EMP-ID        PIC X(18).
-          05 EMP-SURNAME   PIC X(25).
-          05 EMP-DEPT      PIC X(10).
-          05 EMP-SALARY    PIC 9(7)V99.
+          05 VENDOR-LAND    PIC 9(5).
+          05 VENDOR-NAME    PIC X(28).
+          05 VENDOR-NO      PIC X(19).
+          05 VENDOR-FUNDS   PIC 9(8)V99.
 """)
-EMPLOYEE = Carrier(
+VENDORS = Carrier(
     "supplier",
-    emp_id="lpad(CAST(s_suppkey AS STRING), 18, '0')",
-    emp_surname="s_name",
-    emp_dept="lpad(CAST(s_nationkey AS STRING), 10, '0')",
-    emp_salary="CAST(abs(s_acctbal) AS DECIMAL(9,2))",
+    vendor_no="lpad(CAST(s_suppkey AS STRING), 19, '0')",
+    vendor_land="CAST(s_nationkey AS INT)",
+    vendor_name="s_name",
+    vendor_funds="CAST(abs(s_acctbal) AS DECIMAL(10,2))",
 )
 
-COUNTER_LAYOUT = Layout.from_copybook("""
+STOCK_LAYOUT = Layout.from_copybook("""
        01 STOCK.
-          05 CTR-ID        PIC X(18).
-          05 CTR-COUNT     PIC 9(4) COMP.
-          05 CTR-MAX       PIC S9(18) COMP.
-          05 CTR-SIGNED    PIC S9(4) COMP.
-          05 CTR-WIDE      PIC S9(18) COMP.
+          05 STOCK-GAP      PIC S9(3) COMP.
+          05 STOCK-NO       PIC X(19).
+          05 STOCK-SIZE     PIC 9(3) COMP.
+          05 STOCK-KEY      PIC S9(17) COMP.
+          05 STOCK-SHIFT    PIC S9(6) COMP.
+          05 STOCK-FAR      PIC S9(18) COMP.
 """)
-COUNTER = Carrier(
+STOCKS = Carrier(
     "part",
-    ctr_id="lpad(CAST(p_partkey AS STRING), 18, '0')",
-    ctr_count="CAST(p_size AS INT)",
-    ctr_max="CAST(p_partkey AS BIGINT)",
-    ctr_signed="CAST(p_size - 25 AS INT)",
-    ctr_wide="CAST(p_size - 25 AS BIGINT) * 100000000000007",
+    stock_no="lpad(CAST(p_partkey AS STRING), 19, '0')",
+    stock_gap="CAST(p_size - 25 AS INT)",
+    stock_size="CAST(p_size AS INT)",
+    stock_key="CAST(p_partkey AS BIGINT)",
+    stock_shift="CAST((p_size - 25) * 1001 AS INT)",
+    stock_far="CAST(p_size - 25 AS BIGINT) * 100000000000007",
 )
 
 SIGNED_LAYOUT = Layout.from_copybook("""
@@ -118,24 +122,26 @@ SIGNED_LAYOUT = Layout.from_copybook("""
 SIGNED = Carrier("customer", over_punched="CAST(c_acctbal AS DECIMAL(11,2))",
                  sign_first="CAST(c_acctbal AS DECIMAL(11,2))", sign_last="CAST(-c_acctbal AS DECIMAL(11,2))")
 
-PRICE_LAYOUT = Layout.from_copybook("""
+BASKET_LAYOUT = Layout.from_copybook("""
        01 BASKET.
-          05 PT-KEY     PIC 9(18).
-          05 PT-COUNT   PIC 9(2).
-          05 PT-ENTRY OCCURS 1 TO 5 TIMES DEPENDING ON PT-COUNT.
-             10 PT-CODE    PIC X(18).
-             10 PT-PRICE   PIC S9(7)V99 COMP-3.
+          05 BASKET-HEAD.
+             10 BASKET-NO     PIC 9(19).
+             10 BASKET-LINES  PIC 9(3).
+          05 BASKET-ROW OCCURS 1 TO 4 TIMES DEPENDING ON BASKET-LINES.
+             10 ROW-PART      PIC X(19).
+             10 ROW-UNITS     PIC 9(4) COMP.
+             10 ROW-PRICE     PIC S9(8)V99 COMP-3.
 """)
 
-DATE_LAYOUT = Layout.from_copybook("""
+SLIP_LAYOUT = Layout.from_copybook("""
        01 DAY-SLIP.
-          05 DATE-FULL   PIC 9(8).
-          05 DATE-PARTS  REDEFINES DATE-FULL.
-             10 DATE-YYYY PIC 9(4).
-             10 DATE-MM   PIC 9(2).
-             10 DATE-DD   PIC 9(2).
+          05 SLIP-KEY     PIC 9(12).
+          05 SLIP-PARTS   REDEFINES SLIP-KEY.
+             10 SLIP-SERIAL PIC 9(4).
+             10 SLIP-MONTH  PIC 9(6).
+             10 SLIP-DAY    PIC 9(2).
 """)
-DATES = Carrier("orders", date_full=ymd("o_orderdate"))
+SLIPS = Carrier("orders", slip_key=f"(o_orderkey % 9000 + 1000) * 100000000 + {ymd('o_orderdate')}")
 
 _HOURS = "CAST(l_quantity AS DECIMAL(5,2))"
 _RATE = "CAST(CAST(10 + l_partkey % 90 AS DECIMAL(7,2)) + CAST(l_discount AS DECIMAL(3,2)) AS DECIMAL(7,2))"
@@ -186,14 +192,14 @@ _PROGRAM = text_of(
     _when("o_orderkey % 5 = 0", "       FD  ORDER-FILE", "           RECORDING MODE F."),
     _line("       WORKING-STORAGE SECTION."),
     _line("       01 WS-KEY        PIC X(8)."),
-    _when("o_orderkey % 3 = 0", "       01 WS-TXN-REC.", "          05 TXN-ID         PIC X(10).",
-          "          05 TXN-AMOUNT     PIC S9(9)V99 COMP-3."),
+    _when("o_orderkey % 3 = 0", "       01 WS-SALE-REC.", "          05 SALE-NO        PIC X(12).",
+          "          05 SALE-WORTH     PIC S9(8)V99 COMP-3."),
     _when("o_orderkey % 4 = 0", "       01 WS-RESP       PIC 9(4) COMP."),
-    _when("o_orderkey % 7 = 0", "       01 PRICE-TABLE.", "          05 PT-ENTRY OCCURS 5 TIMES.",
-          "             10 PT-CODE    PIC X(4).", "             10 PT-PRICE   PIC S9(7)V99 PACKED-DECIMAL."),
+    _when("o_orderkey % 7 = 0", "       01 BASKET-TABLE.", "          05 ROW-SLOT OCCURS 6 TIMES.",
+          "             10 ROW-PART   PIC X(9).", "             10 ROW-PRICE  PIC S9(6)V99 PACKED-DECIMAL."),
     _line("       PROCEDURE DIVISION."),
-    _when("o_orderstatus = 'F'", "           EXEC CICS READ", "               FILE('CUSTOMER')",
-          "               INTO(WS-TXN-REC)", "               RIDFLD(WS-KEY)", "               RESP(WS-RESP)",
+    _when("o_orderstatus = 'F'", "           EXEC CICS READ", "               FILE('BUYERS')",
+          "               INTO(WS-SALE-REC)", "               RIDFLD(WS-KEY)", "               RESP(WS-RESP)",
           "           END-EXEC"),
     "=CASE WHEN o_orderstatus = 'P' THEN " + text_of(
         "           exec cics writeq ts queue('Q", "=CAST(o_custkey % 10 AS STRING)",
@@ -222,12 +228,12 @@ COPYBOOKS = Carrier("part", path="CAST(p_partkey AS BIGINT)", text=text_of(
     "=" + text_of("          05 PART-QTY       PIC 9(", "=CAST(1 + p_partkey % 18 AS STRING)", ") COMP.", NL),
     "=" + text_of("          05 PART-SIZES OCCURS ", "=CAST(1 + p_partkey % 4 AS STRING)", " TIMES PIC 9(3).", NL),
     "=" + text_of("          05 PART-ROW OCCURS ", "=CAST(2 + p_size % 3 AS STRING)", " TIMES.", NL),
-    _line("             10 ROW-CODE    PIC X(4)."),
-    _line("             10 ROW-PRICE   PIC S9(7)V99 COMP-3."),
-    _line("          05 PART-DATE      PIC 9(8)."),
-    _line("          05 DATE-PARTS REDEFINES PART-DATE."),
-    _line("             10 DATE-YYYY   PIC 9(4)."),
-    _line("             10 DATE-REST   PIC 9(4)."),
+    _line("             10 ROW-CODE    PIC X(6)."),
+    _line("             10 ROW-PRICE   PIC S9(8)V99 COMP-3."),
+    _line("          05 PART-STAMP     PIC 9(9)."),
+    _line("          05 STAMP-PARTS REDEFINES PART-STAMP."),
+    _line("             10 STAMP-HIGH  PIC 9(6)."),
+    _line("             10 STAMP-LOW   PIC 9(3)."),
     _line("          05 PART-FLAG      PIC X."),
     _line("             88 PART-OK VALUE 'Y'."),
 ))
@@ -238,7 +244,7 @@ DEPOSITS = Carrier(
 ACCOUNTS = Carrier("customer", cust_no="c_custkey", name="c_name", balance="CAST(c_acctbal AS DECIMAL(18,2))")
 
 ORDER_KEYS = Carrier(
-    "orders", order_key="concat(lpad(CAST(o_custkey AS STRING), 18, '0'), lpad(CAST(o_orderkey AS STRING), 18, '0'))",
+    "orders", order_key="concat(lpad(CAST(o_custkey AS STRING), 19, '0'), lpad(CAST(o_orderkey AS STRING), 19, '0'))",
     order_amt="CAST(o_totalprice AS DECIMAL(11,2))")
 
 ATTEMPTS = Carrier(

@@ -196,16 +196,16 @@ def browse_many_back(spark, sf_dir):
 
 
 @query("browse_total", f"""
-    SELECT CAST(sum(order_amt) AS DECIMAL(38,2)) AS total FROM {C.ORDER_KEYS.sql} WHERE order_key >= '000000000000000100'""")
+    SELECT CAST(sum(order_amt) AS DECIMAL(38,2)) AS total FROM {C.ORDER_KEYS.sql} WHERE order_key >= '0000000000000000100'""")
 def browse_total(spark, sf_dir):
-    return K.browse_total(C.ORDER_KEYS.df(spark, sf_dir), "order_key", "order_amt", "000000000000000100", mode="to_end").select(
+    return K.browse_total(C.ORDER_KEYS.df(spark, sf_dir), "order_key", "order_amt", "0000000000000000100", mode="to_end").select(
         F.col("total").cast("decimal(38,2)").alias("total"))
 
 
 def browse_sums(spark, sf_dir, mode):
     requests = C.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("cust_no"), F.lpad(F.col("c_custkey").cast("string"), 18, "0").alias("start"))
-    return K.browse_totals(requests, C.ORDER_KEYS.df(spark, sf_dir), "order_key", "order_amt", "cust_no", "start", 18, mode)
+        F.col("c_custkey").alias("cust_no"), F.lpad(F.col("c_custkey").cast("string"), 19, "0").alias("start"))
+    return K.browse_totals(requests, C.ORDER_KEYS.df(spark, sf_dir), "order_key", "order_amt", "cust_no", "start", 19, mode)
 
 
 @query("browse_totals_prefix", f"""

@@ -239,13 +239,14 @@ def calendar_days(spark, sf_dir):
 
 
 @query("report_lines", """
-    SELECT txn_type, CASE WHEN a = 0 THEN '         ' ELSE lpad(CAST(a AS VARCHAR), greatest(9, length(CAST(a AS VARCHAR)))::INT, ' ') END || ' / '
+    SELECT sale_rank, CASE WHEN a = 0 THEN '         ' ELSE lpad(CAST(a AS VARCHAR), greatest(9, length(CAST(a AS VARCHAR)))::INT, ' ') END || ' / '
            || CASE WHEN e = 0 THEN '         ' ELSE lpad(CAST(e AS VARCHAR), greatest(9, length(CAST(e AS VARCHAR)))::INT, ' ') END || ' TOTAL: $'
            || lpad(CAST(t AS VARCHAR), greatest(13, length(CAST(t AS VARCHAR)))::INT, ' ') AS line
-    FROM (SELECT concat(substr(o_orderpriority, 1, 1), 'O') AS txn_type, count(*) FILTER (o_orderstatus = 'F') AS a,
+    FROM (SELECT o_orderpriority AS sale_rank, count(*) FILTER (o_orderstatus = 'F') AS a,
                  count(*) FILTER (o_orderstatus <> 'F') AS e,
                  CAST(sum(CAST(o_totalprice AS DECIMAL(11,2))) FILTER (o_orderstatus = 'F') AS DECIMAL(38,2)) AS t
           FROM orders GROUP BY 1)""")
 def report_lines(spark, sf_dir):
-    records = recoded(spark, sf_dir, C.TXN, C.TXN_LAYOUT)
-    return B.report_lines(B.control_totals(records, "txn_status", "txn_amount", by=["txn_type"])).select("txn_type", "line")
+    records = recoded(spark, sf_dir, C.SALES, C.SALE_LAYOUT)
+    return B.report_lines(B.control_totals(
+        records, "sale_state", "sale_worth", by=["sale_rank"], accepted="F")).select("sale_rank", "line")

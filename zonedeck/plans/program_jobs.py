@@ -173,15 +173,15 @@ def _census_sql():
     qty_w = f"(CASE WHEN {qty} <= 4 THEN 2 WHEN {qty} <= 9 THEN 4 ELSE 8 END)"
     at_qty, at_sizes = f"{id_w} + {price_w}", f"{id_w} + {price_w} + {qty_w}"
     at_row = f"{at_sizes} + 3 * {sizes}"
-    at_date = f"{at_row} + 9 * {rows}"
+    at_date = f"{at_row} + 12 * {rows}"
     fields = [
         ("PART-RECORD", "group", "1", "''", "0", "NULL"), ("PART-ID", "display", "1", "''", "0", id_w),
         ("PART-PRICE", "packed", "1", "''", id_w, price_w), ("PART-QTY", "binary", "1", "''", at_qty, qty_w),
         ("PART-SIZES", "display", sizes, "''", at_sizes, f"3 * {sizes}"), ("PART-ROW", "group", rows, "''", at_row, "NULL"),
-        ("ROW-CODE", "display", "1", "''", at_row, "4"), ("ROW-PRICE", "packed", "1", "''", f"{at_row} + 4", "5"),
-        ("PART-DATE", "display", "1", "''", at_date, "8"), ("DATE-PARTS", "group", "1", "'PART-DATE'", at_date, "NULL"),
-        ("DATE-YYYY", "display", "1", "''", at_date, "4"), ("DATE-REST", "display", "1", "''", f"{at_date} + 4", "4"),
-        ("PART-FLAG", "display", "1", "''", f"{at_date} + 8", "1"),
+        ("ROW-CODE", "display", "1", "''", at_row, "6"), ("ROW-PRICE", "packed", "1", "''", f"{at_row} + 6", "6"),
+        ("PART-STAMP", "display", "1", "''", at_date, "9"), ("STAMP-PARTS", "group", "1", "'PART-STAMP'", at_date, "NULL"),
+        ("STAMP-HIGH", "display", "1", "''", at_date, "6"), ("STAMP-LOW", "display", "1", "''", f"{at_date} + 6", "3"),
+        ("PART-FLAG", "display", "1", "''", f"{at_date} + 9", "1"),
     ]
     return " UNION ALL ".join(
         f"SELECT CAST(p_partkey AS BIGINT) AS path, '{n}' AS name, '{u}' AS usage, CAST({o} AS INTEGER) AS occurs, "
