@@ -351,3 +351,66 @@ def test_queue_is_read_once(spark, tmp_path):
     run()
     assert spark.read.parquet(out).count() == 13
     assert feeds.queue_state(0) == 23
+
+
+def test_a_run_of_many_batches_is_counted(spark, tmp_path):
+    """More batches than Spark keeps progress for; a second run finds nothing, a third one what is new."""
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    spark.range(0, 230, 1, 115).write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(source)
+        done = feeds.consume_counted(stream, out, state)
+        done.query.awaitTermination()
+        return done
+
+    first = run()
+    assert len(first.query.recentProgress) <= 100 and first.batches[1] - first.batches[0] >= 114
+    assert [feeds.taken(first), feeds.taken(run())] == [230, 0]
+    spark.range(230, 233).write.mode("append").parquet(source)
+    last = run()
+    assert feeds.taken(last) == 3 and feeds.queue_state(feeds.taken(last)) == 0
+    assert sorted(r.id for r in feeds.read_taken(spark, out).collect()) == list(range(233))
+
+
+def test_closing_writes_the_open_windows(spark, tmp_path):
+    source, closing, out, state = (str(tmp_path / x) for x in ("in", "closing", "out", "cp"))
+    arriving(spark, source, [(0, 500), (500, 1000), (1000, 2000)])
+    schema, runs = minutes(spark, 0, 1).schema, []
+
+    def start():
+        stream = feeds.with_closing(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), closing)
+        runs.append(feeds.control_totals_stream(stream, "ts", "status", "amount", out, state, window="1 hour"))
+        return runs[-1]
+
+    start().awaitTermination()
+    batch = feeds.windowed_totals(minutes(spark, 0, 2000), "ts", "status", "amount", window="1 hour")
+    before = spark.read.parquet(out).count()
+    feeds.close_stream(spark, closing, schema, "ts", start)
+    got = spark.read.parquet(out)
+    assert before < batch.count() == got.count() and got.exceptAll(batch).count() == 0
+    # Only the window of the closing rows is left in the state.
+    assert runs[-1].recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_system_turns_of_a_conversation(spark, monkeypatch):
+    """The last system turn before a turn counts, also in a conversation far longer than others; unanswered turns stay."""
+    from zonedeck.operators import ordering
+
+    monkeypatch.setattr(ordering, "KEY_ROWS", 30)
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "system", "S1"), (1, 3, "user", "c"), (1, 4, "user", "d"),
+            (1, 5, "system", "S2"), (1, 6, "user", "e"), (1, 7, "assistant", "f"), (2, 0, "system", "T"), (2, 1, "user", "x"),
+            (2, 5, "user", "y"), (2, 6, "assistant", "z"), (3, 0, "assistant", "alone"), (None, 1, "user", "q")]
+    rows += [(9, i, "system" if i % 7 == 0 else "user", f"t{i}") for i in range(90)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(3)
+    names = ("conv_id", "turn", "role", "text")
+    got = T.with_system(T.pair_turns(turns, *names, answered=False), turns, *names, "none").collect()
+    expected = {(c, t): next((x for k, u, r, x in sorted(rows[:-91] + rows[-90:], key=lambda r: (r[0] or 0, -r[1])) if k == c and u < t and r == "system"), "none")
+                for c, t, r, _ in rows if r == "user"}
+    assert {(r.conv_id, r.turn): r.system for r in got} == expected
+    assert {(r.conv_id, r.turn): r.output for r in got if r.output} == {(1, 0): "b", (1, 6): "f", (2, 5): "z"}
+    counts = T.count_turns(turns, *names).first()
+    assert (counts.answered, counts.unasked, counts.system_turns) == (3, 1, 16) and counts.unanswered == counts.asked - 3
+    rendered = T.render_chat(T.with_system(T.pair_turns(turns, *names, answered=False), turns, *names, "none"), F.col("system"))
+    assert rendered.where("output IS NULL AND full_text IS NOT NULL").count() == 0
+    assert rendered.where("conv_id = 1 AND turn = 6").first().full_text == "<|system|>\nS2\n<|user|>\ne\n<|assistant|>\nf<|im_end|>"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonedeck.operators import audit as A
+from zonedeck.operators import retrieve as R
 from zonedeck.operators import training as T
 from zonedeck.plans import carriers as C
 from zonedeck.plans.registry import query
@@ -101,13 +102,52 @@ SYSTEM_TEXT = "You translate commands."
 _PROMPT = f"""concat('<|system|>', chr(10), '{SYSTEM_TEXT}', chr(10), '<|user|>', chr(10), input, chr(10), '<|assistant|>', chr(10))"""
 
 
+_ASKED = f"""
+    (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output, coalesce((
+         SELECT arg_max(s.text, s.turn) FROM conversations s WHERE s.conv_id = u.conv_id AND s.role = 'system' AND s.turn < u.turn),
+         '{SYSTEM_TEXT}') AS system
+     FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+     WHERE u.role = 'user')"""
+_TURN_PROMPT = _PROMPT.replace(f"'{SYSTEM_TEXT}'", "system")
+
+
 @query("render_chat", f"""
-    SELECT conv_id, turn, md5({_PROMPT}) AS prompt, md5(concat({_PROMPT}, output, '{T.END_MARK}')) AS full_text FROM {_PAIRS}""")
+    SELECT conv_id, turn, md5({_TURN_PROMPT}) AS prompt,
+           CASE WHEN output IS NOT NULL THEN md5(concat({_TURN_PROMPT}, output, '{T.END_MARK}')) END AS full_text FROM {_ASKED}""")
 def render_chat(spark, sf_dir):
-    rendered = T.render_chat(pairs(spark, sf_dir), SYSTEM_TEXT)
+    """Every user turn under its conversation's own system text; turns without an answer are prompts only."""
+    turns, names = C.table(spark, sf_dir, "conversations"), ("conv_id", "turn", "role", "text")
+    asked = T.with_system(T.pair_turns(turns, *names, answered=False), turns, *names, SYSTEM_TEXT)
+    rendered = T.render_chat(asked, F.col("system"))
     return rendered.select("conv_id", "turn", F.md5("prompt").alias("prompt"), F.md5("full_text").alias("full_text"))
 
 
+@query("count_turns", """
+    SELECT count(*) FILTER (t.role = 'user') AS asked, count(*) FILTER (t.role = 'assistant' AND b.role = 'user') AS answered,
+           count(*) FILTER (t.role = 'assistant' AND coalesce(b.role, '') <> 'user') AS unasked,
+           count(*) FILTER (t.role = 'system') AS system_turns,
+           count(*) FILTER (t.role = 'user') - count(*) FILTER (t.role = 'assistant' AND b.role = 'user') AS unanswered
+    FROM conversations t LEFT JOIN conversations b ON b.conv_id = t.conv_id AND b.turn = t.turn - 1""")
+def count_turns(spark, sf_dir):
+    return T.count_turns(C.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("render_request_retry", f"""
+    SELECT r.run_id, md5(concat('COBOL source to translate:', chr(10), chr(10), '```cobol', chr(10), r.text, chr(10), '```',
+           CASE WHEN f.feedback IS NOT NULL THEN concat(chr(10), chr(10), 'Feedback from previous attempt (fix this):', chr(10), f.feedback)
+                ELSE '' END)) AS request
+    FROM (SELECT run_id, concat('PROGRAM ', run_id, ' ', max(attempt)) AS text FROM {_LOG} GROUP BY run_id) r
+    LEFT JOIN (SELECT run_id, right(arg_max(message, (attempt, seq)), 2000) AS feedback FROM {_LOG} WHERE status = 'error' GROUP BY run_id) f
+           ON f.run_id = r.run_id""")
+def render_request_retry(spark, sf_dir):
+    """The next request of each run: with the last error as feedback, or as a first request where there was none."""
+    log = C.ATTEMPTS.df(spark, sf_dir)
+    runs = log.groupBy("run_id").agg(F.concat(F.lit("PROGRAM "), "run_id", F.lit(" "), F.max("attempt").cast("string")).alias("text"))
+    last = A.last_feedback(log).select("run_id", "feedback")
+    asked = runs.join(last, "run_id", "left").withColumn("feedback", F.coalesce("feedback", F.lit(R.FIRST_REQUEST)))
+    return R.render_request(asked, feedback="feedback").select("run_id", F.md5("user_prompt").alias("request"))
+
+
 def _spans_sql(masked):
     count = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))".format
     return f"""

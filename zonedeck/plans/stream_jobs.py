@@ -34,8 +34,8 @@ def consume_queue_responses(spark, sf_dir):
     out, checkpoint = shared_dir(spark, "taken"), shared_dir(spark, "taken-state")
     found = []
     for attempt in (1, 2):
-        run = feeds.consume_queue(arriving(spark, sf_dir).select("event_id"), out, checkpoint)
-        run.awaitTermination()
+        run = feeds.consume_counted(arriving(spark, sf_dir).select("event_id"), out, checkpoint)
+        run.query.awaitTermination()
         items = feeds.taken(run)
         found.append((attempt, items, feeds.queue_state(items)))
     return spark.createDataFrame(found, "attempt int, items bigint, resp int")
@@ -56,12 +56,18 @@ def append_log(spark, sf_dir):
            count(*) FILTER (event_type = 'error') AS error_count
     FROM events GROUP BY 1""")
 def control_totals_windows(spark, sf_dir):
-    """The aggregate with a watermark, whose state Spark keeps; every batch writes all windows, so the last one is there."""
-    out, checkpoint = shared_dir(spark, "windows"), shared_dir(spark, "windows-state")
-    records = arriving(spark, sf_dir).select(
-        F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(11,2)").alias("amount"),
-        F.when(F.col("event_type") == "error", "E").otherwise("A").alias("status"))
-    feeds.control_totals_stream(records, "ts", "status", "amount", out, checkpoint, output_mode="complete").awaitTermination()
+    """Each window written once, when the watermark has passed it; closing the stream writes the last ones."""
+    out, checkpoint, closing = shared_dir(spark, "windows"), shared_dir(spark, "windows-state"), shared_dir(spark, "windows-closing")
+
+    def start():
+        records = arriving(spark, sf_dir).select(
+            F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(11,2)").alias("amount"),
+            F.when(F.col("event_type") == "error", "E").otherwise("A").alias("status"))
+        start.schema = records.schema
+        return feeds.control_totals_stream(feeds.with_closing(records, closing), "ts", "status", "amount", out, checkpoint)
+
+    start().awaitTermination()
+    feeds.close_stream(spark, closing, start.schema, "ts", start)
     return spark.read.parquet(out).select(
         F.to_date("window_start").alias("day"), "record_count",
         F.coalesce("total_amount", F.lit(0)).cast("decimal(21,2)").alias("total_amount"), "error_count")

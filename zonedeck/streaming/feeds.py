@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,9 +18,39 @@ def consume_queue(stream: DataFrame, out: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).outputMode("append").start()
 
 
-def taken(run: StreamingQuery) -> int:
-    """Items that a finished run took from its queue."""
-    return sum(p["numInputRows"] for p in run.recentProgress)
+class QueueRun(NamedTuple):
+    query: StreamingQuery
+    out: str
+    batches: list[int]
+
+
+def consume_counted(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> QueueRun:
+    """The same with every batch in a folder of its own, so that a run can tell what it took.
+
+    A batch that is repeated after a failure replaces its own folder.  Of a run only its first and last batch number
+    are kept.  ``read_taken`` reads the items.
+    """
+    batches: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/taken_in={number}")
+        batches[:] = [min([number, *batches]), max([number, *batches])]
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
+    return QueueRun((writer.trigger(availableNow=True) if available_now else writer).start(), out, batches)
+
+
+def read_taken(spark: SparkSession, out: str) -> DataFrame:
+    """All items that ``consume_counted`` took, whatever run it was."""
+    return spark.read.parquet(out).drop("taken_in")
+
+
+def taken(run: QueueRun) -> int:
+    """Items of a finished run that reached its folder, counted there: the batches of the run, however many."""
+    if not run.batches:
+        return 0
+    stored = SparkSession.getActiveSession().read.parquet(run.out)
+    return stored.where(F.col("taken_in").between(*run.batches)).count()
 
 
 def queue_state(consumed: int) -> int:
@@ -60,6 +92,30 @@ def control_totals_stream(records: DataFrame, ts: str, status: str, amount: str,
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+#: Event time of the rows that close a stream: later than any other.
+CLOSING = "9999-01-01 00:00:00"
+
+
+def with_closing(records: DataFrame, folder: str) -> DataFrame:
+    """A stream of records that also takes what ``close_stream`` puts into a folder."""
+    spark = records.sparkSession
+    spark.createDataFrame([], records.schema).write.mode("append").parquet(folder)
+    return records.unionByName(spark.readStream.schema(records.schema).parquet(folder))
+
+
+def close_stream(spark: SparkSession, folder: str, schema, ts: str, start) -> None:
+    """Write the windows that are still open: nothing comes after this.
+
+    ``start`` starts the query once more over the same checkpoint.  A row of the far future moves the watermark past
+    every window; a second one makes a batch that sees it, writes the windows and drops their state.  The rows' own
+    window stays open and is never written.
+    """
+    for _ in range(2):
+        row = spark.range(1).select(*[F.lit(CLOSING if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema])
+        row.write.mode("append").parquet(folder)
+        start().awaitTermination()
+
+
 def control_totals_partials(records: DataFrame, ts: str, status: str, amount: str, out: str, checkpoint: str,
                             window: str = "1 day", available_now: bool = True) -> StreamingQuery:
     """Running control totals that never leave a row out, however late it comes, and hold no state.
