@@ -64,18 +64,29 @@ def _long_gap(e: Column, a: Column) -> Column:
             .otherwise(F.coalesce(exact, F.when(scale < 18, most), F.lit(0).cast(TOKEN))))
 
 
-def token_pairs(expected: Column, actual: Column) -> Column:
-    """Two token lists side by side with the difference; tokens may be of any length."""
-
+def short_pairs(expected: Column, actual: Column) -> Column:
+    """Two token lists side by side with the difference, which is NULL where a token has more digits than fit."""
     def pair(e, a):
         plain = F.abs(F.try_subtract(_exact(e), _exact(a))).try_cast(TOKEN)
-        gap = F.when(e == a, F.lit(0).cast(TOKEN)).otherwise(F.coalesce(plain, F.when(
-            e.isNotNull() & a.isNotNull(), _long_gap(e, a))))
-        return F.struct(e.alias("expected"), a.alias("actual"), gap.alias("diff"))
+        return F.struct(e.alias("expected"), a.alias("actual"), F.when(e == a, F.lit(0).cast(TOKEN)).otherwise(plain).alias("diff"))
 
     return F.zip_with(expected, actual, pair)
 
 
+def with_long_gaps(pairs: Column) -> Column:
+    """The same with the differences of longer tokens; lists that lack none stay as they are."""
+    lacks = lambda p: p["diff"].isNull() & p["expected"].isNotNull() & p["actual"].isNotNull()
+    filled = F.transform(pairs, lambda p: F.struct(
+        p["expected"].alias("expected"), p["actual"].alias("actual"),
+        F.when(lacks(p), _long_gap(p["expected"], p["actual"])).otherwise(p["diff"]).alias("diff")))
+    return F.when(F.exists(pairs, lacks), filled).otherwise(pairs)
+
+
+def token_pairs(expected: Column, actual: Column) -> Column:
+    """Two token lists side by side with the difference; tokens may be of any length."""
+    return with_long_gaps(short_pairs(expected, actual))
+
+
 def verdict(expected: Column, actual: Column, expected_tokens: Column, actual_tokens: Column, pairs: Column,
             tolerance: Column, strip_plus: bool = False) -> Column:
     """First rule that fails: counts, values (difference above the tolerance), comparability, labels."""

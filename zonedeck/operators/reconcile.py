@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonedeck.functions.compare import TOLERANCE, TOKEN, numeric_tokens, token_pairs, verdict
+from zonedeck.functions.compare import TOLERANCE, TOKEN, numeric_tokens, short_pairs, verdict, with_long_gaps
 
 
 def check_equivalence(pairs: DataFrame, expected: str = "expected", actual: str = "actual",
@@ -18,7 +18,8 @@ def check_equivalence(pairs: DataFrame, expected: str = "expected", actual: str
     e, a = F.col(expected), F.col(actual)
     # Each list is built in a projection of its own, so that what reads it does not extract it again.
     compared = (pairs.withColumn("_e_tokens", numeric_tokens(e)).withColumn("_a_tokens", numeric_tokens(a))
-                .withColumn("_pairs", token_pairs(F.col("_e_tokens"), F.col("_a_tokens"))))
+                .withColumn("_short", short_pairs(F.col("_e_tokens"), F.col("_a_tokens")))
+                .withColumn("_pairs", with_long_gaps(F.col("_short"))))
     located = F.transform(F.col("_pairs"), lambda p, i: F.struct(
         (i + 1).alias("token"), p["expected"].alias("expected"), p["actual"].alias("actual"), p["diff"].alias("diff")))
     judged = verdict(e, a, F.col("_e_tokens"), F.col("_a_tokens"), F.col("_pairs"), limit, strip_plus)
@@ -26,7 +27,7 @@ def check_equivalence(pairs: DataFrame, expected: str = "expected", actual: str
             .withColumn("tokens", F.size("_e_tokens"))
             .withColumn("diffs", F.when(F.col("verdict") == "value_mismatch",
                                         F.filter(located, lambda d: d["diff"] > limit)))
-            .drop("_pairs", "_e_tokens", "_a_tokens"))
+            .drop("_pairs", "_short", "_e_tokens", "_a_tokens"))
 
 
 def diff_rows(checked: DataFrame, keys: list[str]) -> DataFrame:
