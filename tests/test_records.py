@@ -141,6 +141,35 @@ def test_overwrite_replaces_files(spark, tmp_path):
     assert X.read_records(spark, str(tmp_path / "o"), 4).count() == 3
 
 
+def test_only_listed_files_are_read(spark, tmp_path):
+    """Files of a job without a manifest, or that its manifest leaves out, do not count; files from elsewhere do."""
+    rec = lambda n: spark.range(0, n, 1, 2).select(F.encode(F.lpad(F.col("id").cast("string"), 4, "0"), "US-ASCII").alias("rec"))
+    path = str(tmp_path / "o")
+    X.write_records(rec(10), 4, path)
+    job = "a" * 32
+    (tmp_path / "o" / f"part-0000000000-{job}-{'b' * 32}.bin").write_bytes(b"lost")
+    assert X.read_records(spark, path, 4).count() == 10
+    (tmp_path / "o" / "other.bin").write_bytes(b"more")
+    X.write_records(rec(5), 4, path, mode="append")
+    assert X.read_records(spark, path, 4).count() == 16
+    assert X.read_records(spark, path + "/part*.bin", 4).count() == 15
+    X.write_records(rec(3), 4, path, mode="overwrite")
+    assert X.read_records(spark, path, 4).count() == 3
+    assert len(glob.glob(f"{path}/_manifest-*.json")) == 1 and not glob.glob(f"{path}/other.bin")
+
+
+def test_a_replaced_job_stops_counting_before_its_files_go(spark, tmp_path):
+    import json
+
+    path = tmp_path / "r"
+    path.mkdir()
+    for job, text, replaces in (("a" * 32, b"old1", []), ("c" * 32, b"new1", ["a" * 32])):
+        name = f"part-0000000000-{job}-{'b' * 32}.bin"
+        (path / name).write_bytes(text)
+        (path / f"_manifest-{job}.json").write_text(json.dumps({"files": [name], "replaces": replaces}))
+    assert [bytes(r.rec) for r in X.read_records(spark, str(path), 4).collect()] == [b"new1"]
+
+
 def test_wrong_length_is_refused(spark, tmp_path):
     rec = spark.range(3).select(F.encode(F.lit("abc"), "US-ASCII").alias("rec"))
     with pytest.raises(Exception, match="must have 4 bytes"):

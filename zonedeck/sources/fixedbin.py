@@ -8,12 +8,18 @@ Options: ``path`` (file, folder or glob; local or any URI pyarrow can open),
 ``reclen``, ``splitbytes``, ``mode`` (``failfast`` or ``permissive``) and
 ``filecolumn`` (adds the source file's name).  ``rrn`` counts from 1 through all files in
 name order; the start of each file follows from the sizes of those before it.
+
+Writing: tasks write files under their final names, and a job commits by one small manifest that lists them.  Readers
+see a file of a job only if a manifest of its folder lists it, so a failed job or a lost task leaves nothing that is
+read, and nothing is moved.  Files that came from elsewhere need no manifest.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import posixpath
+import re
 import sys
 import uuid
 from dataclasses import dataclass
@@ -38,7 +44,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_BYTES = 8 << 20
 SPLIT_BYTES = 128 << 20
-STAGING = "_temporary"
+#: Files that a job writes, with the job's id, and the manifests that make them count.
+OWN_FILE = re.compile(r"part-\d{10,}-([0-9a-f]{32})-[0-9a-f]{32}\.bin")
+MANIFEST = re.compile(r"_manifest-([0-9a-f]{32})\.json")
 
 
 def open_filesystem(path: str):
@@ -50,27 +58,48 @@ def open_filesystem(path: str):
     return fs.LocalFileSystem(), path
 
 
+def _manifests(system, files) -> dict[str, dict[str, set[str]]]:
+    """For each folder the jobs that count there and the files of each; a job can stand in for earlier ones."""
+    found: dict[str, dict[str, set[str]]] = {}
+    replaced: set[tuple[str, str]] = set()
+    for f in files:
+        folder, name = posixpath.split(f.path)
+        if match := MANIFEST.fullmatch(name):
+            with system.open_input_file(f.path) as source:
+                content = json.loads(source.read())
+            found.setdefault(folder, {})[match[1]] = set(content["files"])
+            replaced.update((folder, job) for job in content["replaces"])
+    return {folder: {job: names for job, names in jobs.items() if (folder, job) not in replaced}
+            for folder, jobs in found.items()}
+
+
 def list_files(path: str) -> list[tuple[str, int]]:
-    """Data files below a path, at any depth, with their sizes, in name order; hidden names are skipped."""
+    """Data files below a path, at any depth, with their sizes, in name order; hidden and uncommitted ones are skipped."""
     from pyarrow import fs
 
     system, root = open_filesystem(path)
+    pattern = None
     if any(c in root for c in "*?["):
-        folder, pattern = posixpath.split(root)
-        found = system.get_file_info(fs.FileSelector(folder))
-        found = [f for f in found if fnmatch.fnmatch(posixpath.basename(f.path), pattern)]
+        root, pattern = posixpath.split(root)
+        everything = [f for f in system.get_file_info(fs.FileSelector(root))]
     else:
         info = system.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(path)
-        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-    base = root.rstrip("/") if not any(c in root for c in "*?[") else posixpath.dirname(root)
+        if info.type == fs.FileType.File:
+            return [(info.path, info.size)]
+        everything = system.get_file_info(fs.FileSelector(root, recursive=True))
+    base = root.rstrip("/")
+    committed = _manifests(system, everything)
 
-    def shown(path: str) -> bool:
-        below = path[len(base):] if path.startswith(base) and path != base else posixpath.basename(path)
-        return not any(p.startswith(("_", ".")) for p in below.split("/") if p)
+    def shown(file: str) -> bool:
+        folder, name = posixpath.split(file)
+        if any(p.startswith(("_", ".")) for p in file[len(base):].split("/") if p) or pattern and not fnmatch.fnmatch(name, pattern):
+            return False
+        own = OWN_FILE.fullmatch(name)
+        return not own or name in committed.get(folder, {}).get(own[1], ())
 
-    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and shown(f.path))
+    return sorted((f.path, f.size) for f in everything if f.type == fs.FileType.File and shown(f.path))
 
 
 @dataclass
@@ -163,14 +192,13 @@ class FixedReader(DataSourceReader):
 
 
 @dataclass
-class Staged(WriterCommitMessage):
+class Written(WriterCommitMessage):
     name: str
     records: int
-    size: int
 
 
 class FixedWriter(DataSourceArrowWriter):
-    """Tasks write to a staging folder under a name of their own; only committed files are moved out."""
+    """Tasks write files that nobody reads yet; the manifest of the job makes those of the successful ones count."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.path = options["path"]
@@ -178,24 +206,18 @@ class FixedWriter(DataSourceArrowWriter):
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex
 
-    def _staging(self, root: str) -> str:
-        return posixpath.join(root, STAGING, self.job)
-
     def write(self, batches):
         from pyspark import TaskContext
 
         system, root = open_filesystem(self.path)
-        folder = self._staging(root)
-        system.create_dir(folder, recursive=True)
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():010d}-{uuid.uuid4().hex}.bin"
-        records = size = 0
-        with system.open_output_stream(posixpath.join(folder, name)) as sink:
+        system.create_dir(root, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():010d}-{self.job}-{uuid.uuid4().hex}.bin"
+        records = 0
+        with system.open_output_stream(posixpath.join(root, name)) as sink:
             for batch in batches:
                 sink.write(self._payload(batch.column(batch.schema.get_field_index("rec"))))
                 records += batch.num_rows
-                size += batch.num_rows * self.reclen
-        return Staged(name, records, size)
+        return Written(name, records)
 
     def _payload(self, column):
         """The batch's bytes as one buffer, after checking that every record has the right length."""
@@ -210,27 +232,44 @@ class FixedWriter(DataSourceArrowWriter):
         return column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
 
     def commit(self, messages):
+        """One small file; what a job replaces stops counting with it and is deleted afterwards."""
+        from pyarrow import fs
+
         system, root = open_filesystem(self.path)
         system.create_dir(root, recursive=True)
+        before = system.get_file_info(fs.FileSelector(root)) if self.overwrite else []
         old = [file for file, _ in list_files(self.path)] if self.overwrite else []
-        for m in messages:
-            if m is not None and m.records:
-                system.move(posixpath.join(self._staging(root), m.name), posixpath.join(root, m.name))
-        for file in old:
-            system.delete_file(file)
-        self._drop_staging(system, root)
+        jobs = [m[1] for f in before if (m := MANIFEST.fullmatch(posixpath.basename(f.path)))]
+        content = {"files": [m.name for m in messages if m is not None and m.records], "replaces": jobs}
+        final = posixpath.join(root, f"_manifest-{self.job}.json")
+        with system.open_output_stream(final + ".part") as sink:
+            sink.write(json.dumps(content).encode())
+        system.move(final + ".part", final)
+        self._clear(system, root, old, jobs, {m.name for m in messages if m is not None and m.records})
         with system.open_output_stream(posixpath.join(root, "_SUCCESS")):
             pass
 
+    def _clear(self, system, root, old, jobs, kept):
+        """Delete what no longer counts: replaced files, then their manifests, and what failed attempts left behind."""
+        for file in old:
+            system.delete_file(file)
+        for job in jobs:
+            system.delete_file(posixpath.join(root, f"_manifest-{job}.json"))
+        self._drop_own(system, root, kept)
+
     def abort(self, messages):
         system, root = open_filesystem(self.path)
-        self._drop_staging(system, root)
+        self._drop_own(system, root, set())
 
-    def _drop_staging(self, system, root):
+    def _drop_own(self, system, root, kept):
         from pyarrow import fs
 
-        if system.get_file_info(self._staging(root)).type == fs.FileType.Directory:
-            system.delete_dir(self._staging(root))
+        if system.get_file_info(root).type != fs.FileType.Directory:
+            return
+        for f in system.get_file_info(fs.FileSelector(root)):
+            own = OWN_FILE.fullmatch(posixpath.basename(f.path))
+            if own and own[1] == self.job and posixpath.basename(f.path) not in kept:
+                system.delete_file(f.path)
 
 
 class FixedBinary(DataSource):
