@@ -68,6 +68,10 @@ def test_divisors_of_any_size(spark):
     assert divided("10.00", "3") == (Decimal("3.33"), Decimal("0.01"))
     assert divided("-10.00", "3") == (Decimal("-3.33"), Decimal("-0.01"))
     assert divided("1.00", "0")[0] is None
+    fine = one(spark, *B.divide_remainder(F.lit("2").cast("decimal(3,2)"), F.lit("0.00000000001").cast("decimal(20,11)"), 14, 2))
+    assert [Decimal(x) for x in fine] == [200_000_000_000, 0]
+    fine = one(spark, *B.divide_remainder(F.lit("1").cast("decimal(3,2)"), F.lit("3.000000000000003").cast("decimal(20,15)"), 9, 6))
+    assert Decimal(fine[0]) == Decimal("0.333333") and Decimal(fine[1]) == 1 - Decimal("0.333333") * Decimal("3.000000000000003")
 
 
 def test_insert_without_a_key(spark):

@@ -9,7 +9,7 @@ from zonedeck.operators import cells
 from zonedeck.operators import programs as S
 from zonedeck.operators import retrieve as R
 from zonedeck.operators import training as T
-from zonedeck.sources.corpus import load_corpus, load_knowledge
+from zonedeck.sources.corpus import load_corpus, load_knowledge, load_programs, store_programs
 from zonedeck.streaming import feeds
 
 CICS = "       EXEC CICS READ\n           FILE('CUSTOMER')\n       END-EXEC\n"
@@ -175,6 +175,24 @@ def test_load_corpus(spark, tmp_path):
         "a.cob": "line 1\nline 2\n", "b.cob": "other"}
 
 
+def test_many_programs_in_few_files(spark, tmp_path):
+    """Splits cut files anywhere; programs come back whole, with empty ones and all line ends."""
+    rows = [("", ""), ("a b", "\n"), ("c", "line\r\n\n x \x1e\n"), ("é", "漢😀"), ("last", "\x1d")]
+    rows += [(f"p{i}", f"       PROGRAM {i}.\n" * (i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    store_programs(df, str(tmp_path / "s"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        back = load_programs(spark, str(tmp_path / "s"))
+        assert back.rdd.getNumPartitions() > 50 and len(list((tmp_path / "s").glob("part-*"))) == 3
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for key, text in (("a\nb", "x"), ("k", "x\x1e\x1d\ny"), (None, "x"), ("k", None)):
+        with pytest.raises(Exception, match="cannot be stored"):
+            store_programs(spark.createDataFrame([(key, text)], "path string, text string"), str(tmp_path / f"bad{key}{text is None}"))
+
+
 def test_load_knowledge_refuses_repeats(spark, tmp_path):
     line = '{"id": "a", "topic": "t", "tags": ["x"], "text": "a text that is long enough"}\n'
     (tmp_path / "ok.json").write_text(line)

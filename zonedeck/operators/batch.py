@@ -37,16 +37,25 @@ def report_lines(totals: DataFrame) -> DataFrame:
         text.edited_amount(F.col("total_amount"), 9)))
 
 
-def divide_remainder(dividend: Column, divisor: Column, digits: int, scale: int) -> tuple[Column, Column]:
-    """Quotient cut (never rounded) to its picture, and what is left over; NULL for a zero divisor."""
-    # Ten decimals of either operand; the quotient then has at least as many as the picture.
-    over, under = dividend.try_cast("decimal(28,10)"), divisor.try_cast("decimal(28,10)")
+def _cut_quotient(dividend: Column, divisor: Column, digits: int, scale: int, kind: str, back: str) -> Column:
+    over, under = dividend.try_cast(kind), divisor.try_cast(kind)
     quotient = store(F.try_divide(over, under), digits, scale, "truncate")
     # A quotient of few decimals may have been rounded up on its way; it never takes more than there is.
     step = F.lit(f"1e-{scale}").cast(f"decimal({digits},{scale})")
-    back = (quotient * under).try_cast("decimal(38,12)")
-    quotient = F.when(F.abs(back) > F.abs(over), quotient - F.signum(quotient).cast("int") * step).otherwise(quotient).try_cast(
+    taken = (quotient * under).try_cast(back)
+    return F.when(F.abs(taken) > F.abs(over), quotient - F.signum(quotient).cast("int") * step).otherwise(quotient).try_cast(
         f"decimal({digits},{scale})")
+
+
+def divide_remainder(dividend: Column, divisor: Column, digits: int, scale: int) -> tuple[Column, Column]:
+    """Quotient cut (never rounded) to its picture, and what is left over; NULL for a zero divisor.
+
+    Operands are taken with ten decimals, which leaves the quotient at least as many; operands that have more, with
+    eighteen, which leaves it six.
+    """
+    coarse = F.coalesce((dividend.try_cast("decimal(28,10)") == dividend) & (divisor.try_cast("decimal(28,10)") == divisor), F.lit(True))
+    quotient = F.when(coarse, _cut_quotient(dividend, divisor, digits, scale, "decimal(28,10)", "decimal(38,12)")).otherwise(
+        _cut_quotient(dividend, divisor, digits, scale, "decimal(38,18)", "decimal(38,18)"))
     return quotient, F.try_subtract(dividend, F.try_multiply(quotient, divisor))
 
 

@@ -12,6 +12,8 @@ from zonedeck.plans import carriers as C
 from zonedeck.plans.registry import query
 from zonedeck.session import shared_dir, spread, staged
 from zonedeck.sources.corpus import load_corpus as read_corpus
+from zonedeck.sources.corpus import load_programs as read_programs
+from zonedeck.sources.corpus import store_programs
 
 
 def programs(spark, sf_dir):
@@ -53,6 +55,15 @@ def load_corpus(spark, sf_dir):
     return loaded.select(number.alias("path"), F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
 
 
+@query("load_programs", f"SELECT path, length(text) AS size, md5(text) AS digest FROM {C.PROGRAMS.sql}")
+def load_programs(spark, sf_dir):
+    """All programs stored in as many files as there are tasks, and read back in splits."""
+    folder = shared_dir(spark, "packed-programs")
+    store_programs(programs(spark, sf_dir), folder)
+    return read_programs(spark, folder).select(F.col("path").cast("bigint").alias("path"),
+                                               F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
+
+
 @query("detect_constructs", f"""
     SELECT path, {_has(P.COMMAND_BLOCK)} AS cics, {_VSAM} AS vsam FROM {C.PROGRAMS.sql}""")
 def detect_constructs(spark, sf_dir):

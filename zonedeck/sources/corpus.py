@@ -15,6 +15,32 @@ def load_corpus(spark: SparkSession, pattern: str) -> DataFrame:
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
+#: Stands between programs that share a file; no program may contain it.
+SEPARATOR = "\x1e\x1d\n"
+
+
+def store_programs(corpus: DataFrame, folder: str, key: str = "path", text: str = "text") -> None:
+    """Write programs one after the other, one file per task: the key on a line of its own, then the text.
+
+    A key with a line end, a NULL, or a text that contains the separator raises.
+    """
+    k, t = F.col(key).cast("string"), F.col(text)
+    broken = k.isNull() | t.isNull() | F.contains(k, F.lit("\n")) | F.contains(F.concat(k, t), F.lit(SEPARATOR))
+    value = F.when(~broken, F.concat(k, F.lit("\n"), t)).otherwise(
+        F.raise_error(F.concat(F.lit("cannot be stored: "), F.coalesce(k, F.lit("a program without a key")))).cast("string"))
+    corpus.select(value.alias("value")).write.option("lineSep", SEPARATOR).text(folder)
+
+
+def load_programs(spark: SparkSession, path: str) -> DataFrame:
+    """``path, text`` of programs that ``store_programs`` wrote.
+
+    A file is read in splits, each from the first separator in it on, so many programs in few files spread over all tasks.
+    """
+    rows = spark.read.option("lineSep", SEPARATOR).text(path)
+    at = F.instr("value", "\n")
+    return rows.select(F.left("value", at - 1).alias("path"), F.substring("value", at + 1, F.length("value")).alias("text"))
+
+
 def audit_knowledge(chunks: DataFrame) -> DataFrame:
     """One row of counts: notes, missing keys, short texts, ids used more than once."""
     missing = F.col("id").isNull() | F.col("topic").isNull() | F.col("tags").isNull() | F.col("text").isNull()
