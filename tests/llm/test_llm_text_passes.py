@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import helpers
@@ -147,6 +148,52 @@ def test_model_adds_spans_like_the_base_ones(spark):
     assert not found[1000].added and not found[1000].base and not found[450].added
 
 
+def all_spans(text):
+    """Base spans and everything that the looser patterns propose, kind by kind."""
+    base = helpers.base_spans(text)
+    found = {(k, a, b) for k, a, b in base}
+    for m in re.finditer(r"\+?\(?[0-9](?:[\x20()./-]{0,3}[0-9])+", text):
+        n = sum(c in "0123456789" for c in m[0])
+        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m[0]):
+            kinds = ["ip"]
+        else:
+            kinds = ["card"] * (12 <= n <= 19) + ["phone"] * (7 <= n <= 15)
+        glued = re.search("[A-Za-z0-9]$", text[:m.start()]) or re.match("[A-Za-z0-9]", text[m.end():])
+        for kind in kinds:
+            if not glued and not any(k == kind and a <= m.start() and b >= m.end() for k, a, b in base):
+                found.add((kind, m.start(), m.end()))
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]+)+", text):
+        if not re.search("[A-Za-z0-9]$", text[:m.start()]) and not re.match("[A-Za-z0-9]", text[m.end():]):
+            found.add(("email", m.start(), m.end()))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2])))
+
+
+def test_proposals_by_brute_force(spark, monkeypatch, tmp_path):
+    """With a model that takes everything, the spans are the base spans and all proposals."""
+    monkeypatch.setattr(pii, "fit", lambda found, most=0: ("1.0D", 0.0))
+    random.seed(44)
+    alphabet = "0123456789012345678901234567890123456789.+-() aé_/"
+    texts = ["ring 0049 30 1234567 or 0044 20 7946 0958.", "+49 30/1234567", "4111 1111 1111 1111", "4111 1111 1111 1112",
+             "192.168.100.200 and 999.1.2.3", "joe (at) mail [dot] org", "+1 (319) 555-5132", "id 20240115123000x"]
+    texts += ["".join(random.choice(alphabet) for _ in range(random.randint(0, 70))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.op4_pii(spark, str(tmp_path)).collect()}
+    assert got == {i: all_spans(t) for i, t in enumerate(texts)}
+
+
+def test_numbers_without_a_plus_are_decided_by_the_trees(spark):
+    """Planted phone numbers in the words of real ones are added, order numbers that look alike are not."""
+    random.seed(45)
+    digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+    rows = [(i, f"please phone +49 {digits(2)} {digits(7)} today") for i in range(200)]
+    rows += [(300 + i, f"order number {digits(16)} and {digits(18)}z") for i in range(200)]
+    rows += [(600, "please phone 0049 30 1234567 today"), (601, "please phone 0044 20 7946 0958 today")]
+    found = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [s.kind for s in found[600].added] == [4] and [s.kind for s in found[601].added] == [4]
+    assert sum(len(found[300 + i].added) for i in range(200)) <= 4
+
+
 def test_redaction(spark, nasty):
     rows = [(1, "é mail a.b@c.org or +1 (319) 555-5132, host 10.0.0.1."), (2, None), (3, "plain"), (4, "+4111 1111 1111 1111")]
     done = pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
