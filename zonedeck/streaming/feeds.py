@@ -22,6 +22,7 @@ class QueueRun(NamedTuple):
     query: StreamingQuery
     out: str
     batches: list[int]
+    spark: SparkSession
 
 
 def consume_counted(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> QueueRun:
@@ -37,7 +38,7 @@ def consume_counted(stream: DataFrame, out: str, checkpoint: str, available_now:
         batches[:] = [min([number, *batches]), max([number, *batches])]
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
-    return QueueRun((writer.trigger(availableNow=True) if available_now else writer).start(), out, batches)
+    return QueueRun((writer.trigger(availableNow=True) if available_now else writer).start(), out, batches, stream.sparkSession)
 
 
 def read_taken(spark: SparkSession, out: str) -> DataFrame:
@@ -49,8 +50,7 @@ def taken(run: QueueRun) -> int:
     """Items of a finished run that reached its folder, counted there: the batches of the run, however many."""
     if not run.batches:
         return 0
-    stored = SparkSession.getActiveSession().read.parquet(run.out)
-    return stored.where(F.col("taken_in").between(*run.batches)).count()
+    return run.spark.read.parquet(run.out).where(F.col("taken_in").between(*run.batches)).count()
 
 
 def queue_state(consumed: int) -> int:
