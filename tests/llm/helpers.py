@@ -72,14 +72,19 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether at most one insertion, deletion or substitution turns one text into the other."""
-    if abs(len(a) - len(b)) > 1:
+def few_edits(a: str, b: str, most: int = 2) -> bool:
+    """Whether at most so many insertions, deletions and substitutions turn one text into the other."""
+    if abs(len(a) - len(b)) > most:
         return False
-    if len(a) > len(b):
-        a, b = b, a
-    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[i + (len(a) == len(b)):] == b[i + 1:]
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        if min(row) > most:
+            return False
+        before = row
+    return before[-1] <= most
 
 
 def dedup_lines(docs: list[tuple[int | None, str | None]], near_chars: int = 20) -> list[tuple]:
@@ -97,7 +102,7 @@ def dedup_lines(docs: list[tuple[int | None, str | None]], near_chars: int = 20)
     long = [x for x in texts if len(x) >= near_chars]
     for p, x in enumerate(long):
         for y in long[:p]:
-            if one_edit(x, y):
+            if few_edits(x, y):
                 label[find(x)] = find(y)
     first: dict[str, tuple] = {}
     for no_id, i, r, k, x in lines:

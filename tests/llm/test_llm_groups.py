@@ -170,6 +170,58 @@ def test_lines_by_brute_force(spark, monkeypatch):
         repr((r.doc_id, r.n_lines, r.n_removed, r.kept or "")) for r in got)
 
 
+def classes_of(n, pairs):
+    """The least member of each one's class."""
+    label = list(range(n))
+
+    def find(i):
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_crowded_lines_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 2)
+    monkeypatch.setattr(lines, "LEAF", 3)
+    random.seed(21)
+    letters = lambda n: "".join(random.choice("abcdé😀 ") for _ in range(n))
+    texts = {letters(30) for _ in range(10)}
+    for base in (letters(24), letters(41), letters(95), letters(200)):
+        for _ in range(70):
+            x = base
+            for _ in range(random.choice([0, 1, 1, 2, 2, 3, 4])):
+                x = edited(x)
+            texts.add(x)
+    texts |= {f"order {i:04d} of the day was sent out" for i in range(0, 2000, 37)}
+    texts |= {f"{i % 7}{i // 7 % 7} at both ends of a line {i // 49}{i % 5}" for i in range(0, 300, 4)}
+    texts |= {"a" * n for n in range(20, 40)} | {"a" * n + "b" + "a" * (30 - n) for n in range(0, 31, 3)}
+    texts = sorted(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, line string").withColumn("n", F.char_length("line"))
+    got = {(r.u, r.v) for r in lines.near_pairs(df).collect()}
+    near = {(i, j) for j in range(len(texts)) for i in range(j)
+            if min(len(texts[i]), len(texts[j])) >= 18 and helpers.few_edits(texts[i], texts[j])}
+    assert got <= near
+    assert classes_of(len(texts), got) == classes_of(len(texts), near)
+
+
+def test_large_crowds_are_linked_in_proportion(spark):
+    rows = [(i, f"record {i:05d} was written to the file of the day") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id bigint, line string").withColumn("n", F.char_length("line"))
+    got = [(r.u, r.v) for r in lines.near_pairs(df).collect()]
+    assert len(got) < 100 * len(rows) and len(set(classes_of(len(rows), got))) == 1
+
+
+def test_output_names_that_are_taken(nasty):
+    for rows in (lines.dedup_lines(nasty), substrings.remove_repeats(nasty)):
+        assert rows.columns[:len(nasty.columns)] == nasty.columns and "kept_" in rows.columns
+        assert len({c.lower() for c in rows.columns}) == len(rows.columns) and rows.count() == len(NASTY)
+
+
 def test_edit_automaton(spark):
     random.seed(9)
     pairs = []

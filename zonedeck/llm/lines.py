@@ -1,19 +1,22 @@
 """Near-duplicate lines by a segment-partition edit join, with DataFrame functions alone.
 
-Lines with a word are linked if they are equal, or if both have at least ``NEAR_CHARS`` code points and one insertion,
-deletion or substitution of a code point turns one into the other.  Linked lines form classes; the first line of a class,
-by document id and place, stays and the others go.
-
-A line is cut into threshold-plus-one, that is two, segments.  Two lines within the threshold share a segment at a place
-that their lengths give, so lines are indexed by their own segments and probe the segments of lines one shorter.  A
-segment shared by more than ``HOT`` rows is not paired up: its lines move on to keys of everything but one block of
-the line (at most ``BLOCKS`` blocks each), and where such a key is shared by many too, to keys with the block's words
-short of one code point.  Only there all rows of a key are paired; such a key has at most as many lines as there are
-ways to put one code point into a block.  Pairs are verified by a banded bit-parallel automaton, whose state holds one
-bit for each diagonal and number of errors.
-
-Nulls and texts without words have no lines.  Null ids come last in the order.  Rows equal in id and text count as one
-document; otherwise repeated ids are documents of their own.  An empty table gives an empty table.
+Lines with a word are linked if they are equal, or if both have at least ``NEAR_CHARS`` code points and at most two
+insertions, deletions or substitutions of a code point turn one into the other.  Linked lines form classes; the first line
+of a class, by document id and place, stays and the others go.
+
+A line is cut into threshold-plus-one, that is three, segments.  Two lines within the threshold share a segment at a place
+that their lengths give, up to a shift of one for the middle one, so lines are indexed by their own segments and probe
+those of lines up to two shorter.  A segment shared by more than ``HOT`` rows is not paired up.  Its lines move on to keys
+of all but two of six blocks, and where such a key is shared by many too, to parts of these two blocks, until a block has
+``LEAF`` code points.  There lines are indexed by what is left of the blocks without the edits: all lines of such a key
+are linked to one of them, so that no step pairs all rows of a large key.  Pairs are verified by a banded bit-parallel
+automaton, whose state holds one bit for each diagonal and number of errors; pairs whose counts of letters differ in more
+than two edits can make are dropped before.
+
+Nulls and texts without words have no lines.  Very long texts and lines are treated like others: a line is a string of its
+own, and a text is put together from what stands between removed lines.  Null ids come last in the order.  Rows equal in id
+and text count as one document; otherwise repeated ids are documents of their own.  An empty table gives an empty table.
+Other columns pass through; where one has the name of an output, the output gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from zonedeck.llm.components import connected_components
 from zonedeck.llm.frames import discard, free_name, staged
 
-#: Edit threshold, least length of lines that match other than exactly.
-ERRORS, NEAR_CHARS = 1, 20
-#: Rows of a key that are paired up, least code points of a block, most blocks of a line.
-HOT, BLOCK, BLOCKS = 32, 8, 64
+#: Edit threshold (the keys of crowded segments are made for two), least length of lines that match other than exactly.
+ERRORS, NEAR_CHARS = 2, 20
+#: Rows of a key that are paired up, code points of a block that is not cut further.
+HOT, LEAF = 32, 8
+#: Letters whose counts tell pairs apart before they are compared.
+LETTERS = "etaoinsrhldcumpgbfvwyk. 0123456789"
 
 
 def within(a: Column, b: Column, errors: int = ERRORS) -> Column:
@@ -75,83 +80,200 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _segment_keys(lines: DataFrame) -> DataFrame:
-    """``key, id, own``: the segments of each line, and what it probes the segments of shorter lines with."""
-    n, line = F.col("n"), F.col("line")
-    half, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    rest = lambda at: F.substring(line, at + 1, F.lit(1 << 30))
-    keys = F.array(
-        F.struct(F.xxhash64(n, F.lit(0), F.left(line, half)).alias("key"), F.lit(True).alias("own")),
-        F.struct(F.xxhash64(n, F.lit(1), rest(half)).alias("key"), F.lit(True).alias("own")),
-        F.struct(F.xxhash64(n - 1, F.lit(0), F.left(line, short)).alias("key"), F.lit(False).alias("own")),
-        # One character more stands before the second segment than in the shorter line.
-        F.struct(F.xxhash64(n - 1, F.lit(1), rest(short + 1)).alias("key"), F.lit(False).alias("own")))
-    return lines.select("id", F.inline(keys)).select("key", "id", "own")
+def _tail(text: Column, at: Column) -> Column:
+    """All from the zero-based place on."""
+    return F.substring(text, at + 1, F.lit(1 << 30))
 
 
-def _block_keys(lines: DataFrame) -> DataFrame:
-    """``key, id, own, block``: for each block of a line the hash of all that stands before and after it."""
-    n, line = F.col("n"), F.col("line")
+def _cut(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
 
-    def keys(length: Column, own: bool) -> Column:
-        size = F.greatest(F.lit(BLOCK), F.ceil(length / BLOCKS).cast("int"))
-        return F.transform(F.sequence(F.lit(0), length, size), lambda p: F.struct(
-            F.xxhash64(length, p, F.left(line, p), F.right(line, F.greatest(F.lit(0), length - p - size))).alias("key"),
-            F.lit(own).alias("own"),
-            F.substring(line, p + 1, n - p - F.greatest(F.lit(0), length - p - size)).alias("block")))
 
-    return lines.select("id", F.inline(F.concat(keys(n, True), keys(n - 1, False)))).select("key", "id", "own", "block")
+def _segment_keys(lines: DataFrame, segment: int) -> DataFrame:
+    """``key, id, own``: one segment of each line, and what it probes that segment of lines up to two shorter with."""
+    keys = []
+    for shorter in range(ERRORS + 1):
+        m, left = F.col("n") - shorter, ERRORS - segment
+        start, end = (F.floor(m * k / (ERRORS + 1)).cast("int") for k in (segment, segment + 1))
+        for shift in range(max(-segment, shorter - left), min(segment, shorter + left) + 1):
+            keys.append(F.struct(F.xxhash64(m, F.lit(segment), _cut(F.col("line"), start + shift, end + shift)).alias("key"),
+                                 F.lit(shorter == shift == 0).alias("own")))
+    return lines.select("id", F.inline(F.array(*keys))).select("key", "id", "own")
 
 
-def _shorter_keys(blocks: DataFrame) -> DataFrame:
-    """``key, id, own``: each key with its block, and with every way to leave one code point of the block out."""
-    block = F.col("block")
-    cut = F.transform(F.sequence(F.lit(0), F.char_length(block)), lambda i: F.concat(
-        F.left(block, i), F.substring(block, i + 2, F.lit(1 << 30))))
-    return blocks.select("id", "own", F.col("key").alias("outer"), F.explode(F.array_distinct(cut)).alias("cut")).select(
-        F.xxhash64("outer", "cut").alias("key"), "id", "own").distinct()
+#: How the two blocks that hold the edits lie: how much longer the probing line is, blocks x < y, shift between them.
+#: Both edits in one block, or in neighbours, need no shift; otherwise each block has one edit.
+_SPLITS = [(d, x, y, s) for d in range(3) for x in range(6) for y in range(x + 1, 6)
+           for s in ((0,) if y == x + 1 else ((0, 1, -1), (0, 1), (1,))[d])]
 
 
-def _pairs(keys: DataFrame) -> DataFrame:
-    """Pairs of a line with another that has the same key as its own."""
-    other = keys.where("own").select("key", F.col("id").alias("v"))
-    return keys.select("key", F.col("id").alias("u"), "own").join(other, "key").where("u <> v and (not own or u < v)").select(
-        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+def _block_keys(rows: DataFrame, payload: bool) -> DataFrame:
+    """Keys of all but two blocks (or of all but two parts of two blocks) of each row, with the blocks if asked for.
 
-
-def _cold_and_hot(keys: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys with at most ``HOT`` rows, and of keys with more; keys that nothing can match are in neither.
-
-    ``keys`` is a staged table, which goes once it is read.
+    A row has ``p`` and, beside it, ``q``, the blocks in which a line may differ from lines of the same ``key``; ``a``
+    and ``b`` are their lengths in the lines that are probed.  Without ``q``, ``p`` has up to two edits; with it, both have
+    at most one.
+    """
+    key, own, p, q, a, b = (F.col(c) for c in ("key", "own", "p", "q", "a", "b"))
+
+    def made(key, own, p, q, a, b):
+        fields = [key.alias("key"), own.alias("own")]
+        if payload:
+            fields += [p.alias("p"), q.alias("q"), a.cast("int").alias("a"), b.cast("int").alias("b")]
+        return F.struct(*fields)
+
+    longer = F.char_length(p) - a
+
+    def one(x):
+        c = lambda k: F.floor(a * k / 6).cast("int")
+        near = x["y"] == x["x"] + 1
+        start, after = c(x["x"]), c(x["y"] + 1) + longer
+        end = F.when(near, after).otherwise(c(x["x"] + 1) + x["s"])
+        again = F.when(near, after).otherwise(c(x["y"]) + x["s"])
+        return made(F.xxhash64(key, a, x["x"], x["y"], F.left(p, start), _cut(p, end, again), _tail(p, after)),
+                    own & (x["s"] == 0), _cut(p, start, end), F.when(~near, _cut(p, again, after)),
+                    F.when(near, c(x["y"] + 1) - start).otherwise(c(x["x"] + 1) - start),
+                    F.when(near, F.lit(0)).otherwise(c(x["y"] + 1) - c(x["y"])))
+
+    def two(x):
+        third = lambda n, k: F.floor(n * k / 3).cast("int")
+        low, high = third(a, x["i"]), third(a, x["i"] + 1)
+        low_q, high_q = third(b, x["j"]), third(b, x["j"] + 1)
+        end, end_q = high + longer, high_q + F.char_length(q) - b
+        return made(F.xxhash64(key, a, b, x["i"], x["j"], F.left(p, low), _tail(p, end), F.left(q, low_q), _tail(q, end_q)),
+                    own, _cut(p, low, end), _cut(q, low_q, end_q), high - low, high_q - low_q)
+
+    literal = lambda names, values: F.array(*[F.struct(*[
+        F.lit(v).alias(n) for n, v in zip(names, row)]) for row in values])
+    splits = F.filter(literal(("d", "x", "y", "s"), _SPLITS), lambda x: x["d"] == longer)
+    parts = literal(("i", "j"), [(i, j) for i in range(3) for j in range(3)])
+    keys = F.when(q.isNull(), F.transform(splits, one)).otherwise(F.transform(parts, two))
+    return rows.select("id", F.inline(keys))
+
+
+def _leaf_keys(rows: DataFrame) -> DataFrame:
+    """``key, id, own``: what is left of the short blocks of a row without two edits.
+
+    All lines of a key are within two edits of each of its own ones: both leave out the same places, or one has what the
+    other leaves out.
     """
-    counts = staged(keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), purpose)
-    found = staged(keys.join(counts, "key"), purpose)
-    discard(keys, counts)
-    return found.where(F.col("rows") <= HOT).drop("rows"), found.where(F.col("rows") > HOT).drop("rows")
+    key, own, p, q, a, b = (F.col(c) for c in ("key", "own", "p", "q", "a", "b"))
+    places = lambda t: F.sequence(F.lit(0), F.char_length(t) - 1)
+    without = lambda t: F.transform(places(t), lambda i: F.concat(F.left(t, i), _tail(t, i + 1)))
+    masked = lambda t: F.transform(places(t), lambda i: F.concat(
+        i.cast("string"), F.lit(":"), F.left(t, i), _tail(t, i + 1)))
+    whole = lambda t: F.array(t)
+
+    def hashed(tag: int, first: Column, second) -> Column:
+        return F.flatten(F.transform(first, lambda x: F.transform(second(x), lambda y: F.xxhash64(key, F.lit(tag), x, y))))
+
+    blank = lambda x: F.array(F.lit(""))
+    # One block: two substitutions; an insertion and a deletion; a line one longer; a line two longer.
+    twice = F.flatten(F.transform(places(p), lambda i: F.transform(
+        F.filter(places(p), lambda j: j > i), lambda j: F.xxhash64(
+            key, F.lit(0), i, j, F.left(p, i), _cut(p, i + 1, j), _tail(p, j + 1)))))
+    one_own = F.concat(twice, hashed(1, without(p), blank), hashed(2, masked(p), blank), hashed(3, whole(p), blank))
+    one = (F.when(own, one_own).when(F.char_length(p) == a + 1, hashed(2, F.flatten(F.transform(without(p), masked)), blank))
+           .otherwise(hashed(3, F.flatten(F.transform(without(p), without)), blank)))
+    # Two blocks with an edit each, by how much longer the probing line is in either.
+    kinds = [(0, 0), (1, -1), (-1, 1), (1, 0), (0, 1), (1, 1)]
+    mine = {1: whole, 0: masked, -1: without}
+    theirs = {1: without, 0: masked, -1: whole}
+    two_own = F.concat(*[hashed(4 + k, mine[s](p), lambda _, t=t: mine[t](q)) for k, (s, t) in enumerate(kinds)])
+    two = F.when(own, two_own)
+    for k, (s, t) in enumerate(kinds[1:], 1):
+        fits = (F.char_length(p) == a + s) & (F.char_length(q) == b + t)
+        two = two.when(fits, hashed(4 + k, theirs[s](p), lambda _, t=t: theirs[t](q)))
+    keys = F.array_distinct(F.when(q.isNull(), one).otherwise(two))
+    return rows.select("id", "own", F.explode(keys).alias("key"))
+
+
+def _met(keys: DataFrame, purpose: str) -> DataFrame:
+    """``key, rows, u, v, least`` of the keys at which something meets: number of rows, first and last id, first own id."""
+    return staged(keys.groupBy("key").agg(
+        F.count("*").alias("rows"), F.min("id").alias("u"), F.max("id").alias("v"),
+        F.min(F.when(F.col("own"), F.col("id"))).alias("least")).where("rows > 1 and least is not null and u < v"), purpose)
+
+
+def _pairs(keys: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs of a line with another that has the same key as its own, for keys that are not crowded."""
+    few = met.where(f"rows between 3 and {HOT}").select("key")
+    found = staged(keys.select("key", "id", "own").join(few, "key"), "lines-keys")
+    other = found.where("own").select("key", F.col("id").alias("v"))
+    paired = found.select("key", F.col("id").alias("u"), "own").join(other, "key").where(
+        "u <> v and (not own or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    # Two rows are their key's first and last one.
+    pairs = staged(paired.unionByName(met.where("rows = 2").select("u", "v")).distinct(), "lines-pairs")
+    discard(found)
+    return pairs
+
+
+def _crowded_pairs(lines: DataFrame) -> list[DataFrame]:
+    """Pairs among lines that share crowded segments: narrower blocks round by round, links to one line at the end."""
+    out = []
+    rows = lines.select(F.lit(0).cast("bigint").alias("key"), "id", F.explode(F.array(*map(F.lit, range(3)))).alias("d"),
+                        F.col("line").alias("p"), F.lit(None).cast("string").alias("q"), "n").select(
+        "key", "id", (F.col("d") == 0).alias("own"), "p", "q", (F.col("n") - F.col("d")).alias("a"), F.lit(0).alias("b"))
+    while True:
+        met = _met(_block_keys(rows, False), "lines-met")
+        out.append(_pairs(_block_keys(rows, False), met))
+        many = met.where(F.col("rows") > HOT).select("key")
+        crowded = staged(_block_keys(rows, True).join(many, "key"), "lines-crowded")
+        discard(met, *([] if len(out) == 1 else [table]))
+        short = F.when(F.col("q").isNull(), F.col("a") <= 2 * LEAF).otherwise((F.col("a") <= LEAF) & (F.col("b") <= LEAF))
+        leaves = _leaf_keys(crowded.where(short))
+        met = _met(leaves, "lines-met")
+        linked = leaves.join(met.where("rows > 2").select("key", "least"), "key").where("id <> least").select(
+            F.least("id", "least").alias("u"), F.greatest("id", "least").alias("v"))
+        out.append(staged(linked.unionByName(met.where("rows = 2").select("u", "v")).distinct(), "lines-pairs"))
+        discard(met)
+        table, rows = crowded, crowded.where(~short)
+        if not rows.take(1):
+            discard(table)
+            return out
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
-    """``u, v`` for pairs of distinct lines (``id, line, n``) within one edit; each pair once."""
-    cold, hot = _cold_and_hot(staged(_segment_keys(lines), "lines-segments"), "lines-keys")
-    parts = [_pairs(cold)]
-    if hot.take(1):
-        ids = staged(hot.select("id").distinct(), "lines-hot")
-        blocks = staged(_block_keys(lines.join(ids, "id")), "lines-blocks")
-        cold, hot = _cold_and_hot(blocks, "lines-keys")
-        parts.append(_pairs(cold))
-        if hot.take(1):
-            parts.append(_pairs(staged(_shorter_keys(hot), "lines-shorter")))
+    """``u, v`` for pairs of distinct lines (``id, line, n``) within two edits.
+
+    Every two lines within two edits are in one component of these pairs; of a crowded key not all pairs are given.
+    """
+    parts, crowds = [], []
+    for segment in range(ERRORS + 1):
+        keys = _segment_keys(lines, segment)
+        met = _met(keys, "lines-met")
+        parts.append(_pairs(keys, met))
+        many = met.where(F.col("rows") > HOT).select("key")
+        crowds.append(staged(keys.join(many, "key").select("id").distinct(), "lines-crowds"))
+        discard(met)
+    crowd = crowds[0].unionByName(crowds[1]).unionByName(crowds[2]).distinct()
+    if crowd.take(1):
+        crowded = staged(lines.join(crowd, "id"), "lines-crowd")
+        parts += _crowded_pairs(crowded)
+        discard(crowded)
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
-    pairs = staged(pairs.distinct(), "lines-pairs")
+    pairs = staged(pairs.distinct(), "lines-candidates")
+    discard(*parts, *crowds)
     # Only lines of some pair need their texts.
-    ids = staged(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "lines-ids")
-    texts = staged(lines.join(ids, "id").select("id", "line"), "lines-texts")
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    size = F.char_length("line")
+    odd = lambda c: (size - F.char_length(F.replace("line", F.lit(c)))).bitwiseAND(F.lit(1)).cast("bigint")
+    sign = F.lit(0).cast("bigint")
+    for k, c in enumerate(LETTERS):
+        sign = sign.bitwiseOR(F.shiftleft(odd(c), k))
+    texts = staged(lines.join(ids, "id").select("id", "line", sign.alias("sign")), "lines-texts")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("sign").alias(f"sign_{c}"))
+    # An edit changes whether a letter is there an odd number of times for at most two letters.
+    alike = F.bit_count(F.col("sign_u").bitwiseXOR(F.col("sign_v"))) <= 2 * ERRORS
+    close = staged(pairs.join(side("u"), "u").join(side("v"), "v").where(alike).select("u", "v"), "lines-close")
     characters = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
-    both = (pairs.join(texts.select(F.col("id").alias("u"), characters.alias("a")), "u")
+    both = (close.join(texts.select(F.col("id").alias("u"), characters.alias("a")), "u")
             .join(texts.select(F.col("id").alias("v"), characters.alias("b")), "v"))
-    return both.where(within(F.col("a"), F.col("b"))).select("u", "v")
+    checked = staged(both.where(within(F.col("a"), F.col("b"))).select("u", "v"), "lines-near")
+    discard(pairs, texts, close)
+    return checked
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -183,6 +305,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines without a word stay.  The text of a row that loses nothing, and null, stay as they are.
     """
+    out, counts = free_name(docs, out), tuple(free_name(docs, c) for c in counts)
     thin, classes = line_classes(docs, id_col, text_col)
     classes = staged(classes, "lines-classes")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "line_no")
