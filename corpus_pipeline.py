@@ -24,7 +24,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat a line of an earlier document or place, give or take one edit, go; ``n_chars`` follows the text."""
+    """Lines that repeat a line of an earlier document or place, give or take two edits, go; ``n_chars`` follows the text."""
     kept, n, removed, near = (free_name(docs, c) for c in ("_kept", "_lines", "_removed", "_near"))
     done = lines.dedup_lines(docs, out=kept, counts=(n, removed, near))
     changed = {"text": F.col(kept)}
