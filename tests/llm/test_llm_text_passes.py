@@ -136,6 +136,15 @@ def test_base_spans_equal_the_patterns(spark, sample, tmp_path):
     assert expected == sorted(repr((r.doc_id, r.base_sha256)) for r in queries.op4_pii(spark, str(tmp_path)).collect())
 
 
+def test_counts_of_base_spans_by_kind(spark, tmp_path):
+    rows = [(1, "a@b.c d@e.f"), (2, "1.2.3.4"), (3, "4111 1111 1111 1111, 4111111111111111 +4111111111111111"), (4, "+49 30 1234567"),
+            (5, None), (6, "a@b.c, 10.0.0.1, 10.0.0.2, +49 30 1234567, 4111 1111 1111 1111, d@e.f, 900.1.1.1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {i: [sum(k == kind for k, _, _ in helpers.base_spans(t)) for kind in pii.KINDS] for i, t in rows}
+    assert expected[6] == [2, 2, 1, 1]
+    assert expected == {r.doc_id: [r.n_email, r.n_ip, r.n_card, r.n_phone] for r in queries.op4_pii(spark, str(tmp_path)).collect()}
+
+
 def test_model_adds_spans_like_the_base_ones(spark):
     random.seed(6)
     digits = lambda n: "".join(random.choice("0123456789") for _ in range(n))
