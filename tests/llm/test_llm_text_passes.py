@@ -203,6 +203,14 @@ def test_numbers_without_a_plus_are_decided_by_the_trees(spark):
     assert sum(len(found[300 + i].added) for i in range(200)) <= 4
 
 
+def test_model_sees_every_labelled_candidate(spark):
+    docs = spark.range(0, 21_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("mail u"), "id", F.lit("@example.com or 900.1.1."), F.col("id") % 7).alias("text"))
+    seen = pii.training_rows(pii.candidates(docs))
+    found = {(r.label, r.kind): r.n for r in seen.groupBy("label", "kind").agg(F.sum("n").alias("n")).collect()}
+    assert found[1.0, 1.0] == 21_000 and found[0.0, 2.0] == 21_000 and seen.count() < 500
+
+
 def test_redaction(spark, nasty):
     rows = [(1, "é mail a.b@c.org or +1 (319) 555-5132, host 10.0.0.1."), (2, None), (3, "plain"), (4, "+4111 1111 1111 1111")]
     done = pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()

@@ -1,16 +1,17 @@
 """Personal data: base patterns, candidate generators and a boosted model that adds spans.
 
-Everything here is DataFrame and SQL functions; the model is Spark's own gradient-boosted trees, fitted on a bounded
-sample and scored as a SQL expression, so a text is scanned, scored and redacted where it is read, without a shuffle.
+Everything here is DataFrame and SQL functions; the model is Spark's own gradient-boosted trees, fitted on all labelled
+candidates and scored as a SQL expression, so a text is scanned, scored and redacted where it is read.  Candidates with
+equal features are one training row whose weight is their number, so only distinct features are shuffled and kept.
 
 Base spans are the matches of four patterns that pass their checks.  Generators with looser patterns propose further
 spans, which may overlap each other: runs of digits with any of the usual separators, as every kind that their number of
 digits allows, and addresses with the signs spelt out.  Only what a passing base match of its kind covers is left out.  Trees over format (digits, groups, separators, checks) and context (keywords and signs before and after)
 are trained with base matches that pass as positives; base matches that fail their check and proposals that are glued
 to other letters or digits are the negatives.  Other proposals are not labelled: they are what the model decides on.
-The threshold is the least score from which on at least ``PRECISION`` of a held-out third of the sample is positive.
+The threshold is the least score from which on at least ``PRECISION`` of a held-out third of them is positive.
 
-Null texts count as empty and have no spans; very long texts are searched whole.  Rows are independent but for the sample: repeated rows, null ids and
+Null texts count as empty and have no spans; very long texts are searched whole.  Rows are independent but for the model: repeated rows, null ids and
 other columns pass through.  Without candidates of both kinds no span is added.
 """
 
@@ -40,8 +41,8 @@ SPELT = r"[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\
 #: Fewest digits of a number worth proposing.
 LEAST_DIGITS = 7
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: Most candidates that the model is fitted on, trees, their depth, and the share of right ones among those selected.
-SAMPLE_ROWS, TREES, DEPTH, PRECISION = 20_000, 15, 3, 0.99
+#: Trees, their depth, and the share of right ones among those selected.
+TREES, DEPTH, PRECISION = 15, 3, 0.99
 BEFORE, AFTER = 40, 20
 
 _KEYWORDS = {
@@ -194,28 +195,28 @@ def margin_sql(model: GBTClassificationModel, features: str) -> str:
     return " + ".join(parts)
 
 
-def fit(found: DataFrame, most: int = SAMPLE_ROWS) -> tuple[str, float] | None:
-    """Margin SQL over ``c.features`` and the threshold; None where there is nothing to learn from or to select.
+def training_rows(found: DataFrame) -> DataFrame:
+    """``held, label``, the features and ``n``, how many labelled candidates have them; every one counts."""
+    rows = found.select("doc_id", F.explode(F.concat("base", "proposed")).alias("c")).where("c.passes is not null")
+    held = F.pmod(F.xxhash64("doc_id", "c.kind", "c.start"), F.lit(3)) == 0
+    counted = rows.groupBy(held.alias("held"), F.col("c.passes").cast("double").alias("label"),
+                           F.col("c.features").alias("features")).agg(F.count("*").cast("double").alias("n"))
+    return counted.select("held", "label", "n", *[F.get("features", i).alias(n) for i, n in enumerate(FEATURES)])
 
-    The sample is the candidates of least hash, so it does not hang on the order of files.
-    """
-    rows = found.select("doc_id", F.explode(F.concat("base", "proposed")).alias("c")).where(
-        "c.passes is not null").select(
-        F.xxhash64("doc_id", "c.kind", "c.start").alias("h"), F.col("c.passes").cast("double").alias("label"),
-        F.col("c.features").alias("features"))
-    sample = staged(rows.orderBy("h").limit(most).select(
-        "h", "label", *[F.get("features", i).alias(n) for i, n in enumerate(FEATURES)]), "pii-sample")
-    held = F.pmod("h", F.lit(3)) == 0
-    seen = {(r["held"], r["label"]): r["count"] for r in sample.groupBy(held.alias("held"), "label").count().collect()}
-    if any(seen.get((False, y), 0) == 0 for y in (0.0, 1.0)) or not seen.get((True, 1.0)):
+
+def fit(found: DataFrame) -> tuple[str, float] | None:
+    """Margin SQL over ``c.features`` and the threshold; None where there is nothing to learn from or to select."""
+    rows = staged(training_rows(found), "pii-training")
+    seen = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
+    if not {(False, 0.0), (False, 1.0), (True, 1.0)} <= seen:
         return None
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample)
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7,
-                          stepSize=0.3).fit(vectors.where(~held))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows)
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, seed=7,
+                          stepSize=0.3).fit(vectors.where(~F.col("held")))
     sql = margin_sql(model, "c.features")
-    alone = sample.where(held).select("label", F.struct(F.array(*FEATURES).alias("features")).alias("c"))
+    alone = rows.where("held").select("label", "n", F.struct(F.array(*FEATURES).alias("features")).alias("c"))
     steps = alone.groupBy(F.round(F.expr(sql), 2).alias("margin")).agg(
-        F.count("*").alias("n"), F.sum("label").alias("ones")).orderBy(F.desc("margin")).collect()
+        F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("ones")).orderBy(F.desc("margin")).collect()
     n = ones = 0
     threshold = None
     for step in steps:
