@@ -245,6 +245,33 @@ def test_cells_leave_out_what_cannot_matter(spark):
     assert len(index.pivots) > 100 and share[0] < 0.2 * len(index.pivots) and share[1] < 0.2 * 4000
 
 
+def test_vectors_no_bound_rules_out_are_scanned(spark, monkeypatch):
+    """Queries that would go to most cells are not sent there; the scan agrees with brute force, copies and zeros included."""
+    rng = np.random.default_rng(8)
+    rows = np.round(rng.normal(size=(900, 24)), 3)
+    rows[700:800], rows[800:820] = rows[0], 0.0
+    rows[820:840] = 3 * rows[20:40]
+    ids = rng.permutation(900).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, rows)], "id bigint, vector array<double>").repartition(5)
+    sent = []
+    search = cells._search
+    monkeypatch.setattr(cells, "_search", lambda asked, *rest: sent.append(asked.count()) or search(asked, *rest))
+    monkeypatch.setattr(cells, "TRIAL", 20)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 24 * 8 * 150)
+    asked = df.select(F.struct("id", F.lit("x").alias("s")).alias("_qid"), F.col("vector").alias("_vec"))
+    found, _, _ = cells.search_plan(asked, df, 7, 900, 24, "vector", "id", 24 * 8 * 150)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r._qid.id, {})[r._rank] = r._vid
+    assert sent == [20]
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    unit = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+    distance = np.round(1 - unit @ unit.T, 9)
+    for q, i in enumerate(ids):
+        nearest = sorted(zip(distance[q].tolist(), ids))[:7]
+        assert [got[i][r] for r in range(1, 8)] == [v for _, v in nearest], i
+
+
 @pytest.mark.parametrize("limit", [64, 16 * 8 * 20, 16 * 8 * 400])
 def test_cells_of_any_size(spark, vectors, limit):
     """Blocks of a few vectors, queries from outside, vectors without a direction on either side."""

@@ -10,6 +10,10 @@ beyond the bound, either because its radius does not reach that far, or because
 and the pivot next to the query lies further off.  Both tests are made for outer cells first and for cells inside
 those that are left.  Vectors without a direction have a cell of their own.
 
+Where a trial of some queries shows that the bounds rule out too little, so that a query would be sent to many cells, all
+vectors are compared instead: queries and vectors are stored as packed blocks, every task reads some of either from the
+shared folder, and only the best of each query and task are shuffled.
+
 A crowded cell is cut into blocks by id hash, and the queries of a cell that is much asked for by their own hash, so no
 task holds more than two matrices of the stated size, however unevenly vectors and queries lie.
 """
@@ -33,6 +37,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Distances computed at a time in a task.
 SLICE_BYTES = 64 << 20
+#: Queries that show whether cells are worth it, and cells besides the first ones a query may be sent to on average.
+TRIAL, MOST_CELLS = 512, 8
+#: Bytes of a packed block, whatever the limit of a matrix, and pairs of blocks that go to Python at a time.
+BLOCK_BYTES, PAIRS = 2 << 20, "4"
+#: Products of two blocks that are looked at together.
+CACHE_BYTES = 2 << 20
 #: Distances that agree to this many decimals are ties and go by id.
 TIE_DECIMALS = 9
 
@@ -244,6 +254,124 @@ def _with_lists(queries: DataFrame, lists) -> DataFrame:
     return queries.mapInArrow(work, T.StructType([*queries.schema.fields, T.StructField("_cells", _INTS)]))
 
 
+def _packed(rows: DataFrame, key: str, name: str, most: int) -> DataFrame:
+    """``<name>_ids, <name>_unit``: up to ``most`` rows (id, vector) as one, in order of the id, with unit rows as bytes."""
+    def work(batches):
+        def packed(held):
+            part = pa.Table.from_batches(held)
+            if name == "v":
+                part = part.sort_by(key)
+            ids = part.column(0).combine_chunks()
+            unit = np.ascontiguousarray(unit_rows(part.column(1)))
+            return pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([unit.tobytes()], pa.binary())],
+                names=[f"{name}_ids", f"{name}_unit"])
+
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, most - n)
+                held.append(part)
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)
+                if n == most:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    out = T.StructType([T.StructField(f"{name}_ids", T.ArrayType(rows.schema[key].dataType)),
+                        T.StructField(f"{name}_unit", T.BinaryType())])
+    return rows.select(key, "_vec").mapInArrow(work, out)
+
+
+def _nearer(queries: np.ndarray, vectors: np.ndarray, narrow: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Row, column, distance and rounded distance of up to k vectors for each query that lie within its bound.
+
+    ``narrow`` are the vectors at half the precision, turned; what may be near enough by them is compared in full.
+    """
+    # Twice what the sum of so many rounded products can be off by, and room for ties.
+    slack = (len(narrow) + 8) * 1.2e-7 + 2 * 10.0 ** -TIE_DECIMALS
+    alike = queries.astype("float32") @ narrow
+    least = 1.0 - bound - slack
+    loose = np.isinf(bound) & (k < len(vectors))
+    if loose.any():
+        # No more than the k nearest of this block.
+        least[loose] = np.partition(alike[loose], len(vectors) - k, axis=1)[:, len(vectors) - k] - 2 * slack
+    row, column = np.nonzero(alike >= least[:, None].astype("float32"))
+    if 8 * len(row) > alike.size:
+        distance = 1.0 - (queries @ vectors.T)[row, column]
+    else:
+        distance = 1.0 - np.einsum("ij,ij->i", queries[row], vectors[column])
+    rounded = np.round(distance, TIE_DECIMALS)
+    order = np.lexsort((column, rounded, row))
+    row, column, distance, rounded = row[order], column[order], distance[order], rounded[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    return row[kept], column[kept], distance[kept], rounded[kept]
+
+
+def scan(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
+    """``_qid, _vid, _distance, _rank`` of the k nearest of all vectors ``_vid, _vec`` for each query ``_qid, _vec``.
+
+    Blocks are read by the tasks, not shuffled; a task ends with at most k rows for each of its queries.
+    """
+    spark = queries.sparkSession
+    most = max(1, BLOCK_BYTES // (8 * dim))
+    left = staged(_packed(queries, "_qid", "q", most), "nearest-queries")
+    right = staged(_packed(vectors, "_vid", "v", most), "nearest-vectors")
+    qid, vid = queries.schema["_qid"].dataType, vectors.schema["_vid"].dataType
+    out = T.StructType([T.StructField("_qid", qid), T.StructField("_vid", vid), T.StructField("_distance", T.DoubleType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = to_arrow_schema(out)
+
+    def best(ids, found):
+        if not found:
+            return
+        table = pa.concat_tables(found).sort_by([("row", "ascending"), ("rounded", "ascending"), ("id", "ascending")])
+        row = table.column("row").to_numpy()
+        table = table.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < k))
+        columns = [ids.take(table.column("row").combine_chunks()), table.column("id"), table.column("distance")]
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        yield from pa.table(columns, names=schema.names).cast(schema).to_batches(max_chunksize=1 << 16)
+
+    def work(batches):
+        ids, unit, bound, found = None, None, None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # The pairs of a block of queries follow one another.
+                asked = batch.column(0)[i].values
+                if ids is None or not asked.equals(ids):
+                    yield from best(ids, found)
+                    ids, found = asked, []
+                    unit = np.frombuffer(batch.column(1)[i].as_buffer(), "float64").reshape(len(ids), -1)
+                    bound = np.full(len(ids), np.inf)
+                others = batch.column(2)[i].values
+                matrix = np.frombuffer(batch.column(3)[i].as_buffer(), "float64").reshape(len(others), -1)
+                narrow = np.ascontiguousarray(matrix.T.astype("float32"))
+                step = max(1, CACHE_BYTES // (4 * len(others)))
+                for start in range(0, len(ids), step):
+                    part = slice(start, start + step)
+                    row, column, distance, rounded = _nearer(unit[part], matrix, narrow, bound[part], k)
+                    if not len(row):
+                        continue
+                    found.append(pa.table({"row": pa.array(row + start), "rounded": rounded, "distance": distance,
+                                           "id": others.take(pa.array(column))}))
+                    # The k-th distance of these vectors bounds what can still matter.
+                    last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+                    at = row[last] + start
+                    bound[at] = np.minimum(bound[at], rounded[last])
+        yield from best(ids, found)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PAIRS)
+    try:
+        near = staged(left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(work, out), "nearest-scan")
+    finally:
+        spark.conf.set(name, before)
+    return _best(near, k)
+
+
 def search_plan(queries: DataFrame, vectors: DataFrame, k: int, total: int, dim: int, vector: str, vec_id: str,
                 most_bytes: int) -> tuple[DataFrame, DataFrame, Cells]:
     """``_qid, _vid, _distance, _rank`` of the k nearest vectors of each query ``_qid, _vec``, and the cells that were
@@ -251,12 +379,22 @@ def search_plan(queries: DataFrame, vectors: DataFrame, k: int, total: int, dim:
     cells, kept = build(vectors, vector, vec_id, total, dim, most_bytes)
     rows = max(1, most_bytes // (8 * dim))
     k = min(k, total)
-    homes = staged(_with_lists(queries, lambda unit, batch: cells.first(unit, k)), "nearest-homes")
-    near = staged(_best(_search(homes, kept, cells, k, rows), k), "nearest-first")
-    bounds = near.where(F.col("_rank") == k).select("_qid", F.col("_distance").alias("_bound"))
-    known = homes.withColumnRenamed("_cells", "_homes").join(bounds, "_qid")
-    more = _with_lists(known.select("_qid", "_vec", "_homes", "_bound"), lambda unit, batch: cells.further(
-        unit, reach_of(batch.column(3).to_numpy(zero_copy_only=False)), batch.column(2).to_pylist()))
-    more = staged(more.select("_qid", "_vec", "_cells"), "nearest-further")
+
+    def looked(asked):
+        """The finds of the first cells, and the further cells, of some queries."""
+        homes = staged(_with_lists(asked, lambda unit, batch: cells.first(unit, k)), "nearest-homes")
+        near = staged(_best(_search(homes, kept, cells, k, rows), k), "nearest-first")
+        bounds = near.where(F.col("_rank") == k).select("_qid", F.col("_distance").alias("_bound"))
+        known = homes.withColumnRenamed("_cells", "_homes").join(bounds, "_qid")
+        more = _with_lists(known.select("_qid", "_vec", "_homes", "_bound"), lambda unit, batch: cells.further(
+            unit, reach_of(batch.column(3).to_numpy(zero_copy_only=False)), batch.column(2).to_pylist()))
+        return near, staged(more.select("_qid", "_vec", "_cells"), "nearest-further")
+
+    trial = queries.orderBy(F.xxhash64("_qid"), "_qid").limit(TRIAL)
+    _, more = looked(trial)
+    if (more.agg(F.avg(F.size("_cells"))).first()[0] or 0) > MOST_CELLS:
+        plain = vectors.select(F.col(vec_id).alias("_vid"), F.col(vector).alias("_vec"))
+        return scan(queries, plain, k, dim), more, cells
+    near, more = looked(queries)
     further = _search(more, kept, cells, k, rows)
     return _best(near.drop("_rank").unionByName(further), k), more, cells
