@@ -459,3 +459,14 @@ def test_system_turns_of_a_conversation(spark, monkeypatch):
     rendered = T.render_chat(T.with_system(T.pair_turns(turns, *names, answered=False), turns, *names, "none"), F.col("system"))
     assert rendered.where("output IS NULL AND full_text IS NOT NULL").count() == 0
     assert rendered.where("conv_id = 1 AND turn = 6").first().full_text == "<|system|>\nS2\n<|user|>\ne\n<|assistant|>\nf<|im_end|>"
+
+
+def test_stored_programs_are_listed_by_folder(spark, monkeypatch):
+    """One file for each program, found by one listing and not by a pattern that Spark looks up file by file."""
+    from zonedeck.plans import program_jobs
+
+    asked = []
+    read = program_jobs.read_corpus
+    monkeypatch.setattr(program_jobs, "read_corpus", lambda spark, at: asked.append(at) or read(spark, at))
+    loaded = program_jobs.load_corpus(spark, "/root/testdata/sf0.001").collect()
+    assert "*" not in asked[0] and loaded and len({r.path for r in loaded}) == len(loaded)

@@ -49,8 +49,10 @@ def load_corpus(spark, sf_dir):
     """Programs are written as one text file each (a line end closes the file), then read back whole."""
     folder = shared_dir(spark, "programs")
     (C.STORED_PROGRAMS.df(spark, sf_dir).select(F.col("text").alias("value"))
-     .repartition(spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).text(folder))
-    loaded = read_corpus(spark, folder + "/*.txt")
+     .repartition(spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1)
+     # Tasks move their own files; the driver would move them one after the other.
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
+    loaded = read_corpus(spark, folder)
     number = F.regexp_extract("text", r"PROGRAM-ID\. SUP(\d+)\.", 1).cast("bigint")
     return loaded.select(number.alias("path"), F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
 

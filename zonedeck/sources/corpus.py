@@ -10,7 +10,11 @@ MIN_TEXT = 20
 
 
 def load_corpus(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per program: ``path`` and the whole ``text``."""
+    """One row per program: ``path`` and the whole ``text``.
+
+    A folder is listed in one go.  Spark looks up every file that a pattern matches on its own, so for very many files
+    the folder is the better choice.
+    """
     return (spark.read.text(pattern, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
