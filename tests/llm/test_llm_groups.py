@@ -216,6 +216,40 @@ def test_large_crowds_are_linked_in_proportion(spark):
     assert len(got) < 100 * len(rows) and len(set(classes_of(len(rows), got))) == 1
 
 
+def test_lines_that_only_share_a_segment_are_not_paired(spark, monkeypatch):
+    random.seed(4)
+    letters = lambda n: "".join(random.choice("abcdefghiklmnoprstuvwy") for _ in range(n))
+    rows = [(100 * g + i, f"{start}{letters(80)}") for g, start in enumerate(letters(40) for _ in range(8)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, line string").withColumn("n", F.char_length("line"))
+    made, write = [], lines.staged
+
+    def counted(table, purpose):
+        out = write(table, purpose)
+        made.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    assert lines.near_pairs(df).count() == 0
+    assert sum(n for purpose, n in made if purpose == "lines-pairs") < len(rows)
+
+
+def test_near_pairs_across_spans_of_lengths(spark):
+    random.seed(5)
+    texts = set()
+    for n in [*range(22, 44), 95, 96, 97]:
+        base = "".join(random.choice("abcdé😀 ") for _ in range(n))
+        texts.add(base)
+        for _ in range(7):
+            x = base
+            for _ in range(random.choice([1, 1, 2])):
+                x = edited(x)
+            texts.add(x)
+    texts = sorted(x for x in texts if len(x) >= lines.NEAR_CHARS)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, line string").withColumn("n", F.char_length("line"))
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if helpers.few_edits(texts[i], texts[j])}
+    assert {(r.u, r.v) for r in lines.near_pairs(df).collect()} == near
+
+
 def test_output_names_that_are_taken(nasty):
     for rows in (lines.dedup_lines(nasty), substrings.remove_repeats(nasty)):
         assert rows.columns[:len(nasty.columns)] == nasty.columns and "kept_" in rows.columns

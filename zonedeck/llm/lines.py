@@ -5,13 +5,14 @@ insertions, deletions or substitutions of a code point turn one into the other.
 of a class, by document id and place, stays and the others go.
 
 A line is cut into threshold-plus-one, that is three, segments.  Two lines within the threshold share a segment at a place
-that their lengths give, up to a shift of one for the middle one, so lines are indexed by their own segments and probe
-those of lines up to two shorter.  A segment shared by more than ``HOT`` rows is not paired up.  Its lines move on to keys
-of all but two of six blocks, and where such a key is shared by many too, to parts of these two blocks, until a block has
-``LEAF`` code points.  There lines are indexed by what is left of the blocks without the edits: all lines of such a key
+that their span of lengths gives, up to a shift of one for the middle one, so lines are indexed by their own segments and
+probe those of lines up to two shorter, with about five keys in all.  A segment shared by more than ``HOT`` rows is not
+paired up: its lines get five keys of the segment and a part each of their letters' signature, one of which near lines
+share.  Where such a key is shared by many too, its lines move on to keys of all but two of six blocks, and from there to
+parts of these two blocks, until a block has ``LEAF`` code points.  There lines are indexed by what is left of the blocks without the edits: all lines of such a key
 are linked to one of them, so that no step pairs all rows of a large key.  Pairs are verified by a banded bit-parallel
-automaton, whose state holds one bit for each diagonal and number of errors; pairs whose counts of letters differ in more
-than two edits can make are dropped before.
+automaton, whose state holds one bit for each diagonal and number of errors; pairs whose lengths or counts
+of letters differ in more than two edits can make are dropped where rows of a key meet.
 
 Nulls and texts without words have no lines.  Very long texts and lines are treated like others: a line is a string of its
 own, and a text is put together from what stands between removed lines.  Null ids come last in the order.  Rows equal in id
@@ -29,6 +30,8 @@ from zonedeck.llm.frames import discard, free_name, staged
 
 #: Edit threshold (the keys of crowded segments are made for two), least length of lines that match other than exactly.
 ERRORS, NEAR_CHARS = 2, 20
+#: Lengths that share their cuts.
+SPAN = 8
 #: Rows of a key that are paired up, code points of a block that is not cut further.
 HOT, LEAF = 32, 8
 #: Letters whose counts tell pairs apart before they are compared.
@@ -89,16 +92,39 @@ def _cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def _segment_keys(lines: DataFrame, segment: int) -> DataFrame:
-    """``key, id, own``: one segment of each line, and what it probes that segment of lines up to two shorter with."""
-    keys = []
-    for shorter in range(ERRORS + 1):
-        m, left = F.col("n") - shorter, ERRORS - segment
-        start, end = (F.floor(m * k / (ERRORS + 1)).cast("int") for k in (segment, segment + 1))
-        for shift in range(max(-segment, shorter - left), min(segment, shorter + left) + 1):
-            keys.append(F.struct(F.xxhash64(m, F.lit(segment), _cut(F.col("line"), start + shift, end + shift)).alias("key"),
-                                 F.lit(shorter == shift == 0).alias("own")))
-    return lines.select("id", F.inline(F.array(*keys))).select("key", "id", "own")
+def _segment_keys(lines: DataFrame) -> DataFrame:
+    """``key, id, own``: the segments of each line, and what it probes those of lines up to two shorter with.
+
+    Lengths in one span of ``SPAN`` have the same cuts: the first two segments count from the start, the last one from the
+    end.  If both outer segments have an edit, the middle one lies in the longer line where it is or one place later; of
+    two lines of one length, one has it so.  The least two lengths of a span also probe the span before.
+    """
+    n, line = F.col("n"), F.col("line")
+    over = n % SPAN
+
+    def made(base: Column, segment: int, own: bool, shift: int = 0) -> Column:
+        start, end = (F.floor(base * k / (ERRORS + 1)).cast("int") for k in (segment, segment + 1))
+        part = F.right(line, end - start) if segment == ERRORS else _cut(line, start + shift, end + shift)
+        return F.struct(F.xxhash64(base, F.lit(segment), part).alias("key"), F.lit(own).alias("own"))
+
+    here, before = n - over, n - over - SPAN
+    keys = F.array(made(here, 0, True), made(here, 1, True), made(here, 1, False, 1), made(here, 2, True))
+    two = [made(before, 0, False), made(before, 1, False, 1), made(before, 2, False)]
+    none = F.array().cast("array<struct<key:bigint,own:boolean>>")
+    more = F.when(over == 0, F.array(*two, made(before, 1, False))).when(over == 1, F.array(*two)).otherwise(none)
+    return lines.select("id", F.inline(F.concat(keys, more))).select("key", "id", "own")
+
+
+def _sign_keys(found: DataFrame) -> DataFrame:
+    """``key, id, own``: the keys of rows with ``sign``, each with every one of the signature's parts.
+
+    Two lines within the threshold differ in no more bits than there are parts but one, so that some part is equal.
+    """
+    parts = 2 * ERRORS + 1
+    masks = [sum(1 << k for k in range(i, len(LETTERS), parts)) for i in range(parts)]
+    return found.select("id", "own", F.explode(F.array(*[F.xxhash64(
+        "key", F.lit(i), F.col("sign").bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])).alias("key")).select(
+        "key", "id", "own")
 
 
 #: How the two blocks that hold the edits lie: how much longer the probing line is, blocks x < y, shift between them.
@@ -195,38 +221,46 @@ def _met(keys: DataFrame, purpose: str) -> DataFrame:
         F.min(F.when(F.col("own"), F.col("id"))).alias("least")).where("rows > 1 and least is not null and u < v"), purpose)
 
 
-def _pairs(keys: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs of a line with another that has the same key as its own, for keys that are not crowded."""
-    few = met.where(f"rows between 3 and {HOT}").select("key")
-    found = staged(keys.select("key", "id", "own").join(few, "key"), "lines-keys")
-    other = found.where("own").select("key", F.col("id").alias("v"))
-    paired = found.select("key", F.col("id").alias("u"), "own").join(other, "key").where(
-        "u <> v and (not own or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    # Two rows are their key's first and last one.
-    pairs = staged(paired.unionByName(met.where("rows = 2").select("u", "v")).distinct(), "lines-pairs")
-    discard(found)
-    return pairs
+def _alike() -> Column:
+    """Whether lengths and letters (``n, sign`` and ``n_v, sign_v``) allow two edits.
+
+    An edit changes whether a letter is there an odd number of times for at most two letters.
+    """
+    return (F.abs(F.col("n") - F.col("n_v")) <= ERRORS) & (
+        F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_v"))) <= 2 * ERRORS)
+
+
+def _pairs(found: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs of a line with another that has the same key as its own, if lengths and letters (``id, n, sign``) allow them."""
+    found = found.join(sides, "id")
+    other = found.where("own").select("key", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("sign").alias("sign_v"))
+    paired = found.withColumnRenamed("id", "u").join(other, "key").where("u <> v and (not own or u < v)").where(_alike())
+    return staged(paired.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "lines-pairs")
 
 
 def _crowded_pairs(lines: DataFrame) -> list[DataFrame]:
     """Pairs among lines that share crowded segments: narrower blocks round by round, links to one line at the end."""
-    out = []
+    out, table = [], None
+    sides = lines.select("id", "n", "sign")
     rows = lines.select(F.lit(0).cast("bigint").alias("key"), "id", F.explode(F.array(*map(F.lit, range(3)))).alias("d"),
                         F.col("line").alias("p"), F.lit(None).cast("string").alias("q"), "n").select(
         "key", "id", (F.col("d") == 0).alias("own"), "p", "q", (F.col("n") - F.col("d")).alias("a"), F.lit(0).alias("b"))
     while True:
         met = _met(_block_keys(rows, False), "lines-met")
-        out.append(_pairs(_block_keys(rows, False), met))
+        few = met.where(F.col("rows") <= HOT).select("key")
+        found = staged(_block_keys(rows, False).join(few, "key"), "lines-keys")
+        out.append(_pairs(found, sides))
         many = met.where(F.col("rows") > HOT).select("key")
         crowded = staged(_block_keys(rows, True).join(many, "key"), "lines-crowded")
-        discard(met, *([] if len(out) == 1 else [table]))
+        discard(met, found, *([] if table is None else [table]))
         short = F.when(F.col("q").isNull(), F.col("a") <= 2 * LEAF).otherwise((F.col("a") <= LEAF) & (F.col("b") <= LEAF))
-        leaves = _leaf_keys(crowded.where(short))
-        met = _met(leaves, "lines-met")
-        linked = leaves.join(met.where("rows > 2").select("key", "least"), "key").where("id <> least").select(
-            F.least("id", "least").alias("u"), F.greatest("id", "least").alias("v"))
-        out.append(staged(linked.unionByName(met.where("rows = 2").select("u", "v")).distinct(), "lines-pairs"))
-        discard(met)
+        if crowded.where(short).take(1):
+            leaves = _leaf_keys(crowded.where(short))
+            met = _met(leaves, "lines-met")
+            linked = leaves.join(met.where("rows > 2").select("key", "least"), "key").where("id <> least").select(
+                F.least("id", "least").alias("u"), F.greatest("id", "least").alias("v"))
+            out.append(staged(linked.unionByName(met.where("rows = 2").select("u", "v")).distinct(), "lines-pairs"))
+            discard(met)
         table, rows = crowded, crowded.where(~short)
         if not rows.take(1):
             discard(table)
@@ -238,41 +272,44 @@ def near_pairs(lines: DataFrame) -> DataFrame:
 
     Every two lines within two edits are in one component of these pairs; of a crowded key not all pairs are given.
     """
-    parts, crowds = [], []
-    for segment in range(ERRORS + 1):
-        keys = _segment_keys(lines, segment)
-        met = _met(keys, "lines-met")
-        parts.append(_pairs(keys, met))
-        many = met.where(F.col("rows") > HOT).select("key")
-        crowds.append(staged(keys.join(many, "key").select("id").distinct(), "lines-crowds"))
-        discard(met)
-    crowd = crowds[0].unionByName(crowds[1]).unionByName(crowds[2]).distinct()
-    if crowd.take(1):
-        crowded = staged(lines.join(crowd, "id"), "lines-crowd")
-        parts += _crowded_pairs(crowded)
-        discard(crowded)
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    pairs = staged(pairs.distinct(), "lines-candidates")
-    discard(*parts, *crowds)
-    # Only lines of some pair need their texts.
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    keys = _segment_keys(lines)
+    met = _met(keys, "lines-met")
+    # Two rows are their key's first and last one; only the keys of more are looked for again.
+    two = met.where("rows = 2").select("u", "v")
+    found = staged(keys.join(met.where("rows > 2").select("key", "rows"), "key"), "lines-keys")
+    ids = found.select("id").unionByName(two.select(F.col("u").alias("id"))).unionByName(two.select(F.col("v").alias("id")))
+    # Only lines that meet another need their texts.
     size = F.char_length("line")
     odd = lambda c: (size - F.char_length(F.replace("line", F.lit(c)))).bitwiseAND(F.lit(1)).cast("bigint")
     sign = F.lit(0).cast("bigint")
     for k, c in enumerate(LETTERS):
         sign = sign.bitwiseOR(F.shiftleft(odd(c), k))
-    texts = staged(lines.join(ids, "id").select("id", "line", sign.alias("sign")), "lines-texts")
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("sign").alias(f"sign_{c}"))
-    # An edit changes whether a letter is there an odd number of times for at most two letters.
-    alike = F.bit_count(F.col("sign_u").bitwiseXOR(F.col("sign_v"))) <= 2 * ERRORS
-    close = staged(pairs.join(side("u"), "u").join(side("v"), "v").where(alike).select("u", "v"), "lines-close")
+    texts = staged(lines.join(ids.distinct(), "id").select("id", "line", "n", sign.alias("sign")), "lines-texts")
+    sides = texts.select("id", "n", "sign")
+    second = sides.toDF("v", "n_v", "sign_v")
+    both = two.distinct().join(sides.withColumnRenamed("id", "u"), "u").join(second, "v").where(_alike())
+    parts = [_pairs(found.where(F.col("rows") <= HOT).drop("rows"), sides), staged(both.select("u", "v"), "lines-pairs")]
+    discard(met)
+    many = found.where(F.col("rows") > HOT)
+    if many.take(1):
+        signed = _sign_keys(many.join(sides.select("id", "sign"), "id"))
+        met = _met(signed, "lines-met")
+        crowd = staged(signed.join(met.select("key", "rows"), "key"), "lines-crowds")
+        discard(met)
+        parts.append(_pairs(crowd.where(F.col("rows") <= HOT).drop("rows"), sides))
+        crowded = staged(texts.join(crowd.where(F.col("rows") > HOT).select("id").distinct(), "id"), "lines-crowd")
+        discard(crowd)
+        if crowded.take(1):
+            parts += _crowded_pairs(crowded)
+        discard(crowded)
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
     characters = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
-    both = (close.join(texts.select(F.col("id").alias("u"), characters.alias("a")), "u")
+    both = (pairs.distinct().join(texts.select(F.col("id").alias("u"), characters.alias("a")), "u")
             .join(texts.select(F.col("id").alias("v"), characters.alias("b")), "v"))
     checked = staged(both.where(within(F.col("a"), F.col("b"))).select("u", "v"), "lines-near")
-    discard(pairs, texts, close)
+    discard(found, texts, *parts)
     return checked
 
 
