@@ -61,6 +61,14 @@ def same_tokens(codec, tokenizer, texts):
         assert codec.decode(packed) == text.encode()
 
 
+def test_memory_of_a_task_is_bounded():
+    """Words that never come again: what a task keeps does not follow the text."""
+    small = bpe.Codec(bpe.public_vocabulary())
+    for start in range(0, 250_000, 10_000):
+        small.encode([" ".join(f"a{i}" for i in range(start, start + 10_000)).encode()])
+    assert len(small._young) + len(small._old) < 150_000
+
+
 def test_tokens_equal_the_library(codec, tokenizer, sample):
     random.seed(1)
     alphabet = "abcdefthe  '\n\t\x1c\x85\xa0é漢字１２😀'sABC012!?​　"

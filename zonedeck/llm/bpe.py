@@ -30,9 +30,11 @@ from zonedeck.llm.frames import free_name, with_python
 #: Beyond this many bytes a piece is merged by a heap.
 LONG_PIECE = 1024
 #: Cells of one matrix.
-CELLS = 1 << 20
-#: Words remembered from slice to slice, at most twice as many.
-MEMO = 400_000
+CELLS = 1 << 17
+#: Text bytes that are cut into words together.
+SLICE_BYTES = 1 << 20
+#: Words remembered from slice to slice, at most twice as many and those of a slice.
+MEMO = 50_000
 #: A rank file beyond this size is refused: every task gets the whole of it.
 MAX_RANK_BYTES = 64 << 20
 
@@ -279,7 +281,7 @@ def encode_documents(df: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
 
         return compute
 
-    return with_python(df, text_col, fields, make)
+    return with_python(df, text_col, fields, make, SLICE_BYTES)
 
 
 def decode_documents(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids",
@@ -292,4 +294,4 @@ def decode_documents(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "toke
         codec = Codec(shared.value)
         return lambda packed: [[codec.decode(x) for x in packed]]
 
-    return with_python(df, ids_col, [field], make)
+    return with_python(df, ids_col, [field], make, SLICE_BYTES)

@@ -72,7 +72,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
 
 
 def with_python(df: DataFrame, text: str, fields: list[T.StructField],
-                make: Callable[[], Callable[[list[bytes]], list[pa.Array]]]) -> DataFrame:
+                make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], limit: int = SLICE_BYTES) -> DataFrame:
     """Append columns computed from a text column in Arrow batches.
 
     ``make`` runs once per task and gives a function from UTF-8 texts (null as empty) to one array per field.
@@ -87,7 +87,7 @@ def with_python(df: DataFrame, text: str, fields: list[T.StructField],
         gc.disable()  # slices make long lists and no cycles; walking those lists again and again costs a third
         try:
             for batch in batches:
-                for part in text_slices(batch, text):
+                for part in text_slices(batch, text, limit):
                     texts = [x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()]
                     arrays = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(compute(texts), types)]
                     yield pa.RecordBatch.from_arrays([*part.columns, *arrays],
