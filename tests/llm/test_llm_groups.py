@@ -250,6 +250,36 @@ def test_near_pairs_across_spans_of_lengths(spark):
     assert {(r.u, r.v) for r in lines.near_pairs(df).collect()} == near
 
 
+def test_lines_that_meet_are_picked_without_moving_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 4)
+    monkeypatch.setattr(lines, "LEAF", 3)
+    rows = [(32768 * i, f"record {i:03d} was written to the file") for i in range(60)]
+    rows += [((1 << 33) * (i + 1) + i, chr(97 + i) * 30) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, line string").withColumn("n", F.char_length("line"))
+    plans, write = [], lines.staged
+
+    def planned(table, purpose):
+        plans.append((purpose, table._jdf.queryExecution().executedPlan().toString()))
+        return write(table, purpose)
+
+    monkeypatch.setattr(lines, "staged", planned)
+    monkeypatch.setattr(lines, "discard", lambda *tables: None)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lines.near_pairs(df).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got >= 59
+    assert all("SortMergeJoin" not in plan for purpose, plan in plans if purpose == "lines-texts")
+    assert not [plan for purpose, plan in plans if purpose == "lines-pairs" and "SortMergeJoin [id#" in plan]
+    wanted = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 1 << 33, (1 << 33) + 1, (5 << 33) + 40000]
+    every = sorted({*wanted, *range(0, 70000, 3), *((k << 33) + i for k in range(6) for i in (0, 1, 2, 8, 39999, 40000, 40001))})
+    all_lines = spark.createDataFrame([(i, str(i), 1) for i in every], "id bigint, line string, n int")
+    ids = spark.createDataFrame([(i,) for i in wanted], "id bigint")
+    assert sorted(r.id for r in lines._picked(all_lines, ids).collect()) == wanted
+
+
 def test_output_names_that_are_taken(nasty):
     for rows in (lines.dedup_lines(nasty), substrings.remove_repeats(nasty)):
         assert rows.columns[:len(nasty.columns)] == nasty.columns and "kept_" in rows.columns

@@ -5,14 +5,16 @@ insertions, deletions or substitutions of a code point turn one into the other.
 of a class, by document id and place, stays and the others go.
 
 A line is cut into threshold-plus-one, that is three, segments.  Two lines within the threshold share a segment at a place
-that their span of lengths gives, up to a shift of one for the middle one, so lines are indexed by their own segments and
-probe those of lines up to two shorter, with about five keys in all.  A segment shared by more than ``HOT`` rows is not
-paired up: its lines get five keys of the segment and a part each of their letters' signature, one of which near lines
-share.  Where such a key is shared by many too, its lines move on to keys of all but two of six blocks, and from there to
-parts of these two blocks, until a block has ``LEAF`` code points.  There lines are indexed by what is left of the blocks without the edits: all lines of such a key
-are linked to one of them, so that no step pairs all rows of a large key.  Pairs are verified by a banded bit-parallel
-automaton, whose state holds one bit for each diagonal and number of errors; pairs whose lengths or counts
-of letters differ in more than two edits can make are dropped where rows of a key meet.
+that their span of lengths gives, up to a shift of one for the middle one, so a line has its own segments as keys and what
+it looks for in lines up to two shorter, four to eight keys in all.  Of a key of two rows the pair follows from its counts;
+the few keys of more rows are looked for again.  A segment shared by more than ``HOT`` rows is not paired up: its lines get
+five keys of the segment and a part each of their letters' signature, one of which near lines share.  Where such a key is
+shared by many too, its lines move on to keys of all but two of six blocks, and from there to parts of these two blocks,
+until a block has ``LEAF`` code points.  There lines are indexed by what is left of the blocks without the edits: all lines
+of such a key are linked to one of them, so that no step pairs all rows of a large key.  Pairs whose lengths or counts of
+letters differ in more than two edits can make are dropped where rows of a key meet, and pairs of which more than two of
+eight parts are not found again near their place before they are verified by a banded bit-parallel automaton, whose state
+holds one bit for each diagonal and number of errors.
 
 Nulls and texts without words have no lines.  Very long texts and lines are treated like others: a line is a string of its
 own, and a text is put together from what stands between removed lines.  Null ids come last in the order.  Rows equal in id
@@ -30,8 +32,10 @@ from zonedeck.llm.frames import discard, free_name, staged
 
 #: Edit threshold (the keys of crowded segments are made for two), least length of lines that match other than exactly.
 ERRORS, NEAR_CHARS = 2, 20
-#: Lengths that share their cuts.
-SPAN = 8
+#: Lengths that share their cuts: so many, and so many from ``LONG`` code points on (a multiple of both).
+SPANS, LONG = (8, 32), 128
+#: Parts of a line of which all but ``ERRORS`` have to be found in another one before the two are compared.
+PARTS = 8
 #: Rows of a key that are paired up, code points of a block that is not cut further.
 HOT, LEAF = 32, 8
 #: Letters whose counts tell pairs apart before they are compared.
@@ -92,39 +96,39 @@ def _cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def _segment_keys(lines: DataFrame) -> DataFrame:
-    """``key, id, own``: the segments of each line, and what it probes those of lines up to two shorter with.
+def _base(n: Column) -> Column:
+    """The least length of the span of a length."""
+    short, long = SPANS
+    return (n - F.when(n < LONG, n % short).otherwise(n % long)).cast("int")
 
-    Lengths in one span of ``SPAN`` have the same cuts: the first two segments count from the start, the last one from the
-    end.  If both outer segments have an edit, the middle one lies in the longer line where it is or one place later; of
-    two lines of one length, one has it so.  The least two lengths of a span also probe the span before.
-    """
-    n, line = F.col("n"), F.col("line")
-    over = n % SPAN
 
-    def made(base: Column, segment: int, own: bool, shift: int = 0) -> Column:
-        start, end = (F.floor(base * k / (ERRORS + 1)).cast("int") for k in (segment, segment + 1))
-        part = F.right(line, end - start) if segment == ERRORS else _cut(line, start + shift, end + shift)
-        return F.struct(F.xxhash64(base, F.lit(segment), part).alias("key"), F.lit(own).alias("own"))
+def _segment_keys(lines: DataFrame) -> DataFrame:
+    """``key, id, n``: the segments of each line, and what it looks for in lines up to two shorter.
 
-    here, before = n - over, n - over - SPAN
-    keys = F.array(made(here, 0, True), made(here, 1, True), made(here, 1, False, 1), made(here, 2, True))
-    two = [made(before, 0, False), made(before, 1, False, 1), made(before, 2, False)]
-    none = F.array().cast("array<struct<key:bigint,own:boolean>>")
-    more = F.when(over == 0, F.array(*two, made(before, 1, False))).when(over == 1, F.array(*two)).otherwise(none)
-    return lines.select("id", F.inline(F.concat(keys, more))).select("key", "id", "own")
+    Lengths in one span have the same cuts: the first two segments count from the start, the last one from the end.  If
+    both outer segments have an edit, the middle one lies in the longer line where it is or one place later; of two lines
+    of one length, one has it so.  The least two lengths of a span also have the keys of the span before.
+    """
+    n, line, base = F.col("n"), F.col("line"), F.col("base")
+    here = _base(n)
+    bases = F.when(n - here < ERRORS, F.array(here, _base(here - 1))).otherwise(F.array(here))
+    cut = lambda k: F.floor(base * k / (ERRORS + 1)).cast("int")
+    parts = [(0, _cut(line, cut(0), cut(1))), (1, _cut(line, cut(1), cut(2))), (1, _cut(line, cut(1) + 1, cut(2) + 1)),
+             (2, F.right(line, cut(3) - cut(2)))]
+    # Plain numbers: an array of structs makes this step three times as slow.
+    keys = F.array(*[F.xxhash64("base", F.lit(segment), part) for segment, part in parts])
+    return lines.select("id", "n", "line", F.explode(bases).alias("base")).select(F.explode(keys).alias("key"), "id", "n")
 
 
 def _sign_keys(found: DataFrame) -> DataFrame:
-    """``key, id, own``: the keys of rows with ``sign``, each with every one of the signature's parts.
+    """``key, id, n, sign``: the keys of rows, each with every one of the signature's parts.
 
     Two lines within the threshold differ in no more bits than there are parts but one, so that some part is equal.
     """
     parts = 2 * ERRORS + 1
     masks = [sum(1 << k for k in range(i, len(LETTERS), parts)) for i in range(parts)]
-    return found.select("id", "own", F.explode(F.array(*[F.xxhash64(
-        "key", F.lit(i), F.col("sign").bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])).alias("key")).select(
-        "key", "id", "own")
+    return found.select("id", "n", "sign", F.explode(F.array(*[F.xxhash64(
+        "key", F.lit(i), F.col("sign").bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])).alias("key"))
 
 
 #: How the two blocks that hold the edits lie: how much longer the probing line is, blocks x < y, shift between them.
@@ -174,7 +178,7 @@ def _block_keys(rows: DataFrame, payload: bool) -> DataFrame:
     splits = F.filter(literal(("d", "x", "y", "s"), _SPLITS), lambda x: x["d"] == longer)
     parts = literal(("i", "j"), [(i, j) for i in range(3) for j in range(3)])
     keys = F.when(q.isNull(), F.transform(splits, one)).otherwise(F.transform(parts, two))
-    return rows.select("id", F.inline(keys))
+    return rows.select("id", "n", "sign", F.inline(keys))
 
 
 def _leaf_keys(rows: DataFrame) -> DataFrame:
@@ -221,38 +225,70 @@ def _met(keys: DataFrame, purpose: str) -> DataFrame:
         F.min(F.when(F.col("own"), F.col("id"))).alias("least")).where("rows > 1 and least is not null and u < v"), purpose)
 
 
-def _alike() -> Column:
-    """Whether lengths and letters (``n, sign`` and ``n_v, sign_v``) allow two edits.
+def _shared(keys: DataFrame, purpose: str) -> DataFrame:
+    """``key, rows, u, v`` of the keys of several lines (``key, id, n``): number of rows, first and last id.
+
+    Two rows count only if their lengths allow two edits.
+    """
+    return staged(keys.groupBy("key").agg(
+        F.count("*").alias("rows"), F.min("id").alias("u"), F.max("id").alias("v"), F.min("n").alias("low"),
+        F.max("n").alias("high")).where(f"u < v and (rows > 2 or high - low <= {ERRORS})").select("key", "rows", "u", "v"),
+        purpose)
+
+
+def _sign(line: Column) -> Column:
+    """A bit for each letter: whether it is there an odd number of times."""
+    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).bitwiseAND(F.lit(1))
+    sign = F.lit(0).cast("bigint")
+    for k, c in enumerate(LETTERS):
+        sign = sign.bitwiseOR(F.shiftleft(odd(c).cast("bigint"), k))
+    return sign
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """``u, v`` of rows of a key (``key, id, n, sign``) whose lengths and letters allow two edits.
 
     An edit changes whether a letter is there an odd number of times for at most two letters.
     """
-    return (F.abs(F.col("n") - F.col("n_v")) <= ERRORS) & (
+    found = found.select("key", "id", "n", "sign")
+    other = found.toDF("key", "v", "n_v", "sign_v")
+    alike = (F.abs(F.col("n") - F.col("n_v")) <= ERRORS) & (
         F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_v"))) <= 2 * ERRORS)
+    return found.withColumnRenamed("id", "u").join(other, "key").where((F.col("u") < F.col("v")) & alike).select("u", "v")
 
 
-def _pairs(found: DataFrame, sides: DataFrame) -> DataFrame:
-    """Pairs of a line with another that has the same key as its own, if lengths and letters (``id, n, sign``) allow them."""
-    found = found.join(sides, "id")
-    other = found.where("own").select("key", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("sign").alias("sign_v"))
-    paired = found.withColumnRenamed("id", "u").join(other, "key").where("u <> v and (not own or u < v)").where(_alike())
-    return staged(paired.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "lines-pairs")
+def _picked(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines that have one of the ids, by bitmaps of ids: a bit of a broadcast for each line, and no line is moved."""
+    bucket, place = F.bitmap_bucket_number("id"), F.bitmap_bit_position("id")
+    bits = ids.select(bucket.alias("bucket"), place.alias("place")).repartition("bucket").groupBy("bucket").agg(
+        F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (place % 8 + 1).cast("int"))) > 0
+    return lines.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket").where(there).select(*lines.columns)
+
+
+def _parts_found(a: Column, b: Column) -> Column:
+    """Whether all but ``ERRORS`` parts of one line occur in the other, no further off than so many edits can move them."""
+    n, found = F.char_length(a), F.lit(0)
+    for k in range(PARTS):
+        start, end = (F.floor(n * x / PARTS).cast("int") for x in (k, k + 1))
+        low = F.greatest(start - ERRORS, F.lit(0))
+        found = found + (F.instr(_cut(b, low, end + ERRORS), _cut(a, start, end)) > 0).cast("int")
+    return found >= PARTS - ERRORS
 
 
 def _crowded_pairs(lines: DataFrame) -> list[DataFrame]:
     """Pairs among lines that share crowded segments: narrower blocks round by round, links to one line at the end."""
     out, table = [], None
-    sides = lines.select("id", "n", "sign")
     rows = lines.select(F.lit(0).cast("bigint").alias("key"), "id", F.explode(F.array(*map(F.lit, range(3)))).alias("d"),
-                        F.col("line").alias("p"), F.lit(None).cast("string").alias("q"), "n").select(
-        "key", "id", (F.col("d") == 0).alias("own"), "p", "q", (F.col("n") - F.col("d")).alias("a"), F.lit(0).alias("b"))
+                        F.col("line").alias("p"), F.lit(None).cast("string").alias("q"), "n", "sign").select(
+        "key", "id", "n", "sign", (F.col("d") == 0).alias("own"), "p", "q", (F.col("n") - F.col("d")).alias("a"), F.lit(0).alias("b"))
     while True:
         met = _met(_block_keys(rows, False), "lines-met")
-        few = met.where(F.col("rows") <= HOT).select("key")
-        found = staged(_block_keys(rows, False).join(few, "key"), "lines-keys")
-        out.append(_pairs(found, sides))
-        many = met.where(F.col("rows") > HOT).select("key")
-        crowded = staged(_block_keys(rows, True).join(many, "key"), "lines-crowded")
-        discard(met, found, *([] if table is None else [table]))
+        found = staged(_block_keys(rows, True).join(met.select("key", "rows"), "key"), "lines-crowded")
+        out.append(staged(_pairs(found.where(F.col("rows") <= HOT)), "lines-pairs"))
+        discard(met, *([] if table is None else [table]))
+        crowded = found.where(F.col("rows") > HOT).drop("rows")
         short = F.when(F.col("q").isNull(), F.col("a") <= 2 * LEAF).otherwise((F.col("a") <= LEAF) & (F.col("b") <= LEAF))
         if crowded.where(short).take(1):
             leaves = _leaf_keys(crowded.where(short))
@@ -261,7 +297,7 @@ def _crowded_pairs(lines: DataFrame) -> list[DataFrame]:
                 F.least("id", "least").alias("u"), F.greatest("id", "least").alias("v"))
             out.append(staged(linked.unionByName(met.where("rows = 2").select("u", "v")).distinct(), "lines-pairs"))
             discard(met)
-        table, rows = crowded, crowded.where(~short)
+        table, rows = found, crowded.where(~short)
         if not rows.take(1):
             discard(table)
             return out
@@ -273,43 +309,39 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     Every two lines within two edits are in one component of these pairs; of a crowded key not all pairs are given.
     """
     keys = _segment_keys(lines)
-    met = _met(keys, "lines-met")
-    # Two rows are their key's first and last one; only the keys of more are looked for again.
-    two = met.where("rows = 2").select("u", "v")
-    found = staged(keys.join(met.where("rows > 2").select("key", "rows"), "key"), "lines-keys")
-    ids = found.select("id").unionByName(two.select(F.col("u").alias("id"))).unionByName(two.select(F.col("v").alias("id")))
+    met = _shared(keys, "lines-met")
+    # Two rows are their key's first and last one; only the few keys of more are looked for again.
+    more = staged(met.where("rows > 2").select("key", "rows"), "lines-more")
+    found = staged(keys.join(more, "key"), "lines-keys")
+    two = met.where("rows = 2").select("u", "v").distinct()
     # Only lines that meet another need their texts.
-    size = F.char_length("line")
-    odd = lambda c: (size - F.char_length(F.replace("line", F.lit(c)))).bitwiseAND(F.lit(1)).cast("bigint")
-    sign = F.lit(0).cast("bigint")
-    for k, c in enumerate(LETTERS):
-        sign = sign.bitwiseOR(F.shiftleft(odd(c), k))
-    texts = staged(lines.join(ids.distinct(), "id").select("id", "line", "n", sign.alias("sign")), "lines-texts")
-    sides = texts.select("id", "n", "sign")
-    second = sides.toDF("v", "n_v", "sign_v")
-    both = two.distinct().join(sides.withColumnRenamed("id", "u"), "u").join(second, "v").where(_alike())
-    parts = [_pairs(found.where(F.col("rows") <= HOT).drop("rows"), sides), staged(both.select("u", "v"), "lines-pairs")]
-    discard(met)
-    many = found.where(F.col("rows") > HOT)
+    ids = two.select(F.explode(F.array("u", "v")).alias("id")).unionByName(found.select("id")).distinct()
+    texts = staged(_picked(lines, ids), "lines-texts")
+    signed = staged(found.join(texts.drop("n"), "id").select("key", "id", "n", "rows", _sign(F.col("line")).alias("sign")), "lines-keys")
+    parts = [staged(two.unionByName(_pairs(signed.where(F.col("rows") <= HOT))).distinct(), "lines-pairs")]
+    discard(met, more, found)
+    many = signed.where(F.col("rows") > HOT).drop("rows")
     if many.take(1):
-        signed = _sign_keys(many.join(sides.select("id", "sign"), "id"))
-        met = _met(signed, "lines-met")
-        crowd = staged(signed.join(met.select("key", "rows"), "key"), "lines-crowds")
-        discard(met)
-        parts.append(_pairs(crowd.where(F.col("rows") <= HOT).drop("rows"), sides))
-        crowded = staged(texts.join(crowd.where(F.col("rows") > HOT).select("id").distinct(), "id"), "lines-crowd")
-        discard(crowd)
-        if crowded.take(1):
+        keys = _sign_keys(many)
+        met = _shared(keys, "lines-met")
+        split = staged(keys.join(met.select("key", "rows"), "key"), "lines-crowds")
+        parts.append(staged(_pairs(split.where(F.col("rows") <= HOT)), "lines-pairs"))
+        left = split.where(F.col("rows") > HOT).select("id", "sign").distinct()
+        if left.take(1):
+            crowded = staged(texts.join(left, "id"), "lines-crowd")
             parts += _crowded_pairs(crowded)
-        discard(crowded)
+            discard(crowded)
+        discard(met, split)
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
-    characters = F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))
-    both = (pairs.distinct().join(texts.select(F.col("id").alias("u"), characters.alias("a")), "u")
-            .join(texts.select(F.col("id").alias("v"), characters.alias("b")), "v"))
-    checked = staged(both.where(within(F.col("a"), F.col("b"))).select("u", "v"), "lines-near")
-    discard(found, texts, *parts)
+    pairs = pairs if len(parts) == 1 else pairs.distinct()
+    side = lambda i, c: texts.select(F.col("id").alias(i), F.col("line").alias(c))
+    characters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)).alias(c)
+    close = staged(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").where(_parts_found(F.col("a"), F.col("b"))).select(
+        "u", "v", characters("a"), characters("b")), "lines-close")
+    checked = staged(close.where(within(F.col("a"), F.col("b"))).select("u", "v"), "lines-near")
+    discard(signed, texts, close, *parts)
     return checked
 
 
