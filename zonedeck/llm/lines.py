@@ -11,10 +11,11 @@ the few keys of more rows are looked for again.  A segment shared by more than `
 five keys of the segment and a part each of their letters' signature, one of which near lines share.  Where such a key is
 shared by many too, its lines move on to keys of all but two of six blocks, and from there to parts of these two blocks,
 until a block has ``LEAF`` code points.  There lines are indexed by what is left of the blocks without the edits: all lines
-of such a key are linked to one of them, so that no step pairs all rows of a large key.  Pairs whose lengths or counts of
-letters differ in more than two edits can make are dropped where rows of a key meet, and pairs of which more than two of
-eight parts are not found again near their place before they are verified by a banded bit-parallel automaton, whose state
-holds one bit for each diagonal and number of errors.
+of such a key are linked to one of them, so that no step pairs all rows of a large key.  Where rows of a key meet, pairs
+whose lengths or counts of letters differ in more than two edits can make are dropped, and so are those with more edits in
+what their key leaves open, the line or the blocks.  Pairs of which more than two of eight parts are not found again near
+their place are dropped before all that is left is verified by a banded bit-parallel automaton, whose state holds one bit
+for each diagonal and number of errors.
 
 Nulls and texts without words have no lines.  Very long texts and lines are treated like others: a line is a string of its
 own, and a text is put together from what stands between removed lines.  Null ids come last in the order.  Rows equal in id
@@ -127,7 +128,7 @@ def _sign_keys(found: DataFrame) -> DataFrame:
     """
     parts = 2 * ERRORS + 1
     masks = [sum(1 << k for k in range(i, len(LETTERS), parts)) for i in range(parts)]
-    return found.select("id", "n", "sign", F.explode(F.array(*[F.xxhash64(
+    return found.select("id", "n", "sign", "p", F.explode(F.array(*[F.xxhash64(
         "key", F.lit(i), F.col("sign").bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])).alias("key"))
 
 
@@ -246,14 +247,21 @@ def _sign(line: Column) -> Column:
 
 
 def _pairs(found: DataFrame) -> DataFrame:
-    """``u, v`` of rows of a key (``key, id, n, sign``) whose lengths and letters allow two edits.
+    """``u, v`` of rows of a key (``key, id, n, sign, p`` and maybe ``q``) with at most two edits in ``p`` and ``q``.
 
-    An edit changes whether a letter is there an odd number of times for at most two letters.
+    Only there may rows of a key differ: two edits in ``p`` alone, or one each in ``p`` and ``q``.  Lengths and letters
+    are compared first; an edit changes whether a letter is there an odd number of times for at most two letters.
     """
-    found = found.select("key", "id", "n", "sign")
-    other = found.toDF("key", "v", "n_v", "sign_v")
+    columns = [c for c in ("key", "id", "n", "sign", "p", "q") if c in found.columns]
+    found = found.select(*columns)
+    other = found.toDF("key", "v", *[f"{c}_v" for c in columns[2:]])
     alike = (F.abs(F.col("n") - F.col("n_v")) <= ERRORS) & (
         F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_v"))) <= 2 * ERRORS)
+    edits = lambda c, most: F.levenshtein(c, f"{c}_v", most) >= 0
+    near = edits("p", ERRORS)
+    if "q" in columns:
+        near = F.when(F.col("q").isNull(), near).otherwise(edits("p", 1) & edits("q", 1))
+    alike = alike & near
     return found.withColumnRenamed("id", "u").join(other, "key").where((F.col("u") < F.col("v")) & alike).select("u", "v")
 
 
@@ -317,7 +325,8 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     # Only lines that meet another need their texts.
     ids = two.select(F.explode(F.array("u", "v")).alias("id")).unionByName(found.select("id")).distinct()
     texts = staged(_picked(lines, ids), "lines-texts")
-    signed = staged(found.join(texts.drop("n"), "id").select("key", "id", "n", "rows", _sign(F.col("line")).alias("sign")), "lines-keys")
+    signed = staged(found.join(texts.drop("n"), "id").select(
+        "key", "id", "n", "rows", _sign(F.col("line")).alias("sign"), F.col("line").alias("p")), "lines-keys")
     parts = [staged(two.unionByName(_pairs(signed.where(F.col("rows") <= HOT))).distinct(), "lines-pairs")]
     discard(met, more, found)
     many = signed.where(F.col("rows") > HOT).drop("rows")
