@@ -237,9 +237,9 @@ def test_crowded_lines_that_are_not_near_are_not_paired(spark, monkeypatch):
     random.seed(8)
     letters = lambda n: "".join(random.choice("abcdefghiklmnoprstuvwy") for _ in range(n))
     mixed = lambda x: "".join(random.sample(x, len(x)))
-    start, end, made = letters(30), letters(30), []
+    start, middle, end, made = letters(34), letters(8), letters(38), []
     # All have the same letters; twenty at a time differ in one place alone, by more than two edits.
-    rows = [start + place + mixed("abcdefghik") + end for place in [mixed("noprst") for _ in range(8)] for _ in range(20)]
+    rows = [start + mixed("abcdefghik") + middle + place + end for place in [mixed("noprst") for _ in range(8)] for _ in range(20)]
     rows = list(enumerate(sorted({*rows, rows[0][:-9] + rows[0][-8:]})))
     df = spark.createDataFrame(rows, "id bigint, line string").withColumn("n", F.char_length("line"))
     pairs = lines._pairs
@@ -251,7 +251,7 @@ def test_crowded_lines_that_are_not_near_are_not_paired(spark, monkeypatch):
 
     monkeypatch.setattr(lines, "_pairs", counted)
     got = {(r.u, r.v) for r in lines.near_pairs(df).collect()}
-    near = {(i, j) for j, b in rows for i, a in rows[:j] if helpers.few_edits(a[30:], b[30:])}
+    near = {(i, j) for j, b in rows for i, a in rows[:j] if helpers.few_edits(a[34:], b[34:])}
     assert near and got <= near and classes_of(len(rows), got) == classes_of(len(rows), near)
     assert sum(made) < len(rows)
 
